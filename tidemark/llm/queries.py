@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, secrets, urls
+from tidemark.llm import chat, classifier, mixing, packing, secrets, urls
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -76,3 +76,18 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_summary(mixing.plan_mixture(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
