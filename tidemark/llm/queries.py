@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, classifier, mixing, packing, secrets, urls
+from tidemark.llm import ann, chat, classifier, mixing, packing, quality, secrets, urls
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -91,3 +91,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
