@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, classifier, mixing, packing, quality, secrets, urls
+from tidemark.llm import ann, chat, classifier, mixing, packing, quality, secrets, substring, urls
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -101,3 +101,28 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query(r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), t AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w
+), k AS (
+  SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s,
+    count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM t
+), f AS (
+  SELECT s, min(doc_id) AS least FROM k WHERE n = 13 GROUP BY s
+), g AS (
+  SELECT k.doc_id, pos, word, coalesce(k.n = 13 AND k.doc_id > f.least, false) AS hit FROM k LEFT JOIN f USING (s)
+), r AS (
+  SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM g
+), a AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN a USING (doc_id)
+""")
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
