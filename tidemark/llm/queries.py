@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, classifier, mixing, packing, quality, secrets, substring, urls
+from tidemark.llm import ann, chat, classifier, mixing, near, packing, quality, secrets, substring, urls
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -126,3 +126,8 @@ FROM w LEFT JOIN a USING (doc_id)
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
