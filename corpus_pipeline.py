@@ -1,15 +1,50 @@
-"""The corpus pipeline (part of the training-data subpackage): STAGES, run() and ORACLE_SQL."""
+"""The corpus pipeline (part of the training-data subpackage): STAGES, run() and ORACLE_SQL.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns of documents; the
+last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm import classifier, mixing, near, packing, secrets
+from tidemark.llm.common import materialise, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    return near.keep_one(docs)
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secrets.redact_secrets(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as the mix takes them."""
+    return mixing.apply_mixture(docs, mixing.plan_mixture(docs)).drop("shard")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("quality_classifier", quality), ("ngram_jaccard_join", dedup), ("secret_scan", redaction), ("mixing", mixture), ("packing", packed)]
+#: A trained network and hashed draws have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialise(docs)
     return docs

@@ -232,3 +232,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
 
     cols = docs.select(F.col(doc_id).cast("long"), held_out(F.col(doc_id)), F.col(text).cast("string"))
     return cols.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labelled: int = 20_000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """docs, all columns, without the documents that score below the threshold."""
+    vectors = word_vectors(context_sums(docs, text))
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, train(docs, labels, vectors, most_labelled, doc_id, text, label)))
+    at = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = shared.value
+        for b in batches:
+            yield b.filter(pa.array(net.score(features([t or "" for t in b.column(at).to_pylist()], vectors)) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -177,6 +177,24 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(work, schema)
 
 
+def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", threshold: float = 0.5) -> DataFrame:
+    """docs, all columns, with every found span replaced by a mark; n_chars, where it exists, follows. Null texts stay null."""
+    at = docs.columns.index(text)
+    size = docs.columns.index(n_chars) if n_chars in docs.columns else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t and redact(t, scan(t, threshold)) for t in b.column(at).to_pylist()]
+            cols = list(b.columns)
+            cols[at] = pa.array(texts, b.schema.field(at).type)
+            if size is not None:
+                sizes = [old if t is None else len(t) for t, old in zip(texts, cols[size].to_pylist())]
+                cols[size] = pa.array(sizes, b.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def secret_summary(found: DataFrame) -> DataFrame:
     """The digest columns of find_secrets()."""
     base = F.filter("spans", lambda s: s["kind"] != "named")
