@@ -1,0 +1,677 @@
+"""The registered queries on the supplied tables, each with its SQL.
+
+Roles: documents are reviews, with the number in source, or lang, as topic; orders are a year of dated rows whose topic and rating is
+the digit of the priority; labels are manual labels; embeddings have their label as topic and vec_id % 12 + 1 as month.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import decide, reltime, text
+from tidemark.operators import clean, coherence, drift, lexicon, sampling, series, topics, trend, validation
+from tidemark.plans import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+LAUNCH = "1995-01-01"
+EVENTS_LAUNCH = "2024-01-01"
+
+
+def query(statement: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if statement:
+            ORACLE[f.__name__] = statement
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return clean.apply_normalization(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "text", "clean")
+
+
+def orders(spark, sf_dir) -> DataFrame:
+    """order_key, day, topic, rating, relative_month, relative_week of the year after LAUNCH."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.to_date("o_orderdate").alias("day"), F.substring("o_orderpriority", 1, 1).cast("int").alias("topic"))
+    return clean.add_relative_time(o, LAUNCH, "day")
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.col("label").alias("topic"), (F.col("vec_id") % 12 + 1).cast("int").alias("relative_month"), "embedding")
+
+
+def doc_topics(spark, sf_dir) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", "clean", F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("topic"), (F.col("doc_id") % 12 + 1).cast("int").alias("relative_month"))
+
+
+DOCS = f"docs AS (SELECT doc_id, text, lang, source, {sql.norm('text')} AS clean FROM documents)"
+TOKENS = f"{DOCS}, toks AS (SELECT doc_id, lang, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS topic, CAST(doc_id % 12 + 1 AS INTEGER) AS month, {sql.tokens('clean')} AS t FROM docs)"
+ORDERS = f"""ord AS (SELECT * FROM (SELECT o_orderkey AS order_key, CAST(o_orderdate AS DATE) AS day, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS topic,
+  {sql.month('o_orderdate', LAUNCH)} AS relative_month, least(52, {sql.week('o_orderdate', LAUNCH)}) AS relative_week FROM orders)
+  WHERE relative_month BETWEEN 1 AND 12 AND day >= DATE '{LAUNCH}')"""
+FREQ = f"{ORDERS}, freq AS (SELECT topic, relative_month, count(*) AS freq FROM ord GROUP BY ALL), prop AS (SELECT *, CAST(sum(freq) OVER (PARTITION BY relative_month) AS BIGINT) AS total, freq / sum(freq) OVER (PARTITION BY relative_month) AS prop FROM freq)"
+WEEKS = f"""{ORDERS}, wfreq AS (SELECT topic, relative_week, count(*) AS freq FROM ord GROUP BY ALL),
+wk0 AS (SELECT s.topic, w.relative_week, coalesce(f.freq, 0) AS freq FROM (SELECT DISTINCT topic FROM wfreq) s
+  CROSS JOIN (SELECT CAST(unnest(range(1, 53)) AS INTEGER) AS relative_week) w LEFT JOIN wfreq f ON f.topic = s.topic AND f.relative_week = w.relative_week),
+wk AS (SELECT *, CAST(sum(freq) OVER (PARTITION BY relative_week) AS BIGINT) AS total, CASE WHEN sum(freq) OVER (PARTITION BY relative_week) = 0 THEN 0 ELSE freq / sum(freq) OVER (PARTITION BY relative_week) END AS prop FROM wk0)"""
+
+
+# ---- text
+
+@query(f"WITH {DOCS} SELECT doc_id, clean FROM docs")
+def normalize_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "clean")
+
+
+@query(f"WITH {DOCS} SELECT lang, count(*) AS n, round(avg(len({sql.tokens('clean')})), 6) AS mean_words, median(len({sql.tokens('clean')})) AS median_words, max(len({sql.tokens('clean')})) AS max_words FROM docs GROUP BY lang")
+def normalize_token_counts(spark, sf_dir):
+    d = documents(spark, sf_dir).groupBy("lang")
+    return d.agg(F.count("*").alias("n"), F.round(F.avg("word_count_after"), 6).alias("mean_words"), F.expr("percentile(word_count_after, 0.5)").alias("median_words"), F.max("word_count_after").cast("long").alias("max_words"))
+
+
+@query(f"WITH {DOCS} SELECT count(*) FILTER (clean = '') AS n_empty, count(*) FILTER (clean <> '') AS n_full FROM docs")
+def normalize_empty_counts(spark, sf_dir):
+    return documents(spark, sf_dir).agg(F.count_if(F.col("clean") == "").alias("n_empty"), F.count_if(F.col("clean") != "").alias("n_full"))
+
+
+@query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedup_exact_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return clean.drop_exact_duplicates(d, "text", ("doc_id",)).drop("text")
+
+
+@query("SELECT sha256(text) AS text_hash, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 ORDER BY n DESC, text LIMIT 5")
+def top_duplicate_texts(spark, sf_dir):
+    return clean.duplicate_texts(table(spark, sf_dir, "documents"), "text", 5).select(F.sha2("text", 256).alias("text_hash"), F.col("count").alias("n"))
+
+
+SLANG_BASE_ROWS = ((0, "gk", "gak", 1.0), (1, "baru", "baru baru", 1.0), (2, "nyaa", "dua-duanya", 1.0), (3, "tf", "transaksi", None), (4, "tf", "transfer uang", 1.0), (5, "same", "same", 1.0), (6, "the", "itu", 0.0), (7, "and", "dan", 1.0), (8, "123", "angka", 1.0), (9, "of", "dari-pada", 1.0), (10, "und", None, 1.0))
+SLANG_EXT_ROWS = ((0, "tf", "transfer"), (1, "mbanking", "mobile banking"), (2, "bca", "bca"), (3, "and", "serta"), (4, "and", "lagi"))
+
+
+def _values(rows) -> str:
+    lit = lambda v: "NULL" if v is None else repr(v)
+    return ", ".join(f"({', '.join(map(lit, r))})" for r in rows)
+
+
+LEXICON = f"""b0 AS (SELECT pos, {sql.norm('slang')} AS slang, {sql.norm("replace(formal, '-', ' ')")} AS formal, d FROM (VALUES {_values(SLANG_BASE_ROWS)}) v(pos, slang, formal, d) WHERE formal IS NOT NULL),
+b1 AS (SELECT * FROM b0 WHERE slang <> '' AND formal <> '' AND slang <> formal AND NOT (formal LIKE slang || ' %' AND replace(' ' || replace(formal, ' ', '  ') || ' ', ' ' || slang || ' ', '') = '')
+  AND slang NOT IN ('apa', 'nya', 'sekali', 'bener', 'minta', 'bukan') QUALIFY row_number() OVER (PARTITION BY slang ORDER BY d DESC NULLS LAST, pos) = 1),
+e1 AS (SELECT slang, formal FROM (SELECT pos, {sql.norm('slang')} AS slang, {sql.norm("replace(formal, '-', ' ')")} AS formal FROM (VALUES {_values(SLANG_EXT_ROWS)}) v(pos, slang, formal)) QUALIFY row_number() OVER (PARTITION BY slang ORDER BY pos) = 1),
+lex AS (SELECT slang, formal FROM e1 UNION ALL SELECT slang, formal FROM b1 WHERE slang NOT IN (SELECT slang FROM e1))"""
+
+
+def _lexicon(spark):
+    base = spark.createDataFrame(list(SLANG_BASE_ROWS), "pos int, slang string, formal string, `In-dictionary` double")
+    return lexicon.build_lexicon(base, spark.createDataFrame(list(SLANG_EXT_ROWS), "pos int, slang string, formal string"))
+
+
+@query(f"WITH {LEXICON} SELECT slang, formal FROM lex")
+def slang_lexicon_build(spark, sf_dir):
+    return _lexicon(spark)
+
+
+@query(f"WITH {LEXICON} SELECT count(*) AS n_overrides FROM b1 WHERE slang IN (SELECT slang FROM e1)")
+def slang_override_count(spark, sf_dir):
+    base = lexicon.base_lexicon(spark.createDataFrame(list(SLANG_BASE_ROWS), "pos int, slang string, formal string, `In-dictionary` double"))
+    return lexicon.override_count(base, lexicon.extension_lexicon(spark.createDataFrame(list(SLANG_EXT_ROWS), "pos int, slang string, formal string")))
+
+
+@query(f"WITH {LEXICON} SELECT slang, formal FROM lex WHERE length(slang) <= 4 AND slang <> formal")
+def slang_short_keys(spark, sf_dir):
+    return lexicon.short_keys(_lexicon(spark))
+
+
+@query(f"""WITH {LEXICON}, {DOCS}, x AS (SELECT doc_id, clean, unnest({sql.tokens('clean')}) AS t, unnest(range(len({sql.tokens('clean')}))) AS pos FROM docs),
+j AS (SELECT doc_id, string_agg(coalesce(formal, t), ' ' ORDER BY pos) AS out FROM x LEFT JOIN lex ON x.t = lex.slang GROUP BY doc_id)
+SELECT docs.doc_id, coalesce(out, '') AS clean, coalesce(out, '') <> clean AS slang_changed, CAST(len({sql.tokens("coalesce(out, '')")}) AS INTEGER) AS word_count_after FROM docs LEFT JOIN j USING (doc_id)""")
+def slang_normalize(spark, sf_dir):
+    made = lexicon.normalize_slang(documents(spark, sf_dir), _lexicon(spark), "doc_id", "clean")
+    return made.select("doc_id", "clean", "slang_changed", "word_count_after")
+
+
+@query(f"WITH {LEXICON}, {DOCS}, x AS (SELECT unnest({sql.tokens('clean')}) AS t FROM docs) SELECT slang, formal, count(*) AS count FROM x JOIN lex ON t = slang AND slang <> formal GROUP BY slang, formal ORDER BY count DESC, slang LIMIT 30")
+def slang_trigger_counts(spark, sf_dir):
+    return lexicon.slang_triggers(documents(spark, sf_dir), _lexicon(spark), "clean")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CAST(len({sql.tokens('clean')}) AS INTEGER) AS word_count_after FROM docs WHERE len({sql.tokens('clean')}) >= 5")
+def short_review_filter(spark, sf_dir):
+    return clean.filter_short(documents(spark, sf_dir), "clean").select("doc_id", "word_count_after")
+
+
+@query(f"WITH {TOKENS} SELECT token, count(*) AS count FROM (SELECT unnest(t) AS token FROM toks) GROUP BY token ORDER BY count DESC, token LIMIT 100")
+def token_top100(spark, sf_dir):
+    return clean.token_frequencies(documents(spark, sf_dir), "clean")
+
+
+@query(f"WITH {TOKENS} SELECT count(DISTINCT token) AS unique_tokens, count(*) AS total_tokens FROM (SELECT unnest(t) AS token FROM toks)")
+def token_totals(spark, sf_dir):
+    return clean.vocabulary_size(documents(spark, sf_dir), "clean")
+
+
+@query("SELECT c_custkey, CASE WHEN c_name = '' THEN '' ELSE substr(sha256(c_name), 1, 16) END AS user_hash FROM customer")
+def user_hash16(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.hash_user(F.col("c_name")).alias("user_hash"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '[^\pL\pM\pN_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS char_count FROM documents")
+def scrape_word_count(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.scrape_word_count(c).alias("word_count"), F.length(c).alias("char_count"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 77) || '...' ELSE text END AS shown, length(text) > 80 AS cut FROM documents")
+def truncated_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 80).alias("shown"), (F.length("text") > 80).alias("cut"))
+
+
+@query("SELECT count(*) AS n, round(avg(length(text)), 6) AS mean, round(stddev_samp(length(text)), 6) AS std, min(length(text)) AS min, quantile_cont(length(text), 0.25) AS p25, quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.75) AS p75, max(length(text)) AS max FROM documents")
+def text_length_description(spark, sf_dir):
+    d = clean.length_description(table(spark, sf_dir, "documents"), "text")
+    return d.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6), "min": F.col("min").cast("long"), "max": F.col("max").cast("long")})
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)license|rights')")
+def regex_contains(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(clean.contains(F.col("text"), "(?i)license|rights")).select("doc_id")
+
+
+# ---- ratings and time
+
+@query("SELECT rating, count(*) AS count FROM (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rating FROM orders) WHERE rating IN (1, 2) GROUP BY rating")
+def rating_filter_hist(spark, sf_dir):
+    rated = table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("rating"))
+    return clean.histogram(clean.filter_negative_ratings(rated), "rating")
+
+
+@query(f"WITH {ORDERS} SELECT order_key, relative_month, relative_week FROM ord")
+def relative_month_week(spark, sf_dir):
+    return orders(spark, sf_dir).select("order_key", "relative_month", "relative_week")
+
+
+@query(f"SELECT o_orderkey AS order_key, {sql.week('o_orderdate', LAUNCH)} AS week FROM orders WHERE {sql.week('o_orderdate', LAUNCH)} BETWEEN 1 AND 52")
+def relative_week_uncapped(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), reltime.relative_week_uncapped(F.col("o_orderdate"), LAUNCH).alias("week"))
+    return o.where(F.col("week").between(1, 52))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM orders GROUP BY 1")
+def month_periods(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(reltime.month_period(F.col("o_orderdate")).alias("period")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day"))
+
+
+@query("SELECT count(*) FILTER (d BETWEEN DATE '1995-01-01' AND DATE '1995-12-31') AS in_window, min(d) AS oldest, max(d) AS newest, min(d) <= DATE '1995-01-01' AS reached_launch FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders)")
+def acquisition_metadata(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").agg(F.count_if(d.between("1995-01-01", "1995-12-31")).alias("in_window"), F.min(d).alias("oldest"), F.max(d).alias("newest"), (F.min(d) <= reltime.launch_date(LAUNCH)).alias("reached_launch"))
+
+
+# ---- series
+
+@query(f"WITH {FREQ} SELECT topic, relative_month, freq FROM freq")
+def monthly_topic_freq(spark, sf_dir):
+    return series.topic_frequency(orders(spark, sf_dir))
+
+
+@query(f"WITH {FREQ} SELECT topic, relative_month, freq, total, round(prop, 9) AS prop FROM prop")
+def monthly_topic_proportion(spark, sf_dir):
+    return series.add_proportion(series.topic_frequency(orders(spark, sf_dir))).withColumn("prop", F.round("prop", 9))
+
+
+_CELLS = ", ".join(f"CAST(coalesce(max(freq) FILTER (relative_month = {i}), 0) AS BIGINT) AS M{i}" for i in range(1, 13))
+
+
+@query(f"WITH {FREQ} SELECT topic, {_CELLS}, CAST(sum(freq) AS BIGINT) AS Total, round(sum(freq) / 12, 6) AS Mean FROM freq GROUP BY topic")
+def freq_pivot(spark, sf_dir):
+    return series.pivot(series.topic_frequency(orders(spark, sf_dir)), "freq", 12).withColumn("Mean", F.round("Mean", 6))
+
+
+_PCELLS = ", ".join(f"round(coalesce(max(prop) FILTER (relative_month = {i}), 0), 9) AS M{i}" for i in range(1, 13))
+
+
+@query(f"WITH {FREQ} SELECT topic, {_PCELLS}, round(sum(prop) / 12, 9) AS Mean FROM prop GROUP BY topic")
+def prop_pivot_mean(spark, sf_dir):
+    made = series.pivot(series.add_proportion(series.topic_frequency(orders(spark, sf_dir))), "prop", 12).drop("Total")
+    return made.select("topic", *[F.round(c, 9).alias(c) for c in made.columns if c != "topic"])
+
+
+@query(f"WITH {FREQ} SELECT topic, CAST(sum(freq) AS BIGINT) AS total_n, arg_min(relative_month, -freq * 1000 + relative_month) AS peak_freq_period, max(freq) AS peak_freq, arg_min(relative_month, -prop * 1000000 + relative_month * 1e-6) AS peak_prop_period, round(max(prop), 9) AS peak_prop, round(avg(prop), 9) AS mean_prop FROM prop GROUP BY topic")
+def topic_peak_summary_v1(spark, sf_dir):
+    return series.peak_summary(series.topic_frequency(orders(spark, sf_dir))).withColumns({"peak_prop": F.round("peak_prop", 9), "mean_prop": F.round("mean_prop", 9)})
+
+
+@query(f"WITH {FREQ} SELECT topic, CAST(sum(freq) AS BIGINT) AS total_n, arg_min(relative_month, -freq * 1000 + relative_month) AS peak_period, max(freq) AS peak_freq, round_even(sum(freq) / 12, 2) AS avg_per_period FROM freq GROUP BY topic")
+def topic_peak_summary_v2(spark, sf_dir):
+    return series.peak_summary_short(series.topic_frequency(orders(spark, sf_dir)))
+
+
+@query(f"WITH {FREQ} SELECT relative_month, count(DISTINCT topic) AS n_topics, CAST(sum(freq) AS BIGINT) AS total FROM freq GROUP BY relative_month")
+def month_overview(spark, sf_dir):
+    return series.period_overview(series.topic_frequency(orders(spark, sf_dir)))
+
+
+@query(f"WITH {FREQ}, t AS (SELECT relative_month, sum(freq) AS total FROM freq GROUP BY 1) SELECT round(max(total) / min(total), 9) AS ratio FROM t")
+def month_ratio(spark, sf_dir):
+    return series.max_min_ratio(series.topic_frequency(orders(spark, sf_dir))).select(F.round("ratio", 9).alias("ratio"))
+
+
+@query(f"WITH {WEEKS} SELECT topic, relative_week, freq, total, round(prop, 9) AS prop FROM wk")
+def weekly_series_dense(spark, sf_dir):
+    return series.weekly_series(orders(spark, sf_dir)).withColumn("prop", F.round("prop", 9))
+
+
+@query(f"""WITH f AS (SELECT topic, relative_week, count(*) AS freq FROM (SELECT event_type AS topic, {sql.week('ts', EVENTS_LAUNCH)} AS relative_week FROM events) WHERE relative_week BETWEEN 1 AND 8 GROUP BY topic, relative_week),
+w AS (SELECT s.topic, w.relative_week, coalesce(f.freq, 0) AS freq FROM (SELECT DISTINCT topic FROM f) s CROSS JOIN (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS relative_week) w LEFT JOIN f ON f.topic = s.topic AND f.relative_week = w.relative_week)
+SELECT topic, relative_week, freq, CAST(sum(freq) OVER (PARTITION BY relative_week) AS BIGINT) AS total, CASE WHEN sum(freq) OVER (PARTITION BY relative_week) = 0 THEN 0 ELSE round(freq / sum(freq) OVER (PARTITION BY relative_week), 9) END AS prop FROM w""")
+def weekly_zero_fill(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), F.col("ts").alias("date"))
+    return series.weekly_series_from_dates(e, EVENTS_LAUNCH, 8).withColumn("prop", F.round("prop", 9))
+
+
+@query(f"WITH {WEEKS} SELECT topic, CAST(sum(freq) FILTER (relative_week <= 26) AS BIGINT) AS early_total, round(avg(freq) FILTER (relative_week <= 26), 6) AS early_mean, max(freq) FILTER (relative_week <= 26) AS early_max, CAST(sum(freq) FILTER (relative_week > 26) AS BIGINT) AS late_total, round(avg(freq) FILTER (relative_week > 26), 6) AS late_mean, max(freq) FILTER (relative_week > 26) AS late_max, count(*) FILTER (freq = 0) AS zero_weeks, count(*) FILTER (freq < 5) AS weeks_below_5, count(*) FILTER (relative_week > 26 AND freq < 3) AS late_weeks_below_3, round(sum(freq) FILTER (relative_week > 26) / sum(freq) * 100, 6) AS late_pct, CASE WHEN sum(freq) FILTER (relative_week > 26) > 1.5 * sum(freq) FILTER (relative_week <= 26) THEN 'late-dominated' WHEN sum(freq) FILTER (relative_week > 26) > sum(freq) FILTER (relative_week <= 26) THEN 'modestly late-dominated' ELSE 'not late-dominated' END AS verdict FROM wk GROUP BY topic")
+def early_late_split(spark, sf_dir):
+    made = series.early_late(series.weekly_series(orders(spark, sf_dir)))
+    return made.withColumns({c: F.round(c, 6) for c in ("early_mean", "late_mean", "late_pct")}).withColumn("verdict", decide.late_verdict(F.col("early_total"), F.col("late_total")))
+
+
+@query(f"WITH {WEEKS} SELECT topic, relative_week, freq, round(mean, 6) AS mean FROM (SELECT *, avg(freq) OVER (PARTITION BY topic) AS mean FROM wk) WHERE freq > 1.3 * mean")
+def spike_weeks(spark, sf_dir):
+    return series.spike_weeks(series.weekly_series(orders(spark, sf_dir)), 1.3).withColumn("mean", F.round("mean", 6))
+
+
+# ---- sampling and validation
+
+@query(f"WITH {ORDERS} SELECT relative_month, count(*) AS population, count(*) >= 25 AS feasible FROM ord GROUP BY relative_month")
+def stratum_feasibility(spark, sf_dir):
+    return sampling.stratum_feasibility(orders(spark, sf_dir), "relative_month", 25)
+
+
+@query(f"WITH {ORDERS} SELECT relative_month, count(*) AS n, count(DISTINCT order_key) AS n_keys FROM (SELECT * FROM ord QUALIFY row_number() OVER (PARTITION BY relative_month ORDER BY order_key) <= 25) GROUP BY relative_month")
+def stratified_sample_sizes(spark, sf_dir):
+    made = sampling.stratified_sample(orders(spark, sf_dir), "relative_month", "order_key", 25, check=False)
+    return made.groupBy("relative_month").agg(F.count("*").alias("n"), F.countDistinct("order_key").alias("n_keys"))
+
+
+@query()
+def stratified_sample(spark, sf_dir):
+    return sampling.stratified_sample(orders(spark, sf_dir), "relative_month", "order_key", 25, check=False)
+
+
+@query(f"WITH {ORDERS} SELECT relative_month, count(*) AS count, round_even(count(*) * 100 / sum(count(*)) OVER (), 2) AS pct FROM ord GROUP BY relative_month")
+def month_distribution(spark, sf_dir):
+    return validation.distribution(orders(spark, sf_dir), "relative_month")
+
+
+_CATEGORY = "CASE WHEN quality = 1 AND toxic = 0 THEN 'Bug Report' WHEN quality = 1 THEN 'Feature Request' WHEN toxic = 0 THEN 'Rating (Praise/Dispraise)' ELSE 'Non-Technical Complaint' END"
+LABELED = f"lab AS (SELECT d.lang, {_CATEGORY} AS category FROM labels l JOIN documents d USING (doc_id) WHERE d.lang <> 'fr')"
+COCHRAN = f"""{LABELED}, pop AS (SELECT lang, count(*) / (SELECT count(*) FROM documents) AS weight FROM documents GROUP BY lang),
+cell AS (SELECT lang, category, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY lang) AS p FROM lab GROUP BY ALL),
+cat AS (SELECT category, CAST(sum(n) AS BIGINT) AS raw_count, sum(n) * 100 / (SELECT count(*) FROM lab) AS raw_pct, sum(p * weight) * 100 AS weighted_pct, bool_or(list_contains(['Bug Report', 'Feature Request', 'User Experience'], category)) AS is_technical FROM cell JOIN pop USING (lang) GROUP BY category),
+per AS (SELECT lang, avg(CAST(list_contains(['Bug Report', 'Feature Request', 'User Experience'], category) AS INTEGER)) * 100 AS validity_pct, count(*) AS sample_count FROM lab GROUP BY lang)"""
+
+
+def _labeled(spark, sf_dir):
+    """One language has no sample, so that the weights don't add up to 1."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang").where("lang <> 'fr'")
+    q, t = F.col("quality"), F.col("toxic")
+    category = F.when((q == 1) & (t == 0), "Bug Report").when(q == 1, "Feature Request").when(t == 0, "Rating (Praise/Dispraise)").otherwise("Non-Technical Complaint")
+    return table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", "lang", category.alias("category"))
+
+
+@query(f"WITH {COCHRAN} SELECT category, raw_count, round(raw_pct, 6) AS raw_pct, round(weighted_pct, 6) AS weighted_pct, is_technical FROM cat")
+def cochran_weighted(spark, sf_dir):
+    made = validation.weighted_proportion(_labeled(spark, sf_dir), table(spark, sf_dir, "documents"), "lang")
+    return made.withColumns({"raw_pct": F.round("raw_pct", 6), "weighted_pct": F.round("weighted_pct", 6)})
+
+
+@query(f"WITH {COCHRAN} SELECT lang, round(validity_pct, 6) AS validity_pct, population_count, sample_count FROM per JOIN (SELECT lang, count(*) AS population_count FROM documents GROUP BY lang) USING (lang)")
+def validation_per_month(spark, sf_dir):
+    return validation.validity_per_stratum(_labeled(spark, sf_dir), table(spark, sf_dir, "documents"), "lang").withColumn("validity_pct", F.round("validity_pct", 6))
+
+
+@query(f"""WITH {COCHRAN}, h AS (SELECT (SELECT count(*) FROM documents) AS a, (SELECT count(*) FROM lab) AS b, (SELECT count(*) FROM per) AS c, (SELECT min(sample_count) FROM per) AS d,
+  (SELECT round(sum(raw_pct), 2) FROM cat WHERE is_technical) AS e, (SELECT round(sum(weighted_pct), 2) FROM cat WHERE is_technical) AS f, (SELECT round(min(validity_pct), 2) FROM per) AS g, (SELECT round(max(validity_pct), 2) FROM per) AS h, (SELECT round(max(validity_pct) - min(validity_pct), 2) FROM per) AS i)
+SELECT unnest(['Total Population', 'Sample Size', 'Strata', 'Sample per Stratum', 'Raw Validity %', 'Weighted Validity %', 'Min Validity %', 'Max Validity %', 'Range Validity %']) AS metric, unnest([CAST(a AS DOUBLE), b, c, d, e, f, g, h, i]) AS value FROM h""")
+def validation_headline(spark, sf_dir):
+    return validation.headline(validation.validation_summary(_labeled(spark, sf_dir), table(spark, sf_dir, "documents"), "lang"), "lang")
+
+
+@query("SELECT lang AS relative_month, quality AS rating, sha256(text) AS review_text_cleaned, '' AS category, '' AS notes, doc_id AS review_id, toxic FROM labels JOIN documents USING (doc_id)")
+def sheet_layout(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    made = d.select(F.col("doc_id").alias("review_id"), F.col("quality").alias("rating"), F.sha2("text", 256).alias("review_text_cleaned"), F.col("lang").alias("relative_month"), "toxic")
+    return sampling.labelling_sheet(made)
+
+
+@query("SELECT DISTINCT source FROM documents WHERE source NOT IN ('src0', 'src1', 'src2')")
+def label_set_difference(spark, sf_dir):
+    return clean.unexpected_values(table(spark, sf_dir, "documents"), "source", ["src0", "src1", "src2"])
+
+
+@query("SELECT 'text' AS column, count(*) - count(text) AS n_null, count(*) FILTER (text = '') AS n_empty FROM documents UNION ALL SELECT 'lang', count(*) - count(lang), count(*) FILTER (lang = '') FROM documents")
+def data_quality_counts(spark, sf_dir):
+    return clean.null_counts(table(spark, sf_dir, "documents"), "text", "lang")
+
+
+@query("SELECT arg_min(source, (n, source)) AS min_key, min(n) AS min_value, arg_min(source, (-n, source)) AS max_key, max(n) AS max_value FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+def count_extremes(spark, sf_dir):
+    return clean.extremes(table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")), "source", "n")
+
+
+# ---- trend
+
+MK = f"""{WEEKS}, ser AS (SELECT topic, relative_week - 1 AS i, CAST(freq AS DOUBLE) AS x FROM wk),
+pr AS (SELECT a.topic, sum(sign(b.x - a.x)) AS s, median((b.x - a.x) / (b.i - a.i)) AS slope FROM ser a JOIN ser b ON a.topic = b.topic AND a.i < b.i GROUP BY a.topic),
+bs AS (SELECT topic, count(*) AS n, median(x) AS mid, count(DISTINCT x) AS n_distinct FROM ser GROUP BY topic),
+st AS (SELECT topic, n, s, s / (n * (n - 1) / 2) AS tau, slope, mid - slope * (n - 1) / 2 AS intercept, n_distinct FROM bs JOIN pr USING (topic)),
+ti AS (SELECT topic, sum(t * (t - 1) * (2 * t + 5)) AS ties, sum(t) AS n FROM (SELECT topic, x, count(*) AS t FROM ser GROUP BY ALL) GROUP BY topic),
+v0 AS (SELECT topic, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var0 FROM ti),
+dt AS (SELECT ser.topic, i, x - slope * i AS y FROM ser JOIN st USING (topic)),
+rk AS (SELECT topic, i, rank() OVER (PARTITION BY topic ORDER BY y) + (count(*) OVER (PARTITION BY topic, y) - 1) / 2 AS r FROM dt),
+dv AS (SELECT topic, i, r - avg(r) OVER (PARTITION BY topic) AS d FROM rk),
+ac AS (SELECT a.topic, b.i - a.i AS k, sum(a.d * b.d) / any_value(c0) AS rho FROM dv a JOIN dv b ON a.topic = b.topic AND a.i < b.i JOIN (SELECT topic, sum(d * d) AS c0 FROM dv GROUP BY topic) c ON c.topic = a.topic GROUP BY ALL),
+co AS (SELECT topic, 1 + 2 / (52.0 * 51 * 50) * sum(CASE WHEN abs(rho) > 1.959963984540054 / sqrt(52) THEN (52 - k) * (51 - k) * (50 - k) * rho ELSE 0 END) AS corr FROM ac GROUP BY topic),
+hz AS (SELECT st.*, var0, corr, var0 * corr AS var_s, CASE WHEN s = 0 THEN 0 WHEN var0 * corr > 0 THEN (s - sign(s)) / sqrt(var0 * corr) END AS z FROM st JOIN v0 USING (topic) JOIN co USING (topic))"""
+
+
+def _weekly(spark, sf_dir):
+    return series.weekly_series(orders(spark, sf_dir))
+
+
+@query(f"WITH {MK} SELECT topic, n, CAST(s AS DOUBLE) AS s, round(tau, 9) AS tau, round(slope, 9) AS slope, round(intercept, 9) AS intercept, n_distinct FROM st")
+def mk_s_tau_sen(spark, sf_dir):
+    return trend.s_tau_sen(_weekly(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("tau", "slope", "intercept")})
+
+
+@query(f"WITH {MK} SELECT topic, round(var0, 6) AS var0 FROM v0")
+def mk_variance_ties(spark, sf_dir):
+    return trend.tie_variance(_weekly(spark, sf_dir)).withColumn("var0", F.round("var0", 6))
+
+
+@query(f"WITH {MK} SELECT topic, round(corr, 6) AS corr, round(var_s, 4) AS var_s, round(z, 6) AS z FROM hz")
+def mk_hamed_rao_z(spark, sf_dir):
+    return trend.hamed_rao(_weekly(spark, sf_dir)).select("topic", F.round("corr", 6).alias("corr"), F.round("var_s", 4).alias("var_s"), F.round("z", 6).alias("z"))
+
+
+@query()
+def mk_pvalue_class(spark, sf_dir):
+    return trend.fdr(trend.mann_kendall(_weekly(spark, sf_dir)))
+
+
+@query()
+def mk_comparison(spark, sf_dir):
+    w = _weekly(spark, sf_dir)
+    return trend.compare(trend.fdr(trend.mann_kendall(w)), trend.fdr(trend.mann_kendall(w, value="prop")))
+
+
+P_ROWS = ((0, 0.04, 0.1), (1, 0.001, -0.2), (2, 0.2, 0.3), (3, 0.03, 0.0), (4, 0.5, -0.1), (5, 0.03, 1e-9), (6, None, 0.4))
+BH = f"""p0 AS (SELECT * FROM (VALUES {_values(P_ROWS)}) v(topic, p, slope)), p1 AS (SELECT *, count(p) OVER () AS n, row_number() OVER (PARTITION BY p IS NULL ORDER BY p, topic) AS r FROM p0),
+p2 AS (SELECT topic, p, slope, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * n / r) OVER (PARTITION BY p IS NULL ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS p_adj FROM p1),
+p3 AS (SELECT *, coalesce(p_adj < 0.05, false) AS significant_fdr, CASE WHEN NOT coalesce(p_adj < 0.05, false) THEN 'stable' WHEN slope > 0 THEN 'emerging' ELSE 'declining' END AS classification_fdr FROM p2)"""
+
+
+def _p_values(spark):
+    return trend.fdr(spark.createDataFrame(list(P_ROWS), "topic int, p double, slope double"))
+
+
+@query(f"WITH {BH} SELECT topic, CAST(p AS DOUBLE) AS p, CAST(slope AS DOUBLE) AS slope, round(CAST(p_adj AS DOUBLE), 9) AS p_adj, significant_fdr, classification_fdr FROM p3")
+def bh_fdr(spark, sf_dir):
+    return _p_values(spark).withColumn("p_adj", F.round("p_adj", 9))
+
+
+@query(f"WITH {BH} SELECT topic, coalesce(abs(slope) < 1e-6 AND p < 0.05, false) AS practically_stable, CASE WHEN coalesce(abs(slope) < 1e-6 AND p < 0.05, false) THEN 'Stable (practically)' ELSE classification_fdr END AS final_class FROM p3")
+def practical_override(spark, sf_dir):
+    sure = F.coalesce(F.col("p") < 0.05, F.lit(False))
+    return _p_values(spark).select("topic", decide.practically_stable(F.col("slope"), sure).alias("practically_stable"), decide.final_class(F.col("classification_fdr"), F.col("slope"), sure).alias("final_class"))
+
+
+CLASS_ROWS = tuple((i, f, p, s) for i, (f, p, s) in enumerate((f, p, s) for f in ("stable", "emerging", "declining") for p, s in (("stable", 0.00005), ("emerging", 0.0003), ("declining", -0.0009))))
+CLASSES = f"""c0 AS (SELECT * FROM (VALUES {_values(CLASS_ROWS)}) v(topic, f, p, slope)),
+c1 AS (SELECT topic, f, p, round_even(CAST(slope AS DOUBLE) * 52 * 100, 2) AS pp FROM c0),
+c2 AS (SELECT *, CASE WHEN f = p THEN 'consistent' WHEN p = 'emerging' AND f IN ('stable', 'declining') THEN 'persistent_share' WHEN p = 'declining' AND f IN ('stable', 'emerging') THEN 'fading_share' WHEN p = 'stable' AND f <> 'stable' THEN 'volume_only' ELSE 'other' END AS divergence,
+  CASE WHEN abs(pp) < 0.5 THEN 'negligible' WHEN abs(pp) < 2 THEN 'small' ELSE 'meaningful' END AS practical FROM c1)"""
+
+
+def _classes(spark):
+    rows = spark.createDataFrame(list(CLASS_ROWS), "topic int, f string, p string, slope double")
+    side = lambda cls, slope: rows.select("topic", F.col(cls).alias("classification_fdr"), slope.alias("slope"), F.lit(0.01).alias("p_adj"))
+    return trend.compare(side("f", F.lit(0.0)), side("p", F.col("slope")))
+
+
+@query(f"WITH {CLASSES} SELECT topic, divergence, CAST(CASE divergence WHEN 'persistent_share' THEN 1 WHEN 'consistent' THEN 2 WHEN 'fading_share' THEN 3 WHEN 'volume_only' THEN 4 ELSE 5 END AS BIGINT) AS place FROM c2")
+def divergence_flag(spark, sf_dir):
+    return _classes(spark).select("topic", "divergence", decide.divergence_rank(F.col("divergence")).alias("place"))
+
+
+@query(f"WITH {CLASSES} SELECT topic, pp AS pp_per_year, practical FROM c2")
+def practical_significance(spark, sf_dir):
+    return _classes(spark).select("topic", "pp_per_year", "practical")
+
+
+@query(f"WITH {CLASSES} SELECT coalesce(p, 'Total') AS prop_class, coalesce(practical, 'Total') AS practical, count(*) AS n FROM c2 GROUP BY CUBE (p, practical)")
+def class_crosstab(spark, sf_dir):
+    return trend.class_crosstab(_classes(spark))
+
+
+@query(f"WITH {CLASSES} SELECT topic, p AS prop_class, practical FROM c2 WHERE p <> 'stable' AND practical IN ('negligible', 'small')")
+def trend_edge_cases(spark, sf_dir):
+    return trend.edge_cases(_classes(spark)).select("topic", "prop_class", "practical")
+
+
+# ---- drift
+
+CENTROIDS = """el AS (SELECT label AS topic, CAST(vec_id % 12 + 1 AS INTEGER) AS month, unnest(embedding) AS v, unnest(range(len(embedding))) AS k FROM embeddings),
+ce AS (SELECT topic, month, k, avg(CAST(v AS DOUBLE)) AS v, count(*) AS n FROM el GROUP BY ALL), cv AS (SELECT topic, month, any_value(n) AS n, list(v ORDER BY k) AS vec FROM ce GROUP BY ALL),
+mm AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS m),
+me AS (SELECT t.topic, a.m AS m1, b.m AS m2, list_cosine_similarity(x.vec, y.vec) AS cos FROM (SELECT DISTINCT topic FROM cv) t CROSS JOIN mm a CROSS JOIN mm b LEFT JOIN cv x ON x.topic = t.topic AND x.month = a.m LEFT JOIN cv y ON y.topic = t.topic AND y.month = b.m)"""
+
+
+def _cells(spark, sf_dir):
+    return drift.centroids(vectors(spark, sf_dir))
+
+
+def _semantic(spark, sf_dir):
+    return drift.similarity_matrix(_cells(spark, sf_dir))
+
+
+@query(f"WITH {CENTROIDS} SELECT topic, month, k, n, round(v, 9) AS v FROM ce")
+def embedding_centroids(spark, sf_dir):
+    return _cells(spark, sf_dir).select("topic", "month", "n", F.posexplode("vec").alias("k", "v")).select("topic", "month", F.col("k").cast("long").alias("k"), "n", F.round("v", 9).alias("v"))
+
+
+@query(f"WITH {CENTROIDS} SELECT topic, m1, m2, round(cos, 9) AS cos FROM me")
+def cosine_matrix_emb(spark, sf_dir):
+    return _semantic(spark, sf_dir).withColumn("cos", F.round("cos", 9))
+
+
+@query(f"WITH {CENTROIDS} SELECT topic, m1, m2, round(cos, 9) AS cos FROM me WHERE m2 = m1 + 1")
+def cosine_consecutive_emb(spark, sf_dir):
+    return drift.consecutive(_semantic(spark, sf_dir)).withColumn("cos", F.round("cos", 9))
+
+
+LANGS = ("de", "en", "es", "fr")
+SETS = f"""{TOKENS}, tc AS (SELECT list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS topic, month, token, count(*) AS n FROM (SELECT lang, month, unnest(t) AS token FROM toks) GROUP BY ALL),
+t5 AS (SELECT * FROM tc QUALIFY row_number() OVER (PARTITION BY topic, month ORDER BY n DESC, token) <= 5),
+ws AS (SELECT topic, month, list(token ORDER BY token) AS words FROM t5 GROUP BY ALL), mm2 AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS m),
+mw AS (SELECT t.topic, a.m AS m1, b.m AS m2, len(list_intersect(x.words, y.words)) / sqrt(len(x.words) * len(y.words)) AS cos FROM (SELECT DISTINCT topic FROM ws) t CROSS JOIN mm2 a CROSS JOIN mm2 b LEFT JOIN ws x ON x.topic = t.topic AND x.month = a.m LEFT JOIN ws y ON y.topic = t.topic AND y.month = b.m)"""
+
+
+def _sets(spark, sf_dir):
+    topic = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("lang")) - 1
+    d = documents(spark, sf_dir).select(topic.alias("Topic"), (F.col("doc_id") % 12 + 1).cast("int").alias("Timestamp"), "clean")
+    top = clean.token_frequencies(d, "clean", 5, ("Topic", "Timestamp"))
+    return drift.word_sets(top.groupBy("Topic", "Timestamp").agg(F.array_join(F.collect_list("token"), ", ").alias("Words")))
+
+
+@query(f"WITH {SETS} SELECT topic, month, array_to_string(words, ',') AS words FROM ws")
+def word_sets_monthly(spark, sf_dir):
+    return _sets(spark, sf_dir).withColumn("words", F.array_join("words", ","))
+
+
+@query(f"WITH {SETS} SELECT DISTINCT unnest(words) AS word FROM ws")
+def word_vocabulary(spark, sf_dir):
+    return drift.vocabulary(_sets(spark, sf_dir))
+
+
+@query(f"WITH {SETS} SELECT topic, m1, m2, round(cos, 9) AS cos FROM mw")
+def cosine_matrix_words(spark, sf_dir):
+    return drift.set_similarity_matrix(_sets(spark, sf_dir)).withColumn("cos", F.round("cos", 9))
+
+
+@query(f"WITH {SETS} SELECT topic, m1, m2, round(cos, 9) AS cos FROM mw WHERE m2 = m1 + 1")
+def cosine_consecutive_words(spark, sf_dir):
+    return drift.consecutive(drift.set_similarity_matrix(_sets(spark, sf_dir))).withColumn("cos", F.round("cos", 9))
+
+
+@query(f"WITH {CENTROIDS} SELECT topic, round(avg(cos) FILTER (m1 <> m2), 9) AS mean_cos FROM me GROUP BY topic")
+def drift_means(spark, sf_dir):
+    return drift.mean_similarity(_semantic(spark, sf_dir)).withColumn("mean_cos", F.round("mean_cos", 9))
+
+
+@query(f"WITH {CENTROIDS}, om AS (SELECT topic, avg(cos) AS o FROM me WHERE m1 <> m2 GROUP BY topic), mo AS (SELECT topic, m1 AS month, avg(cos) AS mean FROM me WHERE m1 <> m2 GROUP BY ALL) SELECT topic, month, round_even(mean, 4) AS mean FROM mo JOIN om USING (topic) WHERE mean < o - 0.02")
+def outlier_months(spark, sf_dir):
+    return drift.outlier_months(_semantic(spark, sf_dir), 0.02).select("topic", F.inline("outliers"))
+
+
+@query(f"WITH {CENTROIDS}, {SETS}, d1 AS (SELECT topic, round_even(avg(cos), 4) AS d1_mean FROM me WHERE m1 <> m2 GROUP BY topic), d2 AS (SELECT topic, round_even(avg(cos), 4) AS d2_mean FROM mw WHERE m1 <> m2 GROUP BY topic) SELECT CAST(topic AS BIGINT) AS topic, d1_mean, d2_mean, CASE WHEN d1_mean >= 0.7 AND d2_mean >= 0.6 THEN 'Stable' WHEN d1_mean >= 0.7 THEN 'Paraphrase' WHEN d2_mean >= 0.6 THEN 'Lexical-anchor drift' ELSE 'Topic drift' END AS pattern FROM d1 JOIN d2 USING (topic)")
+def drift_pattern(spark, sf_dir):
+    made = drift.drift_table(_semantic(spark, sf_dir), drift.set_similarity_matrix(_sets(spark, sf_dir)), 0.7, 0.6)
+    return made.withColumn("topic", F.col("topic").cast("long"))
+
+
+@query(f"WITH {CENTROIDS}, v AS (SELECT least(floor((cos - 0) / 0.05), 19) AS bin FROM me WHERE m1 < m2 AND cos BETWEEN 0 AND 1) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY bin")
+def similarity_histogram(spark, sf_dir):
+    return drift.histogram(_semantic(spark, sf_dir).where("m1 < m2"), "cos")
+
+
+# ---- topic words
+
+CT = f"""{TOKENS}, un AS (SELECT topic, month, unnest(t) AS term FROM toks), bi AS (SELECT topic, month, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM toks WHERE len(t) > 1),
+occ AS (SELECT * FROM un UNION ALL SELECT * FROM bi), cn AS (SELECT topic, term, count(*) AS tf FROM occ GROUP BY ALL),
+pv AS (SELECT topic, term, tf FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM cn) WHERE df >= 2 AND df <= 0.95 * (SELECT count(DISTINCT topic) FROM cn)),
+av AS (SELECT floor(avg(n)) AS a FROM (SELECT sum(tf) AS n FROM pv GROUP BY topic)),
+cw AS (SELECT pv.topic, pv.term, tf, tf / sum(tf) OVER (PARTITION BY pv.topic) * ln(1 + (SELECT a FROM av) / f) AS weight FROM pv JOIN (SELECT term, sum(tf) AS f FROM pv GROUP BY term) USING (term)),
+tw AS (SELECT * FROM (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, term) AS rank FROM cw) WHERE rank <= 10)"""
+
+
+def _weights(spark, sf_dir):
+    return topics.ctfidf(topics.prune_vocabulary(topics.term_counts(doc_topics(spark, sf_dir), "clean")))
+
+
+@query(f"WITH {CT} SELECT count(*) AS n_rows, count(DISTINCT term) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_occurrences FROM pv")
+def vocab_prune(spark, sf_dir):
+    p = topics.prune_vocabulary(topics.term_counts(doc_topics(spark, sf_dir), "clean"))
+    return p.agg(F.count("*").alias("n_rows"), F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_occurrences"))
+
+
+@query(f"WITH {CT} SELECT topic, rank, term, round(weight, 9) AS weight FROM tw")
+def ctfidf_top_words(spark, sf_dir):
+    return topics.top_words(_weights(spark, sf_dir)).withColumn("weight", F.round("weight", 9)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {CT}, sz AS (SELECT CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS topic, count(*) AS count FROM documents GROUP BY ALL) SELECT topic, count, topic || '_' || (SELECT string_agg(term, '_' ORDER BY rank) FROM tw WHERE tw.topic = sz.topic AND rank <= 4) AS name FROM sz")
+def topic_info(spark, sf_dir):
+    return topics.topic_info(doc_topics(spark, sf_dir), topics.top_words(_weights(spark, sf_dir)))
+
+
+MERGE = ([3, 5], [9, 12])
+
+
+@query("""WITH d AS (SELECT doc_id, CASE CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) WHEN 5 THEN 3 WHEN 12 THEN 9 WHEN 19 THEN -1 ELSE CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) END AS topic FROM documents),
+s AS (SELECT topic, row_number() OVER (ORDER BY count(*) DESC, topic) - 1 AS new FROM d WHERE topic <> -1 GROUP BY topic) SELECT d.doc_id, CAST(coalesce(new, -1) AS INTEGER) AS topic FROM d LEFT JOIN s USING (topic)""")
+def topic_merge_relabel(spark, sf_dir):
+    d = doc_topics(spark, sf_dir).select("doc_id", F.when(F.col("topic") == 19, -1).otherwise(F.col("topic")).alias("topic"))
+    return topics.merge_topics(d, [list(g) for g in MERGE])
+
+
+@query("SELECT CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS topic, CASE CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) WHEN 0 THEN 'login' WHEN 1 THEN 'transfer' ELSE 'Topic ' || CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) END AS label, count(*) AS n FROM documents GROUP BY ALL")
+def topic_labels(spark, sf_dir):
+    return topics.with_labels(doc_topics(spark, sf_dir), {0: "login", 1: "transfer"}).groupBy("topic", "label").agg(F.count("*").alias("n"))
+
+
+UNI = f"""{TOKENS}, cn AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic, unnest(t) AS term FROM toks) GROUP BY ALL), av AS (SELECT floor(avg(n)) AS a FROM (SELECT sum(tf) AS n FROM cn GROUP BY topic)),
+idf AS (SELECT term, ln(1 + (SELECT a FROM av) / sum(tf)) AS idf FROM cn GROUP BY term), cw AS (SELECT cn.topic, cn.term, tf, tf / sum(tf) OVER (PARTITION BY cn.topic) * idf AS weight FROM cn JOIN idf USING (term))"""
+
+
+@query(f"""WITH RECURSIVE {UNI}, mc AS (SELECT topic, month, term, count(*) AS tf FROM (SELECT topic, month, unnest(t) AS term FROM toks) GROUP BY ALL),
+cell AS (SELECT mc.topic, mc.month, mc.term, tf / sum(tf) OVER (PARTITION BY mc.topic, mc.month) * idf AS w FROM mc JOIN idf USING (term)),
+pres AS (SELECT topic, month, count(*) AS freq FROM toks GROUP BY ALL),
+full_ AS (SELECT p.topic, p.month, cw.term, coalesce(c.w, 0) AS w, cw.weight AS g FROM pres p JOIN cw ON cw.topic = p.topic LEFT JOIN cell c ON c.topic = p.topic AND c.month = p.month AND c.term = cw.term),
+tuned AS (SELECT f.topic, f.month, f.term, (f.g + f.w) / 2 AS w FROM full_ f WHERE NOT EXISTS (SELECT 1 FROM pres p WHERE p.topic = f.topic AND p.month = f.month - 1)
+  UNION ALL SELECT f.topic, f.month, f.term, (f.g + (f.w + t.w) / 2) / 2 FROM full_ f JOIN tuned t ON t.topic = f.topic AND t.term = f.term AND t.month = f.month - 1),
+best AS (SELECT topic, month, term, row_number() OVER (PARTITION BY topic, month ORDER BY round(w, 12) DESC, term) AS r FROM tuned QUALIFY r <= 5)
+SELECT p.topic, p.month, p.freq, (SELECT string_agg(term, ', ' ORDER BY r) FROM best b WHERE b.topic = p.topic AND b.month = p.month) AS words FROM pres p""")
+def dtm_words_over_time(spark, sf_dir):
+    return topics.topics_over_time(doc_topics(spark, sf_dir), "clean").withColumn("words", F.array_join("words", ", "))
+
+
+@query(f"""WITH {UNI}, un AS (SELECT *, weight / tf AS u FROM cw), dc AS (SELECT doc_id, topic, term, count(*) AS c FROM (SELECT doc_id, topic, unnest(t) AS term FROM toks) GROUP BY ALL),
+cs AS (SELECT dc.doc_id, dc.topic, sum(c * u * weight) / sqrt(sum(c * u * c * u)) AS x FROM dc JOIN un USING (topic, term) GROUP BY ALL),
+sm AS (SELECT cs.topic, doc_id, round(x / nt, 9) AS similarity FROM cs JOIN (SELECT topic, sqrt(sum(weight * weight)) AS nt FROM cw GROUP BY topic) USING (topic))
+SELECT topic, rank, doc_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, doc_id) AS rank FROM sm) WHERE rank <= 3""")
+def representative_docs(spark, sf_dir):
+    d = doc_topics(spark, sf_dir)
+    weights = topics.ctfidf(topics.term_counts(d, "clean", bigrams=False))
+    return topics.representative_documents(d, weights, "doc_id", "clean").withColumn("rank", F.col("rank").cast("long")).withColumn("similarity", F.round("similarity", 6))
+
+
+COH = f"""{UNI}, top AS (SELECT topic, term FROM cw QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, term) <= 5), ti AS (SELECT DISTINCT term FROM top),
+ps AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos, len(t) AS n FROM toks WHERE len(t) > 0),
+oc AS (SELECT doc_id, term, pos, greatest(n - 10 + 1, 1) AS last FROM ps WHERE term IN (SELECT term FROM ti)),
+hw AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(pos - 9, 0), least(pos, last - 1) + 1)) AS w FROM oc),
+nw AS (SELECT sum(greatest(len(t) - 10 + 1, 1)) AS total FROM toks WHERE len(t) > 0), one AS (SELECT term, count(*) AS n FROM hw GROUP BY term),
+two AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM hw a JOIN hw b ON a.doc_id = b.doc_id AND a.w = b.w AND a.term < b.term GROUP BY ALL),
+pq AS (SELECT x.topic, least(x.term, y.term) AS a, greatest(x.term, y.term) AS b FROM top x JOIN top y ON x.topic = y.topic AND x.term <> y.term),
+np AS (SELECT topic, coalesce(two.n, 0) / total + 1e-12 AS p, oa.n / total AS pa, ob.n / total AS pb FROM pq CROSS JOIN nw JOIN one oa ON oa.term = pq.a JOIN one ob ON ob.term = pq.b LEFT JOIN two ON two.a = pq.a AND two.b = pq.b)"""
+
+
+def _coherence_words(d):
+    return topics.top_words(topics.ctfidf(topics.term_counts(d, "clean", bigrams=False)), 5)
+
+
+@query(f"WITH {COH} SELECT topic, round(avg(ln(p / (pa * pb)) / -ln(p)), 6) AS c_npmi FROM np GROUP BY topic")
+def coherence_npmi(spark, sf_dir):
+    d = doc_topics(spark, sf_dir)
+    return coherence.c_npmi(d, _coherence_words(d), "doc_id", "clean").withColumn("c_npmi", F.round("c_npmi", 6))
+
+
+@query()
+def coherence_cv(spark, sf_dir):
+    d = doc_topics(spark, sf_dir)
+    return coherence.c_v(d, _coherence_words(d), "doc_id", "clean")
+
+
+PREDICTED = ((0, "ok", (("id", 0.6),)), (1, "ok", (("id", 0.4), ("en", 0.3))), (2, "ok", (("ms", 0.5), ("id", 0.2))), (3, "ok", (("ms", 0.5), ("id", 0.19))), (4, " ", (("id", 0.9),)), (5, "ok", (("en", 0.4), ("ms", 0.3), ("id", 0.25))), (6, None, ()))
+
+
+@query("SELECT * FROM (VALUES (0, 'id', 0.6::DOUBLE, 1), (1, 'id', 0.4, 2), (2, 'ms', 0.5, 2), (3, 'ms', 0.5, 3), (4, '', 0.0, 3), (5, 'en', 0.4, 2), (6, '', 0.0, 3)) v(review_id, lang_top, lang_top_conf, lang_tier)")
+def language_tier(spark, sf_dir):
+    d = spark.createDataFrame(list(PREDICTED), "review_id int, text string, preds array<struct<lang: string, prob: double>>")
+    return d.select("review_id", decide.language_tier(F.col("text"), F.col("preds")).alias("t")).select("review_id", "t.*")
+
+
+# ---- end to end
+
+@query(f"""WITH {TOKENS}, k AS (SELECT d.doc_id, d.lang, t FROM toks JOIN (SELECT doc_id, lang, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1) d USING (doc_id) WHERE len(t) >= 5),
+c AS (SELECT lang, token, count(*) AS count FROM (SELECT lang, unnest(t) AS token FROM k) GROUP BY ALL)
+SELECT lang, token, count, row_number() OVER (PARTITION BY lang ORDER BY count DESC, token) AS rank FROM c QUALIFY rank <= 10""")
+def flagship(spark, sf_dir):
+    """Normalise, drop copies and short texts, then the ten most frequent tokens of each language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = clean.filter_short(clean.apply_normalization(clean.drop_exact_duplicates(d, "text", ("doc_id",)), "text", "clean"), "clean")
+    return clean.token_frequencies(d, "clean", 10, ("lang",)).withColumn("rank", F.col("rank").cast("long"))
+
+
