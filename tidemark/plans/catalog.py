@@ -317,9 +317,9 @@ def month_distribution(spark, sf_dir):
 
 _CATEGORY = "CASE WHEN quality = 1 AND toxic = 0 THEN 'Bug Report' WHEN quality = 1 THEN 'Feature Request' WHEN toxic = 0 THEN 'Rating (Praise/Dispraise)' ELSE 'Non-Technical Complaint' END"
 LABELED = f"lab AS (SELECT d.lang, {_CATEGORY} AS category FROM labels l JOIN documents d USING (doc_id) WHERE d.lang <> 'fr')"
-COCHRAN = f"""{LABELED}, pop AS (SELECT lang, count(*) / (SELECT count(*) FROM documents) AS weight FROM documents GROUP BY lang),
-cell AS (SELECT lang, category, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY lang) AS p FROM lab GROUP BY ALL),
-cat AS (SELECT category, CAST(sum(n) AS BIGINT) AS raw_count, sum(n) * 100 / (SELECT count(*) FROM lab) AS raw_pct, sum(p * weight) * 100 AS weighted_pct, bool_or(list_contains(['Bug Report', 'Feature Request', 'User Experience'], category)) AS is_technical FROM cell JOIN pop USING (lang) GROUP BY category),
+COCHRAN = f"""{LABELED}, pop AS (SELECT lang, n_pop / sum(n_pop) OVER () AS weight FROM (SELECT lang, count(*) AS n_pop FROM documents GROUP BY lang) g),
+cell AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS p FROM (SELECT lang, category, count(*) AS n FROM lab GROUP BY lang, category) g),
+cat AS (SELECT category, CAST(sum(n) AS BIGINT) AS raw_count, sum(n) * 100 / any_value(n_lab) AS raw_pct, sum(p * weight) * 100 AS weighted_pct, bool_or(list_contains(['Bug Report', 'Feature Request', 'User Experience'], category)) AS is_technical FROM cell JOIN pop USING (lang) CROSS JOIN (SELECT count(*) AS n_lab FROM lab) z GROUP BY category),
 per AS (SELECT lang, avg(CAST(list_contains(['Bug Report', 'Feature Request', 'User Experience'], category) AS INTEGER)) * 100 AS validity_pct, count(*) AS sample_count FROM lab GROUP BY lang)"""
 
 
