@@ -29,7 +29,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix takes them."""
-    return mixing.apply_mixture(docs, mixing.plan_mixture(docs)).drop("shard")
+    return mixing.apply_mixture(docs, mixing.plan_mixture(docs), shard=None)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,12 +107,14 @@ def mixture_summary(plan: DataFrame) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies")
 
 
-def apply_mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents, each as often as the plan takes it, with column ``shard``."""
-    keyed = docs.withColumn("_key", text_key(text))
+def apply_mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shard: str | None = "shard") -> DataFrame:
+    """The documents, each as often as the plan takes it, with its copy's shard in a column of that name (None: without), which replaces one of docs."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.col(source).alias("_own"))
     taken = plan.where(F.size("copies") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.col("source").alias("_source"), "copies")
-    same = F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")) & F.col(source).eqNullSafe(F.col("_source"))
-    return keyed.join(taken, same).select(*docs.columns, F.explode("copies").alias("shard"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")) & F.col("_own").eqNullSafe(F.col("_source"))
+    each = rows.join(taken, same).select("row", F.explode("copies").alias("_shard"))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != shard]
+    return each.select(*kept, *([F.col("_shard").alias(shard)] if shard else []))
 
 
 def write_mixture(mixed: DataFrame, path: str, shards: int = 16, doc_id: str = "doc_id", seed: int = 17) -> None:

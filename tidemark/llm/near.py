@@ -232,6 +232,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc
 def keep_one(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class; texts without words all stay, but equal rows once."""
     kept = near_duplicates(docs, similarity, doc_id, text).where("keeps").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text", F.xxhash64(F.col(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key"))
-    return keyed.join(kept, same).dropDuplicates(["_doc", "_key"]).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"))
+    return keyed.join(kept, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key"))).dropDuplicates(["_doc", "_key"]).select("row.*")
