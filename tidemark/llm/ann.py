@@ -10,7 +10,7 @@ Identical vectors are searched once: as candidates only the k + 1 smallest ids o
 share a search for k + 1. Leaves with many rows are split by hash and each part is searched by itself.
 
 Rows take no part whose id is null or whose vector is null, of another length than most, zero, or holds null or non-finite
-components. Of rows with one id and vector one counts; a query's own id is never its neighbour. An empty table gives no rows. Only the
+components. Of rows with one id the one with the least bytes counts; a query's own id is never its neighbour. An empty table gives no rows. Only the
 two named columns are read.
 """
 
@@ -176,11 +176,12 @@ def search(
                 leaf = shared.value.assign(_unit(_matrix(b.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), b.column(0), b.column(1)], ["leaf", "id", "v"])
 
-    placed = materialise(_packed(rows, k + 1).mapInArrow(to_leaf, "leaf int, id long, v binary"))
+    single = _packed(rows, k + 1).groupBy("id").agg(F.min("v").alias("v"))
+    placed = materialise(single.mapInArrow(to_leaf, "leaf int, id long, v binary"))
     parts = {r.leaf: -(-r["count"] // PART) for r in placed.groupBy("leaf").count().collect()}  # a number per leaf of the bounded tree
 
     raw = _packed(rows.where(F.pmod(F.col("id"), F.lit(every)) == 0), 1 << 30)
-    asked = materialise(raw.distinct())
+    asked = materialise(raw.groupBy("id").agg(F.min("v").alias("v")))
     once = asked.groupBy("v").agg(F.min("id").alias("query"))
 
     # how far to go: brute force for a few queries over all rows, in blocks
