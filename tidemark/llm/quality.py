@@ -69,8 +69,8 @@ def text_stats(text: str) -> tuple:
     # the share of distinct words falls with length, so the exponent of Heaps' law stands for it
     distinct = math.log(len(set(words)) + 1) / math.log(n + 1)
     upper = sum(1 for c in text if c.isupper()) if text != text.lower() else 0
-    # short texts lean to usual values: as if 200 more characters stood in each
-    x = [math.log1p(n), min(40.0, (chars + 100) / (n + 20)), distinct, math.sqrt((upper + 4) / (chars + 200)), math.sqrt((len(_MARK.findall(text)) + 6) / (chars + 200)), math.log1p(float(lengths.std()))]
+    # short texts lean to usual values: as if 200 characters in 20 words more stood in each
+    x = [math.log1p(n), min(40.0, (chars + 100) / (n + 20)), distinct, math.sqrt((upper + 4) / (chars + 200)), math.sqrt((len(_MARK.findall(text)) + 6) / (chars + 200)), math.log1p(math.sqrt((n * float(lengths.var()) + 180) / (n + 20)))]
     return n, chars, len(_SYMBOL.findall(text)), dup, repeat_words(words), x
 
 
@@ -159,7 +159,7 @@ def outlier_distances(stats: DataFrame, share: float = 0.75, steps: int = 3, lea
     return rows.join(side(est), "grp", "left").withColumn("d2", F.coalesce(_distance(F.col("x"), F.col("at"), F.col("metric")), F.lit(0.0))).drop("grp", "at", "metric")
 
 
-def quality_rules(docs: DataFrame, cutoff: float = 150.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, cutoff: float = 60.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2."""
     stats = materialise(document_stats(docs, doc_id, text, lang, source))
     far = outlier_distances(stats)
