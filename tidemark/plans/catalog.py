@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import decide, reltime, text
-from tidemark.operators import clean, coherence, drift, lexicon, sampling, series, topics, trend, validation
+from tidemark.operators import clean, coherence, drift, lexicon, report, sampling, series, topics, trend, validation
 from tidemark.plans import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,3 +675,64 @@ def flagship(spark, sf_dir):
     return clean.token_frequencies(d, "clean", 10, ("lang",)).withColumn("rank", F.col("rank").cast("long"))
 
 
+
+
+# ---- plot-ready tables
+
+LABELS = {1: "urgent", 2: "high"}
+_LABEL = "CASE topic WHEN 1 THEN 'urgent' WHEN 2 THEN 'high' ELSE 'Topic ' || topic END"
+
+
+@query(f"WITH {FREQ} SELECT topic, relative_month, freq, CAST(sum(freq) OVER (PARTITION BY topic) AS BIGINT) AS total_n, {_LABEL} AS label FROM freq")
+def plot_small_multiples(spark, sf_dir):
+    return report.small_multiples(series.topic_frequency(orders(spark, sf_dir)), LABELS)
+
+
+@query(f"WITH {FREQ} SELECT topic, relative_month, freq, total, round(prop, 9) AS prop, {_LABEL} AS label, topic IN (1, 3) AS is_highlight FROM prop")
+def plot_proportions(spark, sf_dir):
+    return report.proportions(series.topic_frequency(orders(spark, sf_dir)), LABELS, (1, 3)).withColumn("prop", F.round("prop", 9))
+
+
+@query(f"WITH {CENTROIDS} SELECT topic, m1, m2, round(cos, 9) AS cos, round(min(cos) OVER (), 9) AS min_cos, round(max(cos) OVER (), 9) AS max_cos, CASE topic WHEN 1 THEN 'urgent' WHEN 2 THEN 'high' ELSE 'T' || topic END AS label FROM me")
+def plot_heatmaps(spark, sf_dir):
+    return report.heatmaps(_semantic(spark, sf_dir), LABELS).withColumns({c: F.round(c, 9) for c in ("cos", "min_cos", "max_cos")})
+
+
+@query(f"WITH {SETS} SELECT topic, m1, m2, round(cos, 9) AS cos, CASE topic WHEN 1 THEN 'urgent' WHEN 2 THEN 'high' ELSE 'T' || topic END AS label, topic = 1 AS is_highlight FROM mw WHERE m2 = m1 + 1")
+def plot_consecutive(spark, sf_dir):
+    made = report.consecutive_lines(drift.set_similarity_matrix(_sets(spark, sf_dir)), {1: "urgent", 2: "high"}, (1,))
+    return made.withColumn("cos", F.round("cos", 9))
+
+
+@query(f"WITH {ORDERS}, d AS (SELECT relative_month, count(*) AS count FROM ord GROUP BY relative_month), p AS (SELECT *, round_even(count * 100 / sum(count) OVER (), 2) AS pct FROM d) SELECT relative_month, count, pct, repeat('█', CAST(floor(pct / 2) AS INTEGER)) AS bar FROM p")
+def plot_text_bars(spark, sf_dir):
+    return report.text_bars(validation.distribution(orders(spark, sf_dir), "relative_month"))
+
+
+@query(f"WITH {MK} SELECT wk.topic, wk.relative_week, wk.freq, round(intercept + slope * (wk.relative_week - 1), 6) AS sen_line, CASE wk.topic WHEN 1 THEN 'urgent' WHEN 2 THEN 'high' ELSE 'Topic ' || wk.topic END AS label FROM wk JOIN st ON wk.topic = st.topic")
+def plot_sen_lines(spark, sf_dir):
+    """Of all topics, as if each trend were significant."""
+    w = _weekly(spark, sf_dir)
+    every = trend.s_tau_sen(w).withColumn("significant_fdr", F.lit(True))
+    return report.trend_lines(w, every, LABELS).withColumn("sen_line", F.round("sen_line", 6))
+
+
+@query()
+def plot_forest(spark, sf_dir):
+    return report.forest(trend.fdr(trend.mann_kendall(_weekly(spark, sf_dir))), LABELS)
+
+
+@query()
+def simple_sample(spark, sf_dir):
+    return sampling.simple_sample(orders(spark, sf_dir), "order_key", 50)
+
+
+@query("SELECT doc_id, lang_tier FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS lang_tier FROM documents) WHERE lang_tier IN (1, 2)")
+def language_tier_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).otherwise(3).alias("lang_tier"))
+    return clean.filter_language_tier(d)[0]
+
+
+@query("SELECT c_custkey, c_mktsegment, replace(replace(c_name, ' ', '_'), '/', '-') AS file_name FROM customer")
+def file_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", text.file_name(F.col("c_name")).alias("file_name"))
