@@ -1,7 +1,7 @@
 """Mann-Kendall trend tests with Hamed-Rao correction, Sen slopes and false-discovery control.
 
-Everything is joins, windows and aggregates over topics x periods rows; only the normal tail of the p-value, which Spark lacks, is a
-vectorised UDF over one row per topic.
+A topic's series is gathered into one array (as long as there are periods, so bounded) and tested by array expressions: one shuffle and no
+self-joins. Only the normal tail of the p-value, which Spark lacks, is a vectorised UDF over one row per topic.
 """
 
 from __future__ import annotations
@@ -20,47 +20,71 @@ from tidemark.functions import decide
 LEAST_DISTINCT = 3
 
 
-def _indexed(series: DataFrame, topic: str, period: str, value: str) -> DataFrame:
-    no = F.row_number().over(W.partitionBy(topic).orderBy(period)) - 1
-    return series.select(F.col(topic).alias("topic"), no.alias("i"), F.col(value).cast("double").alias("x"))
+def _gathered(series: DataFrame, topic: str, period: str, value: str) -> DataFrame:
+    """topic, x: a topic's values in order of period. One shuffle; everything else is computed on these short arrays."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(period), F.col(value).cast("double").alias("v"))))
+    return series.groupBy(F.col(topic).alias("topic")).agg(F.transform(pairs, lambda p: p["v"]).alias("x")).withColumn("n", F.size("x").cast("long"))
+
+
+def _range(low: Column, high: Column) -> Column:
+    """Whole numbers from low to high; none if low is above."""
+    return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def _median(values: Column) -> Column:
+    v, n = F.array_sort(values), F.size(values)
+    return F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2)
+
+
+def _with_sen(gathered: DataFrame) -> DataFrame:
+    """Adds s, tau, slope, intercept, n_distinct."""
+    x, n = F.col("x"), F.col("n")
+    over_pairs = lambda f: F.flatten(F.transform(_range(F.lit(0), n - 2), lambda i: F.transform(_range(i + 1, n - 1), lambda j: f(i, j))))
+    made = gathered.withColumns({
+        "s": _total(over_pairs(lambda i, j: F.signum(F.get(x, j) - F.get(x, i)))),
+        "slope": _median(over_pairs(lambda i, j: (F.get(x, j) - F.get(x, i)) / (j - i))),
+        "mid": _median(x), "n_distinct": F.size(F.array_distinct(x)).cast("long"),
+    })
+    tau = F.when(n > 1, F.col("s") / (n * (n - 1) / 2))
+    return made.withColumn("tau", tau).withColumn("intercept", F.col("mid") - F.coalesce("slope", F.lit(0.0)) * (n - 1) / 2)
+
+
+def _with_variance(gathered: DataFrame) -> DataFrame:
+    """Adds var0: the variance of S with ties and without autocorrelation."""
+    x, n = F.col("x"), F.col("n")
+    t = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda w: w == v)).cast("double"))
+    return gathered.withColumn("var0", (n * (n - 1) * (2 * n + 5) - _total(F.transform(t, lambda k: k * (k - 1) * (2 * k + 5)))) / 18)
 
 
 def s_tau_sen(series: DataFrame, topic: str = "topic", period: str = "relative_week", value: str = "freq") -> DataFrame:
     """topic, n, s, tau, slope, intercept, n_distinct."""
-    x = _indexed(series, topic, period, value)
-    a, b = x.select("topic", F.col("i").alias("ia"), F.col("x").alias("xa")), x.select("topic", F.col("i").alias("ib"), F.col("x").alias("xb"))
-    pairs = a.join(b, "topic").where(F.col("ia") < F.col("ib"))  # periods squared for each topic
-    slopes = pairs.groupBy("topic").agg(F.sum(F.signum(F.col("xb") - F.col("xa"))).alias("s"), F.expr("percentile((xb - xa) / (ib - ia), 0.5)").alias("slope"))
-    base = x.groupBy("topic").agg(F.count("*").alias("n"), F.expr("percentile(x, 0.5)").alias("mid"), F.countDistinct("x").alias("n_distinct"))
-    tau = F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)
-    return base.join(slopes, "topic").select("topic", "n", "s", tau.alias("tau"), "slope", (F.col("mid") - F.col("slope") * (F.col("n") - 1) / 2).alias("intercept"), "n_distinct")
+    return _with_sen(_gathered(series, topic, period, value)).select("topic", "n", "s", "tau", "slope", "intercept", "n_distinct")
 
 
 def tie_variance(series: DataFrame, topic: str = "topic", period: str = "relative_week", value: str = "freq") -> DataFrame:
-    """topic, var0: the variance of S with ties and without autocorrelation."""
-    x = _indexed(series, topic, period, value)
-    ties = x.groupBy("topic", "x").agg(F.count("*").alias("t")).groupBy("topic").agg(F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("ties"), F.sum("t").alias("n"))
-    n = F.col("n")
-    return ties.select("topic", ((n * (n - 1) * (2 * n + 5) - F.col("ties")) / 18).alias("var0"))
+    """topic, var0."""
+    return _with_variance(_gathered(series, topic, period, value)).select("topic", "var0")
 
 
 def hamed_rao(series: DataFrame, topic: str = "topic", period: str = "relative_week", value: str = "freq", alpha: float = 0.05) -> DataFrame:
     """topic, n, s, tau, slope, intercept, n_distinct, var0, corr, var_s, z."""
-    x = _indexed(series, topic, period, value)
-    base = s_tau_sen(series, topic, period, value).join(tie_variance(series, topic, period, value), "topic")
-    y = x.join(base.select("topic", "slope"), "topic").withColumn("y", F.col("x") - F.col("slope") * F.col("i"))
-    rank = F.rank().over(W.partitionBy("topic").orderBy("y")) + (F.count("*").over(W.partitionBy("topic", "y")) - 1) / 2
-    r = y.select("topic", "i", rank.alias("r")).withColumn("d", F.col("r") - F.avg("r").over(W.partitionBy("topic")))
-    lags = r.select("topic", F.col("i").alias("ia"), F.col("d").alias("da")).join(r.select("topic", F.col("i").alias("ib"), F.col("d").alias("db")), "topic").where(F.col("ia") < F.col("ib"))
-    rho = lags.groupBy("topic", (F.col("ib") - F.col("ia")).alias("k")).agg(F.sum(F.col("da") * F.col("db")).alias("c"))
-    rho = rho.join(r.groupBy("topic").agg(F.sum(F.col("d") * F.col("d")).alias("c0"), F.count("*").alias("n")), "topic").withColumn("rho", F.when(F.col("c0") > 0, F.col("c") / F.col("c0")))
-    bound = NormalDist().inv_cdf(1 - alpha / 2) / F.sqrt("n")
-    n, k = F.col("n"), F.col("k")
-    kept = F.when(F.abs("rho") > bound, (n - k) * (n - k - 1) * (n - k - 2) * F.col("rho")).otherwise(0.0)
-    corr = rho.groupBy("topic").agg((1 + 2 / (F.first("n") * (F.first("n") - 1) * (F.first("n") - 2)) * F.sum(kept)).alias("corr"))
-    made = base.join(corr, "topic", "left").withColumn("var_s", F.col("var0") * F.coalesce("corr", F.lit(1.0)))
+    df = _with_variance(_with_sen(_gathered(series, topic, period, value)))
+    n, y, r, d, rho = F.col("n"), F.col("y"), F.col("r"), F.col("d"), F.col("rho")
+    df = df.withColumn("y", F.transform("x", lambda v, i: v - F.col("slope") * i))
+    df = df.withColumn("r", F.transform(y, lambda v: F.size(F.filter(y, lambda w: w < v)) + (F.size(F.filter(y, lambda w: w == v)) + 1) / 2))
+    df = df.withColumn("d", F.transform(r, lambda v: v - _total(r) / n))
+    lagged = lambda k: _total(F.transform(_range(F.lit(0), n - k - 1), lambda i: F.get(d, i) * F.get(d, i + k)))
+    df = df.withColumn("rho", F.transform(_range(F.lit(1), n - 1), lambda k: F.struct(k.cast("double").alias("k"), F.when(lagged(F.lit(0)) > 0, lagged(k) / lagged(F.lit(0))).alias("v"))))
+    bound = NormalDist().inv_cdf(1 - alpha / 2) / F.sqrt(n)
+    kept = F.transform(rho, lambda e: F.when(F.abs(e["v"]) > bound, (n - e["k"]) * (n - e["k"] - 1) * (n - e["k"] - 2) * e["v"]).otherwise(0.0))
+    corr = F.when(n > 2, 1 + 2 / (n * (n - 1) * (n - 2)) * _total(kept))
+    df = df.withColumn("corr", corr).withColumn("var_s", F.col("var0") * F.coalesce("corr", F.lit(1.0)))
     z = F.when(F.col("s") == 0, 0.0).when(F.col("var_s") > 0, (F.col("s") - F.signum("s")) / F.sqrt("var_s"))
-    return made.withColumn("z", z)
+    return df.withColumn("z", z).select("topic", "n", "s", "tau", "slope", "intercept", "n_distinct", "var0", "corr", "var_s", "z")
 
 
 def two_sided_p(z: Column) -> Column:
