@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD
 
-WORDS, SHAPES, DIM, WINDOW, NONZERO = 1 << 14, 1 << 9, 32, 2, 4
+WORDS, SHAPES, DIM, WINDOW, NONZERO = 1 << 14, 1 << 9, 32, 2, 2
 ROWS = WORDS + SHAPES
 #: Rows of the vector table in a piece that tasks send.
 PIECE = 1 << 10
 FEATURES = 2 * DIM + 4
-_BATCH = 400_000
+_BATCH = 1_000_000
 
 
 def index_vectors(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +40,8 @@ def index_vectors(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shape(word: str) -> str:
+    if word.isalpha() and word.islower():
+        return f"l{min(len(word), 24) // 4}"
     kind = ["U" if c.isupper() else "l" if c.islower() else "9" if c.isdigit() else c if ord(c) < 128 else "?" for c in word]
     short = [k for i, k in enumerate(kind) if i < 1 or k != kind[i - 1] or k not in "Ul9"]
     return "".join(short[:6]) + str(min(len(word), 24) // 4)
@@ -62,7 +65,7 @@ def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word rows, shape rows and document numbers of all words of the texts."""
     words = [WORD.findall(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    codes = np.fromiter((c for w in words for c in map(_CODES.__getitem__, w)), np.int64, int(sizes.sum()))
+    codes = np.fromiter(map(_CODES.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
     doc = np.repeat(np.arange(len(texts)), sizes)
     word, shape = codes & 0xFFFFF, codes >> 20
     if len(codes) > 1:
@@ -89,16 +92,22 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
     places, signs = index_vectors()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ROWS * DIM, np.int64)
+        total, beside = np.zeros(WORDS * DIM), np.zeros(SHAPES * SHAPES, np.int64)
         for b in batches:
             for run in _grouped([t or "" for t in b.column(0).to_pylist()]):
                 word, shape, doc = _coded(run)
-                for rows in (word, shape):
-                    for step in range(1, WINDOW + 1):
-                        near = np.flatnonzero(doc[step:] == doc[:-step])
-                        for a, c in ((rows[near], rows[near + step]), (rows[near + step], rows[near])):
-                            at = (a[:, None] * DIM + places[c]).ravel()
-                            total += np.rint(np.bincount(at, signs[c].ravel(), ROWS * DIM)).astype(np.int64)
+                shape = shape - WORDS
+                for step in range(1, WINDOW + 1):
+                    near = np.flatnonzero(doc[step:] == doc[:-step])
+                    for a, c in ((word[near], word[near + step]), (word[near + step], word[near])):
+                        for k in range(NONZERO):
+                            total += np.bincount(a * DIM + places[c, k], signs[c, k], WORDS * DIM)
+                    beside += np.bincount(shape[near] * SHAPES + shape[near + step], minlength=SHAPES * SHAPES)
+        # few shapes: their neighbours are counted first and turned into index vectors at the end
+        index = np.zeros((SHAPES, DIM), np.int64)
+        np.add.at(index, (np.arange(SHAPES)[:, None], places[WORDS:]), signs[WORDS:])
+        beside = beside.reshape(SHAPES, SHAPES)
+        total = np.concatenate([np.rint(total).astype(np.int64), ((beside + beside.T) @ index).ravel()])
         if total.any():
             parts = total.reshape(-1, PIECE * DIM) if ROWS % PIECE == 0 else np.pad(total, (0, -len(total) % (PIECE * DIM))).reshape(-1, PIECE * DIM)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "sums"])
@@ -131,9 +140,10 @@ def features(texts: list[str], vectors: np.ndarray) -> np.ndarray:
         pooled = []
         for rows in (word, shape):
             mean = np.zeros((len(run), DIM))
-            if full := np.flatnonzero(n).tolist():
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
-                mean[full] = np.add.reduceat(vectors[rows], starts, axis=0) / n[full][:, None]
+            own, ends = vectors[rows], np.cumsum(n)
+            for i, (size, end) in enumerate(zip(n.tolist(), ends.tolist())):
+                if size:
+                    mean[i] = own[end - size : end].mean(0, dtype=np.float64)
             pooled.append(mean)
         norms = [np.linalg.norm(m, axis=1, keepdims=True) for m in pooled]
         repeats = np.bincount(doc, shape == _SAME, len(run))[:, None] / np.maximum(n, 1)[:, None]
