@@ -373,7 +373,7 @@ def test_classifier(spark):
     held = [r for r in got if r.doc_id is not None and r.doc_id < 400 and r.held_out]
     assert {r.doc_id for r in held} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
     assert np.mean([r.predicted == (r.doc_id < 300) for r in held]) > 0.95
-    assert {r.doc_id: r.score for r in got} == {r.doc_id: r.score for r in classifier.score_quality(df.repartition(3), labels).collect()}
+    assert {r.doc_id: r.score for r in got} == pytest.approx({r.doc_id: r.score for r in classifier.score_quality(df.repartition(3), labels).collect()}, abs=1e-9)
     none = classifier.score_quality(df, labels.limit(0))
     assert {r.score for r in none.collect()} == {0.5}
     kept = classifier.keep_good(df, labels)
