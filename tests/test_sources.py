@@ -46,7 +46,7 @@ def test_scrape_window_and_round_trip(spark, tmp_path):
 def test_preprocess_and_outputs(spark, tmp_path):
     rows = [("r1", 1, "tidak bisa login sama sekali hari ini", "2024-07-06 10:00:00"), ("r2", 1, "tidak bisa login sama sekali hari ini", "2024-07-07 10:00:00"), ("r3", 5, "bagus sekali aplikasi ini saya suka", "2024-07-06 10:00:00"), ("r4", 2, "gagal", "2024-07-06 10:00:00"), ("r5", 2, None, "2024-07-06 10:00:00")]
     raw = spark.createDataFrame(rows, "review_id string, rating int, review_text string, d string").withColumn("date_wib", F.col("d").cast("timestamp_ntz")).drop("d")
-    full = pipelines.preprocess(raw, APPS["wondr"])
+    full = pipelines.preprocess(raw, APPS["app1"])
     assert [r.review_id for r in full.collect()] == ["r1"]
     assert outputs.save_outputs(full.drop("rating"), str(tmp_path / "slim"), str(tmp_path / "full")) == ["rating"]
     assert outputs.save_spreadsheet(full.select("review_id"), str(tmp_path / "s.csv")) == 1

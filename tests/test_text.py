@@ -98,8 +98,8 @@ def test_columns_are_checked():
         clean.filter_negative_ratings(NoColumns())
     with pytest.raises(KeyError):
         stopwords("unknown")
-    assert stopwords("wondr")[-1] == "ya" and len(set(stopwords("byond"))) == len(stopwords("byond"))
-    assert APPS["wondr"].launch == dt.date(2024, 7, 5)
+    assert stopwords("app1")[-1] == "ya" and len(set(stopwords("app2"))) == len(stopwords("app2"))
+    assert APPS["app1"].launch == dt.date(2024, 7, 5)
 
 
 def test_merge_and_relabel(spark):

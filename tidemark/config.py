@@ -10,8 +10,8 @@ GENERIC_STOPWORDS = ("yang", "untuk", "pada", "ke", "para", "namun", "menurut",
 
 #: Words added per app.
 APP_STOPWORDS = {
-    "wondr": ("wondr", "bni", "aplikasi", "nya", "kok", "kalau", "kalo", "deh", "dulu", "mending", "banget", "sih", "ya"),
-    "byond": ("byond", "bsi", "aplikasi", "bank", "banget", "mending", "lebih", "malah", "kalau", "kalo", "dulu", "dong", "deh", "sih", "ya", "kok", "nya"),
+    "app1": ("wondr", "bni", "aplikasi", "nya", "kok", "kalau", "kalo", "deh", "dulu", "mending", "banget", "sih", "ya"),
+    "app2": ("byond", "bsi", "aplikasi", "bank", "banget", "mending", "lebih", "malah", "kalau", "kalo", "dulu", "dong", "deh", "sih", "ya", "kok", "nya"),
 }
 
 #: Keys of the base lexicon that must not be replaced.
@@ -42,8 +42,8 @@ class AppConfig:
 
 
 APPS = {
-    "wondr": AppConfig("wondr", dt.date(2024, 7, 5), dt.datetime(2025, 7, 4, 23, 59, 59), semantic_threshold=0.90),
-    "byond": AppConfig("byond", dt.date(2024, 11, 9), dt.datetime(2025, 11, 8, 23, 59, 59), lexical_threshold=0.65, drift_labels=DRIFT_LABELS_LONG),
+    "app1": AppConfig("app1", dt.date(2024, 7, 5), dt.datetime(2025, 7, 4, 23, 59, 59), semantic_threshold=0.90),
+    "app2": AppConfig("app2", dt.date(2024, 11, 9), dt.datetime(2025, 11, 8, 23, 59, 59), lexical_threshold=0.65, drift_labels=DRIFT_LABELS_LONG),
 }
 
 
