@@ -7,7 +7,7 @@ calibrated: ``calibration`` queries are searched by brute force over all rows, a
 ``recall`` of what they should find. Within a leaf the search is exact, in double precision.
 
 Identical vectors are searched once: as candidates only the k + 1 smallest ids of a batch's equal vectors can count, and equal queries
-share a search for k + 1. Leaves with many rows are split by hash and each part is searched by itself.
+share a search for k + 1. Leaves are searched in shards of bounded size; a leaf with more rows is split by hash.
 
 Rows take no part whose id is null or whose vector is null, of another length than most, zero, or holds null or non-finite
 components. Of rows with one id the one with the least bytes counts; a query's own id is never its neighbour. An empty table gives no rows. Only the
@@ -17,7 +17,8 @@ two named columns are read.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
 
-#: Rows of a leaf that one search takes.
+#: Rows of a shard: what one search takes.
 PART = 8192
+#: Queries of a block: each block is searched by itself in every shard.
+QUERIES = 20_000
 _CLOSE = 1e-9
 
 
@@ -107,15 +110,17 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def nearest(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's place, ids, scores): the k nearest rows by score, ties to the smaller id."""
+def nearest(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, seen: Callable[[slice], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's place, ids, scores): the k nearest rows by score, ties to the smaller id. seen, if given, tells for a slice of queries which rows count."""
     unit = _unit(rows)
     for a in range(0, len(queries), 256):
         block = queries[a : a + 256]
         rough = _unit(block) @ unit.T
+        if seen is not None:
+            rough[~seen(slice(a, a + 256))] = -np.inf
         least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(block), -np.inf)
         for i in range(len(block)):
-            at = np.flatnonzero(rough[i] >= least[i] - _CLOSE)
+            at = np.flatnonzero((rough[i] >= least[i] - _CLOSE) & (rough[i] > -np.inf))
             score = cosine(np.broadcast_to(block[i], (len(at), block.shape[1])), rows[at])
             order = np.lexsort((ids[at], -score))[:k]
             yield a + i, ids[at][order], score[order]
@@ -155,7 +160,7 @@ def _packed(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def search(
-    df: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, most_sample: int = 20_000, leaf_rows: int = 256, branching: int = 12,
+    df: DataFrame, every: int = 50, k: int = 5, recall: float = 0.95, most_sample: int = 20_000, leaf_rows: int = 256, branching: int = 12,
     calibration: int = 256, vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
@@ -178,7 +183,17 @@ def search(
 
     single = _packed(rows, k + 1).groupBy("id").agg(F.min("v").alias("v"))
     placed = materialise(single.mapInArrow(to_leaf, "leaf int, id long, v binary"))
-    parts = {r.leaf: -(-r["count"] // PART) for r in placed.groupBy("leaf").count().collect()}  # a number per leaf of the bounded tree
+    # leaves go into shards of about PART rows; a leaf of more rows is spread over shards of its own
+    shards: dict[int, tuple[int, int]] = {}
+    last, room = -1, 0
+    for leaf, n_rows in sorted((r.leaf, r["count"]) for r in placed.groupBy("leaf").count().collect()):  # a number per leaf of the bounded tree
+        n_parts = -(-n_rows // PART)
+        if n_rows > room:
+            last, room = last + n_parts, PART if n_parts == 1 else 0
+            shards[leaf] = (last - n_parts + 1, n_parts)
+        else:
+            shards[leaf] = (last, 1)
+        room -= n_rows
 
     raw = _packed(rows.where(F.pmod(F.col("id"), F.lit(every)) == 0), 1 << 30)
     asked = materialise(raw.groupBy("id").agg(F.min("v").alias("v")))
@@ -215,33 +230,40 @@ def search(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf, part, who = [], [], []
+            shard, leaves, who = [], [], []
             for i, v in enumerate(_unit(_matrix(b.column(0).to_pylist())) if b.num_rows else ()):
-                for turn, at in enumerate(shared.value.visit(v)):
-                    if turn == visits:
-                        break
-                    for p in range(parts.get(at, 0)):
-                        leaf.append(at)
-                        part.append(p)
-                        who.append(i)
+                mine: dict[int, list[int]] = {}
+                for leaf in islice(shared.value.visit(v), visits):
+                    first, n_parts = shards.get(leaf, (0, 0))
+                    for s in range(first, first + n_parts):
+                        mine.setdefault(s, []).append(leaf)
+                shard += mine.keys()
+                leaves += mine.values()
+                who += [i] * len(mine)
             if who:
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), b.column(1).take(pa.array(who)), b.column(0).take(pa.array(who))], ["leaf", "part", "query", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(leaves, pa.list_(pa.int32())), b.column(1).take(pa.array(who)), b.column(0).take(pa.array(who))], ["shard", "leaves", "query", "v"])
 
-    going = once.select("v", "query").mapInArrow(spread, "leaf int, part int, query long, v binary")
-    n_parts = spark.createDataFrame(sorted(parts.items()) or [(0, 1)], "leaf int, n int")
-    there = placed.join(F.broadcast(n_parts), "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    n_blocks = max(1, -(-once.count() // QUERIES))
+    going = once.select("v", "query").mapInArrow(spread, "shard int, leaves array<int>, query long, v binary").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int"))
+    table = spark.createDataFrame([(leaf, *x) for leaf, x in shards.items()] or [(0, 0, 1)], "leaf int, first int, n int")
+    there = placed.join(F.broadcast(table), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
 
-    def within(left, right):
-        import pandas as pd
-
-        out = []
+    def within(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple] = []
         if len(left) and len(right):
-            own = left["query"].to_numpy()
-            for i, ids, scores in nearest(_matrix(left["v"].tolist()), right["id"].to_numpy(), _matrix(right["v"].tolist()), k + 1):
-                out.append(pd.DataFrame({"query": own[i], "id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    met = going.groupBy("leaf", "part").cogroup(there.select("leaf", "part", "id", "v").groupBy("leaf", "part")).applyInPandas(within, "query long, id long, score double")
+            own, leaf = left.column("query").to_numpy(), right.column("leaf").to_numpy()
+            here = np.unique(leaf)
+            visited = np.zeros((len(left), len(here)), bool)
+            for i, leaves in enumerate(left.column("leaves").to_pylist()):
+                visited[i, np.searchsorted(here, leaves)] = True
+            place = np.searchsorted(here, leaf)
+            seen = lambda block: visited[block][:, place]
+            found = [(np.full(len(i), own[q]), i, s) for q, i, s in nearest(_matrix(left.column("v").to_pylist()), right.column("id").to_numpy(), _matrix(right.column("v").to_pylist()), k + 1, seen)]
+        cols = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    there = there.select("shard", "leaf", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    met = going.groupBy("shard", "block").cogroup(there.groupBy("shard", "block")).applyInArrow(within, "query long, id long, score double")
     met = met.groupBy("query", "id").agg(F.max("score").alias("score"))
     best = met.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
     found = asked.withColumnRenamed("id", "query_id").join(once, "v").select("query_id", "query").join(best, "query").where(F.col("id") != F.col("query_id"))
