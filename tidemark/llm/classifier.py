@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, tidy
 
 WORDS, SHAPES, DIM, WINDOW, NONZERO = 1 << 14, 1 << 9, 32, 2, 2
 ROWS = WORDS + SHAPES
@@ -52,12 +52,18 @@ class _Codes(dict):
 
     def __missing__(self, word: str) -> int:
         code = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS | (WORDS + zlib.crc32(_shape(word).encode()) % (SHAPES - 1)) << 20
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = code
         return code
 
 
 _CODES = _Codes()
+
+
+def forget() -> None:
+    _CODES.clear()
+
+
 _SAME = ROWS - 1  # the shape of a word that equals the one before
 
 
@@ -91,6 +97,7 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The vectors (ROWS x DIM, integers) summed over the whole corpus. Tasks send sums in pieces of bounded size and number."""
     places, signs = index_vectors()
 
+    @tidy(forget)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, beside = np.zeros(WORDS * DIM), np.zeros(SHAPES * SHAPES, np.int64)
         for b in batches:
@@ -216,6 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most_labelled
     rows = rows.groupBy("_doc").agg((F.avg("_y") >= 0.5).cast("double").alias("_y")).orderBy(F.xxhash64("_doc"), "_doc").limit(most_labelled)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
+    @tidy(forget)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features([t or "" for t in b.column(2).to_pylist()], shared.value)
@@ -234,6 +242,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
     net = train(docs, labels, vectors, most_labelled, doc_id, text, label)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
+    @tidy(forget)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for b in batches:
@@ -250,6 +259,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_l
     shared = docs.sparkSession.sparkContext.broadcast((vectors, train(docs, labels, vectors, most_labelled, doc_id, text, label)))
     at = docs.columns.index(text)
 
+    @tidy(forget)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for b in batches:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,31 @@ def word_count(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
+def tidy(*forget):
+    """For a task's function on batches: at its end calls the module-level functions that empty its module's memories and gives free memory back, as workers stay for other stages."""
+
+    def wrap(work):
+        @functools.wraps(work)
+        def run(batches):
+            try:
+                yield from work(batches)
+            finally:
+                for f in forget:
+                    f()
+                pa.default_memory_pool().release_unused()
+
+        return run
+
+    return wrap
+
+
+def lean(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of so many rows, where the session has Spark's default of 10,000: whole texts are long, and several copies of a batch are alive at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset."""
     sc = spark.sparkContext

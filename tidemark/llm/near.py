@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialise
+from tidemark.llm.common import WORD, materialise, tidy
 
 N, BANDS, ROWS, BLOCK = 5, 24, 6, 1024
 LAST_ID = (1 << 63) - 1
@@ -39,7 +39,7 @@ class _Hashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 150_000:
             self[word] = h
         return h
 
@@ -47,6 +47,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    _HASHES.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -87,6 +91,7 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@tidy(forget)
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key, text) -> (id, key, node, bands); texts without words are left out."""
     names = ["id", "key", "node", "bands"]

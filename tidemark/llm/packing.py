@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidy
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Local sequence numbers stand below, the task's number above.
 SHARE_BITS = 40
@@ -61,7 +63,7 @@ class Encoder:
     may be a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, ranks: str, pattern: str, end_id: int = 1, room: int = 600_000):
+    def __init__(self, path: str, ranks: str, pattern: str, end_id: int = 1, room: int = 250_000):
         import base64
 
         import tiktoken
@@ -206,6 +208,7 @@ def pack(
     No shuffle: each task packs the documents it reads, in their order.
     """
 
+    @tidy()
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

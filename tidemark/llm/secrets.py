@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidy
+
 #: The base patterns and least lengths of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -166,6 +168,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     schema = "doc_id long, spans array<struct<start: int, kind: string, `end`: int>>, redacted string"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
+    @tidy()
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -182,6 +185,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n
     at = docs.columns.index(text)
     size = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
+    @tidy()
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t and redact(t, scan(t, threshold)) for t in b.column(at).to_pylist()]
