@@ -211,6 +211,24 @@ def test_concentration_is_robust():
     assert np.einsum("ij,jk,ik->i", x - at, metric, x - at)[:100].min() > near_[-1]
 
 
+def test_distances_have_the_chi_squared_scale():
+    """The last step scales both ways; the cutoff is a quantile of the same distribution."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 1, (4000, quality.P))
+    for unit, want in ((0.3, 1.0), (1.0, 1.0), (3.0, 1.0), (0.001, 0.0)):
+        d2 = unit * np.square(z).sum(1)
+        cls = np.clip(np.floor(np.log2(d2 + 1e-9) * 8) + 40, 0, quality.CLASSES - 1).astype(int)
+        metric = (unit * np.eye(quality.P)).ravel().tolist()
+        rows = [{"grp": 1, "cls": c, "n": int((cls == c).sum()), "at": [0.0] * quality.P, "metric": metric} for c in np.unique(cls)]
+        m = np.array(quality._estimate(0.75, 60, True)(pd.DataFrame(rows)).iloc[0]["metric"]).reshape(quality.P, quality.P)
+        median = np.median(np.einsum("ij,jk,ik->i", z, m, z))
+        assert median == pytest.approx(quality.CHI2_MEDIAN, rel=0.05) if want else median < 0.1 * quality.CHI2_MEDIAN
+    assert quality.chi2_quantile(0.5) == pytest.approx(quality.CHI2_MEDIAN) and quality.chi2_quantile(0.025) == pytest.approx(14.449375)
+    assert 90 < quality.chi2_quantile(quality.TAIL) < 100
+
+
 # ---- substrings
 
 

@@ -4,8 +4,9 @@ Each text gives counts and a vector of transformed statistics. Per language and
 is made over all its documents: from medians and absolute deviations on, every concentration step takes the mean and
 covariance of the ``share`` of documents that are nearest by Mahalanobis distance. A step sends, per group, sums by classes of
 distance (at most CLASSES rows), so no group is gathered and a hot group costs what any costs; the nearest classes that hold
-the share are taken whole. At the end distances are scaled so that their median is that of the chi-squared
-distribution, and documents beyond ``cutoff`` are rejected.
+the share are taken whole. At the end distances are scaled, up or down, so that their median is that of the chi-squared
+distribution, and documents beyond its ``1 - tail`` quantile are rejected. A median under LEAST_MEDIAN counts as that: a group of all but
+equal texts doesn't make small differences odd.
 
 A document fails the base rule with fewer than 10 words or when more than 20 % of its words lie in 5-word windows that
 the text has twice or more. Groups of fewer than ``least`` documents that pass the base rule have no estimate, and no document of theirs is
@@ -35,6 +36,10 @@ P = len(FEATURES)
 FLOOR = (0.35, 0.25, 0.06, 0.02, 0.02, 0.15)
 #: Median of the chi-squared distribution with P degrees of freedom.
 CHI2_MEDIAN = 5.348120627447121
+#: Least median of a group's unscaled squared distances.
+LEAST_MEDIAN = 1.0
+#: Share of the chi-squared distribution beyond the cutoff. Statistics of short texts have far heavier tails than normal ones.
+TAIL = 1e-18
 CLASSES = 120
 #: Groups up to which their estimates are broadcast; one has some 300 bytes.
 BROADCAST_GROUPS = 5_000
@@ -43,6 +48,16 @@ _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]")
 _MARK = re.compile(r"[^\w\s]")
 
 
+def chi2_quantile(tail: float) -> float:
+    """The squared distance that a share ``tail`` of the chi-squared distribution with P (an even number of) degrees of freedom exceeds."""
+    low, high = 0.0, 2000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        beyond = math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(P // 2))
+        low, high = (x, high) if beyond > tail else (low, x)
+    return high
+
+
 def repeat_words(words: list[str]) -> int:
     """Words that lie in windows found twice or more."""
     windows = list(zip(*[words[i:] for i in range(WINDOW)]))
@@ -122,7 +137,7 @@ def _estimate(share: float, least: int, last: bool):
             half = int(np.searchsorted(upto, n.sum() / 2))
             inner = (n.sum() / 2 - upto[half] + n[half]) / n[half]
             d2 = 2 ** ((pdf["cls"].iloc[half] - 40 + inner) / 8)
-            metric = np.array(pdf["metric"].iloc[0]) * min(1.0, CHI2_MEDIAN / max(d2, 1e-9))
+            metric = np.array(pdf["metric"].iloc[0]) * (CHI2_MEDIAN / max(d2, LEAST_MEDIAN))
             return pd.DataFrame({"grp": pdf["grp"][:1], "at": [list(pdf["at"].iloc[0])], "metric": [metric.tolist()]})
         k = int(np.searchsorted(upto, share * n.sum())) + 1
         sums = np.array(pdf["sums"].iloc[:k].tolist()).sum(0) / upto[min(k, len(n)) - 1]
@@ -159,9 +174,9 @@ def outlier_distances(stats: DataFrame, share: float = 0.75, steps: int = 3, lea
     return rows.join(side(est), "grp", "left").withColumn("d2", F.coalesce(_distance(F.col("x"), F.col("at"), F.col("metric")), F.lit(0.0))).drop("grp", "at", "metric")
 
 
-def quality_rules(docs: DataFrame, cutoff: float = 60.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, tail: float = TAIL, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2."""
     stats = materialise(document_stats(docs, doc_id, text, lang, source))
     far = outlier_distances(stats)
-    failed = base_failed()
+    failed, cutoff = base_failed(), chi2_quantile(tail)
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("d2") <= cutoff)).alias("kept"), "d2")
