@@ -229,6 +229,22 @@ def test_distances_have_the_chi_squared_scale():
     assert 90 < quality.chi2_quantile(quality.TAIL) < 100
 
 
+def test_small_groups_are_judged(spark):
+    """By their language's estimate, or by that of all documents."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) + rng.choice(["", "", "."]) for _ in range(rng.randrange(40, 200)))
+    good = [text() for _ in range(120)]
+    bad = [" ".join(w.upper() + "!!" for w in t.split()) for t in good]
+    rows = [(i, t, "en", "big") for i, t in enumerate(good)]
+    rows += [(200 + i, good[i], "en", "rare") for i in range(4)] + [(300 + i, bad[i], "en", "rare") for i in range(4)]
+    rows += [(400 + i, good[i], "xx", None) for i in range(3)] + [(500 + i, bad[i], "xx", None) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(df).collect()}
+    assert {i for i, kept in got.items() if not kept} == {300, 301, 302, 303, 500, 501, 502}
+    few = df.where("doc_id < 20 or doc_id >= 500")
+    assert {r.doc_id for r in quality.quality_rules(few).collect() if not r.kept} == {500, 501, 502}
+
+
 # ---- substrings
 
 

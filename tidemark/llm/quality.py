@@ -9,8 +9,8 @@ distribution, and documents beyond its ``1 - tail`` quantile are rejected. A med
 equal texts doesn't make small differences odd.
 
 A document fails the base rule with fewer than 10 words or when more than 20 % of its words lie in 5-word windows that
-the text has twice or more. Groups of fewer than ``least`` documents that pass the base rule have no estimate, and no document of theirs is
-an outlier. Null text has no words and fails; null language or source is a value like others; repeated rows count as often as they come.
+the text has twice or more. Groups of fewer than ``least`` documents that pass the base rule take the estimate of their language, and where
+that has fewer too, that of all documents, which any number makes. Null text has no words and fails; null language or source is a value like others; repeated rows count as often as they come.
 Only the four named columns are read.
 """
 
@@ -151,10 +151,8 @@ def _estimate(share: float, least: int, last: bool):
     return work
 
 
-def outlier_distances(stats: DataFrame, share: float = 0.75, steps: int = 3, least: int = 60) -> DataFrame:
-    """stats -> with d2, the squared robust distance; 0 where a group has no estimate. stats is read once a step."""
-    rows = stats.withColumn("grp", F.xxhash64(F.to_json(F.struct("lang", "source"))))
-    good = rows.where(~base_failed()).select("grp", "x")
+def _estimates(good: DataFrame, share: float, steps: int, least: int) -> DataFrame:
+    """grp, x -> grp, at, metric of every group of ``least`` rows and more. good is read once a step."""
     groups = good.select("grp").distinct().limit(BROADCAST_GROUPS + 1).count()
     side = F.broadcast if groups <= BROADCAST_GROUPS else lambda df: df
     medians = F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(P)])
@@ -170,8 +168,20 @@ def outlier_distances(stats: DataFrame, share: float = 0.75, steps: int = 3, lea
         seen = good.join(side(est), "grp").withColumn("cls", _class(_distance(F.col("x"), F.col("at"), F.col("metric"))))
         seen = seen.groupBy("grp", "cls").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("metric").alias("metric"), F.array(*sums).alias("sums"))
         est = seen.groupBy("grp").applyInPandas(_estimate(share, least, step == steps), "grp long, at array<double>, metric array<double>")
-    est = materialise(est)
-    return rows.join(side(est), "grp", "left").withColumn("d2", F.coalesce(_distance(F.col("x"), F.col("at"), F.col("metric")), F.lit(0.0))).drop("grp", "at", "metric")
+    return side(materialise(est.where(F.exists("metric", lambda m: m != 0))))
+
+
+def outlier_distances(stats: DataFrame, share: float = 0.75, steps: int = 3, least: int = 60) -> DataFrame:
+    """stats -> with d2, the squared robust distance by the narrowest level that has an estimate; 0 where no document passes the base rule. stats is read once a step and level."""
+    far = stats.withColumn("d2", F.lit(None).cast("double"))
+    x = F.col("x")
+    for keys, n in ((("lang", "source"), least), (("lang",), least), ((), 1)):
+        grp = F.xxhash64(F.to_json(F.struct(*keys))) if keys else F.lit(0).cast("long")
+        good = stats.where(~base_failed()).select(grp.alias("grp"), "x")
+        est = _estimates(good, share, steps, n)
+        d2 = F.coalesce("d2", _distance(x, F.col("at"), F.col("metric")))
+        far = far.withColumn("grp", grp).join(est, "grp", "left").withColumn("d2", d2).drop("grp", "at", "metric")
+    return far.withColumn("d2", F.coalesce("d2", F.lit(0.0)))
 
 
 def quality_rules(docs: DataFrame, tail: float = TAIL, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
