@@ -96,6 +96,22 @@ def test_secret_assignments(text, hidden):
     assert covered == hidden and (hidden or not [x for x in spans if x[1] == 3])
 
 
+def test_long_secrets_are_whole():
+    token, parts = "aB3." * 1250, [f"Xy7#kQ{i:03d}" for i in range(200)]
+    told = " + ".join(f'"{x}"' for x in parts)
+    for text, hidden in (
+        (f"<authToken>{token}</authToken>", [token]),
+        (f'private_key = "{token}"', [token]),
+        (f"private_key = {told}\n", parts),
+        (f"a = {told}\nb = a\nclient_secret = b\n", parts),
+    ):
+        spans = secrets.scan(text)
+        assert all(any(a <= text.index(h) and text.index(h) + len(h) <= b for a, _, b in spans) for h in hidden), text[:40]
+        assert not any(h in secrets.redact(text, spans) for h in hidden)
+    text = 'a = "Xy7#kQ9p"\n' + "a = a + a\n" * 200 + 'client_secret = a + "Lm3!Rt8w"\n'
+    assert secrets.redact(text, secrets.scan(text)) == text.replace("Xy7#kQ9p", "[SECRET]").replace("Lm3!Rt8w", "[SECRET]")
+
+
 def test_redaction(spark):
     df = frame(spark, ['x = 1 password="Abcdefgh12345" y', None, ""])
     got = {r.doc_id: r for r in secrets.redact_secrets(df).collect()}

@@ -51,7 +51,7 @@ _STRING = re.compile(r"""[bfru]{0,2}(?:(\"\"\"|''')(?P<long>(?:\\.|(?!\1).)*?)\1
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*", re.A)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\||&)?[ \t]*")
-_TAG = re.compile(r"<([A-Za-z_][\w.\-]{0,80})>([^<>\n]{6,400})</\1>", re.A)
+_TAG = re.compile(r"<([A-Za-z_][\w.\-]*)>([^<>\n]{6,})</\1>", re.A)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _LOOK_BACK = 240
 
@@ -69,7 +69,7 @@ def name_score(name: str) -> float:
 def literal_score(value: str, quoted: bool) -> float:
     """0 to 1: how much a literal looks like a secret value rather than a word or a placeholder."""
     n = len(value)
-    if n < 6 or n > 4096 or PLACEHOLDER.match(value):
+    if n < 6 or PLACEHOLDER.match(value):
         return 0.0
     mixed = bool(re.search(r"\d", value)) + bool(re.search(r"[a-z]", value)) + bool(re.search(r"[A-Z]", value)) + bool(re.search(r"[^A-Za-z0-9\s]", value))
     if not quoted and not re.search(r"\d", value):
@@ -80,17 +80,17 @@ def literal_score(value: str, quoted: bool) -> float:
     return min(1.0, bits / 30) * (0.5 if re.search(r"\s", value) else 1.0)
 
 
-def _expression(text: str, at: int, known: dict[str, list]) -> list[tuple[int, int, bool, str]]:
-    """The literals, also those behind known names, that make up the value which starts at ``at``."""
-    found: list[tuple[int, int, bool, str]] = []
-    for _ in range(32):
+def _expression(text: str, at: int, known: dict[str, list]) -> list:
+    """The literals that make up the value which starts at ``at``; a known name stands as its own list."""
+    found: list = []
+    while True:
         if m := _STRING.match(text, at):
             a, b = m.span("long") if m["long"] is not None else m.span("short")
             found.append((a, b, True, text[a:b]))
         elif m := _BARE.match(text, at):
             name = _NAME.match(text, at)
             if name and name[0] in known:
-                found += known[name[0]]
+                found.append(known[name[0]])
                 m = name
             elif m[0] in ("Bearer", "Basic", "new", "await", "export"):
                 at = m.end() + 1
@@ -107,8 +107,27 @@ def _expression(text: str, at: int, known: dict[str, list]) -> list[tuple[int, i
     return found
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool, str]]]]:
-    """(target name, literals that flow into it) for every assignment, in order of appearance."""
+def flat(value: list, most: int) -> list[tuple[int, int, bool, str]]:
+    """All literals of a value in order. Names doubled over and over grow without end, so beyond ``most`` characters no part is repeated."""
+    found: list[tuple[int, int, bool, str]] = []
+    size, seen, todo = 0, set(), [iter(value)]
+    while todo:
+        for x in todo[-1]:
+            if size > most and id(x) in seen:
+                continue
+            seen.add(id(x))
+            if isinstance(x, list):
+                todo.append(iter(x))
+                break
+            found.append(x)
+            size += x[1] - x[0] + 1
+        else:
+            todo.pop()
+    return found
+
+
+def pairs(text: str) -> Iterator[tuple[str, list]]:
+    """(target name, value that flows into it, for flat()) for every assignment, in order of appearance."""
     known: dict[str, list] = {}
     for m in _OPERATOR.finditer(text):
         low = max(0, m.start() - _LOOK_BACK)
@@ -121,7 +140,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool, str]]]]:
         literals = _expression(text, at, known)
         if literals:
             name = f"{left[1]}.{left[2]}" if left[2] else left[1]
-            known[name] = literals[:32]
+            known[name] = literals
             yield name, literals
     if "</" in text:
         for m in _TAG.finditer(text):
@@ -139,9 +158,10 @@ def scan(text: str, threshold: float = 0.5) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "=" in text or ":" in text or "</" in text:
         named = set()
-        for name, literals in pairs(text):
+        for name, value in pairs(text):
             sensitive = name_score(name)
             if sensitive >= threshold:
+                literals = flat(value, len(text))
                 whole = "".join(x[3] for x in literals)
                 quoted = any(x[2] for x in literals)
                 if sensitive * literal_score(whole, quoted) >= threshold:
