@@ -126,5 +126,16 @@ def test_search_recall(spark):
     assert np.mean([len(got[q] & {w[0] for w in want[q]}) / 5 for q in want]) >= 0.9
 
 
+def test_search_recall_without_structure(spark):
+    """All queries take part in the calibration, so its default target holds for them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(4000)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=64).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = plain_search(rows, 50, 5)
+    assert np.mean([len(got[q] & {w[0] for w in want[q]}) / 5 for q in want]) >= 0.97
+
+
 def test_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLE) <= set(QUERIES)
