@@ -48,6 +48,22 @@ def test_json_layouts(spark):
     assert [(t.role, t.text) for t in got[6]] == [("user", "why"), ("assistant", "3")]
 
 
+def test_json_fields_beyond_the_mapping(spark):
+    rows = [
+        '{"id": 1, "prompt": "q", "response": "a", "meta": {"tags": ["x"]}}', '{"messages": [{"role": "user", "content": "x", "name": "n"}, {"role": "assistant"}], "id": 2}',
+        '{"a b: ARRAY<": 1, "system": "s", "prompt": "q", "response": null}', '{"messages": "x", "question": "why", "answer": 3}',
+        '{"prompt": {"response": 1}, "response": "a"}', '{"messages": [{"role": "user", "content": "x"}, 3]}', '{"messages": []}', '{"messages": [{"role": "u", "content": ["x"]}]}',
+    ]
+    made = chat.canonical_json(spark.createDataFrame(list(enumerate(rows)), "id int, j string"), "j", "id")
+    got = {r.key: r.turns and [tuple(t) for t in r.turns] for r in made.collect()}
+    assert got == {
+        0: [("user", "q"), ("assistant", "a")], 1: [("user", "x"), ("assistant", "")], 2: [("system", "s"), ("user", "q"), ("assistant", "")], 3: [("user", "why"), ("assistant", "3")],
+        4: None, 5: None, 6: None, 7: None,
+    }
+    told = {r.key: (r.unknown, r.formatted == "", r.layout is None) for r in chat.format_turns(made).collect()}
+    assert told == {i: (i > 3, i > 3, False) for i in range(8)}
+
+
 # ---- URLs
 
 URLS = [

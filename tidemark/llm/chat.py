@@ -7,7 +7,7 @@ strings, so the formatted text gives the turns back exactly.
 
 Null text is an empty text, and so is a null role. Turns are ordered by turn (null first), then
 role, then text; repeated rows are repeated turns. A layout no mapping fits gives null turns for a
-JSON row and an error for a table. Fields no mapping names are ignored, so they never clash.
+JSON row, which format_turns() marks, and an error for a table. Fields no mapping names are ignored, so they never clash.
 """
 
 from __future__ import annotations
@@ -108,25 +108,42 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select((F.col(key) if key else F.lit(None).cast("string")).alias("key"), _turns(m, F.col).alias("turns"))
 
 
+def _leaf(v: Column, field: str) -> Column:
+    """Whether an object has the field as a leaf; null where it lacks it."""
+    return ~F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")).rlike("^(OBJECT|ARRAY)<")
+
+
+def _fits(m: Mapping, v: Column) -> Column:
+    """Whether a JSON value has the paths that the mapping knows, whatever else it has."""
+    if not m.messages:
+        fits = F.lit(True)
+        for _, text in m.turns:
+            fits = fits & F.coalesce(_leaf(v, text), F.lit(False))
+        return fits
+    top, role, text = m.messages
+    items = F.coalesce(F.try_variant_get(v, f"$.{top}", "array<variant>"), F.array().cast("array<variant>"))
+    fits = F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT<"), F.lit(False)))
+    # an item may lack a field that others have
+    some = lambda f: F.exists(items, lambda x: F.coalesce(_leaf(x, f), F.lit(False)))
+    none_nested = lambda f: F.forall(items, lambda x: F.coalesce(_leaf(x, f), F.lit(True)))
+    return fits & some(role) & some(text) & none_nested(role) & none_nested(text)
+
+
 def canonical_json(df: DataFrame, payload: str, key: str) -> DataFrame:
-    """key, layout, turns of JSON rows, each of any known layout. Unknown layouts and broken JSON: null turns."""
+    """key, layout, turns of JSON rows, each of any known layout; of mappings that fit, the one with most paths wins. Unknown layouts and broken JSON: null turns."""
     v = F.try_parse_json(F.col(payload))
     drawn = F.regexp_replace(F.schema_of_variant(v), r": (STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|VARIANT)", ": x")
-    seen = df.select(F.col(key).alias("key"), F.col(payload).alias("payload"), F.sha2(drawn, 256).alias("layout"))
+    seen = df.select(F.col(key).alias("key"), F.col(payload).alias("payload"), F.sha2(drawn, 256).alias("layout"), v.alias("v"))
     turns = F.lit(None).cast(TURNS)
-    for m in MAPPINGS:
+    for m in sorted(reversed(MAPPINGS), key=lambda m: len(m.paths)):
         if m.by_turn:
             continue
         if m.messages:
             top, role, text = m.messages
-            shape = f"OBJECT<{top}: ARRAY<OBJECT<{', '.join(f'{f}: x' for f in sorted((role, text)))}>>>"
             parsed = F.from_json("payload", f"{top} array<struct<`{role}`: string, `{text}`: string>>")
         else:
-            names = sorted(text for _, text in m.turns)
-            shape = f"OBJECT<{', '.join(f'{f}: x' for f in names)}>"
-            parsed = F.from_json("payload", ", ".join(f"`{f}` string" for f in names))
-        made = _turns(m, lambda f, p=parsed: p[f])
-        turns = F.when(F.col("layout") == hashlib.sha256(shape.encode()).hexdigest(), made).otherwise(turns)
+            parsed = F.from_json("payload", ", ".join(f"`{text}` string" for _, text in m.turns))
+        turns = F.when(_fits(m, F.col("v")), _turns(m, lambda f, p=parsed: p[f])).otherwise(turns)
     return seen.select("key", "layout", turns.alias("turns"))
 
 
@@ -144,7 +161,8 @@ def unescape(c: Column) -> Column:
 
 
 def format_turns(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """key, formatted STRING, loss_mask ARRAY<STRUCT<start, length>> (0-based code points of formatted)."""
+    """key, formatted STRING, loss_mask ARRAY<STRUCT<start, length>> (0-based code points of formatted). Of rows with a layout also layout and
+    unknown BOOLEAN: no mapping fits and the text is empty for that."""
     seg = F.transform(
         F.coalesce(F.col("turns"), F.array().cast(TURNS)),
         lambda t: F.struct(
@@ -161,7 +179,8 @@ def format_turns(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
         lambda a: a["mask"],
     )
     whole = F.array_join(F.transform("segs", lambda s: F.concat(s["head"], s["body"], F.lit(CLOSE))), "")
-    return df.select("key", seg.alias("segs")).select("key", whole.alias("formatted"), spans.alias("loss_mask"))
+    told = [F.col("layout"), F.col("turns").isNull().alias("unknown")] if "layout" in df.columns else []
+    return df.select("key", seg.alias("segs"), *told).select("key", whole.alias("formatted"), spans.alias("loss_mask"), *(["layout", "unknown"] if told else []))
 
 
 def read_turns(formatted: Column) -> Column:
