@@ -9,9 +9,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_DIR
 from tidemark.config import TECHNICAL
 from tidemark.functions import decide
-from tidemark.operators import drift, sampling, series, topics, trend, validation
+from tidemark.operators import coherence, drift, sampling, series, topics, trend, validation
+from tidemark.plans import catalog
 
 
 def plain_hamed_rao(x, alpha=0.05):
@@ -125,3 +127,10 @@ def test_ctfidf_prunes_by_topic(spark):
     assert {(r.topic, r.term) for r in pruned.collect()} == {(0, "b"), (1, "b"), (0, "a b"), (1, "a b")}  # a stands in all topics
     top = topics.top_words(topics.ctfidf(pruned), 1)
     assert {r.term for r in top.collect()} == {"a b"}
+
+
+def test_coherence_cv_scores_ten_words(spark):
+    d = catalog.doc_topics(spark, SMOKE_DIR)
+    words = topics.top_words(topics.ctfidf(topics.term_counts(d, "clean", bigrams=False)), 10)
+    want = {r[0]: r[1] for r in coherence.c_v(d, words, "doc_id", "clean").collect()}
+    assert {r[0]: r[1] for r in catalog.coherence_cv(spark, SMOKE_DIR).collect()} == pytest.approx(want)

@@ -638,20 +638,20 @@ pq AS (SELECT x.topic, least(x.term, y.term) AS a, greatest(x.term, y.term) AS b
 np AS (SELECT topic, coalesce(two.n, 0) / total + 1e-12 AS p, oa.n / total AS pa, ob.n / total AS pb FROM pq CROSS JOIN nw JOIN one oa ON oa.term = pq.a JOIN one ob ON ob.term = pq.b LEFT JOIN two ON two.a = pq.a AND two.b = pq.b)"""
 
 
-def _coherence_words(d):
-    return topics.top_words(topics.ctfidf(topics.term_counts(d, "clean", bigrams=False)), 5)
+def _coherence_words(d, n):
+    return topics.top_words(topics.ctfidf(topics.term_counts(d, "clean", bigrams=False)), n)
 
 
 @query(f"WITH {COH} SELECT topic, round(avg(ln(p / (pa * pb)) / -ln(p)), 6) AS c_npmi FROM np GROUP BY topic")
 def coherence_npmi(spark, sf_dir):
     d = doc_topics(spark, sf_dir)
-    return coherence.c_npmi(d, _coherence_words(d), "doc_id", "clean").withColumn("c_npmi", F.round("c_npmi", 6))
+    return coherence.c_npmi(d, _coherence_words(d, 5), "doc_id", "clean").withColumn("c_npmi", F.round("c_npmi", 6))
 
 
 @query()
 def coherence_cv(spark, sf_dir):
     d = doc_topics(spark, sf_dir)
-    return coherence.c_v(d, _coherence_words(d), "doc_id", "clean")
+    return coherence.c_v(d, _coherence_words(d, 10), "doc_id", "clean")
 
 
 PREDICTED = ((0, "ok", (("id", 0.6),)), (1, "ok", (("id", 0.4), ("en", 0.3))), (2, "ok", (("ms", 0.5), ("id", 0.2))), (3, "ok", (("ms", 0.5), ("id", 0.19))), (4, " ", (("id", 0.9),)), (5, "ok", (("en", 0.4), ("ms", 0.3), ("id", 0.25))), (6, None, ()))
