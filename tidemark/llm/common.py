@@ -58,23 +58,48 @@ def lean(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all machines share: spark.checkpoint.dir. Where that is unset, a folder below the warehouse, which is shared too, or with a local master one of this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None:
+            own = tempfile.mkdtemp(prefix="tidemark-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_tidemark"
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
-    A lost executor then costs a reread, not a recomputation. The files go when the driver ends.
+    A lost executor then costs a reread, not a recomputation. The files go when the driver ends, or with release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._tidemark_path = path
+    return made
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    _remove(df.sparkSession, df._tidemark_path)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", most: int = 512, broadcast_keys: int = 50_000) -> DataFrame:
+    """left joined ("inner" or "left") with right, which has one row a key and in ``rows`` (dropped) how many rows of left have that key. right is read up to four times and should be materialised.
+
+    Keys of more than ``most`` rows are told to left by broadcast, so that none meets in one task: they are at most left's rows / most. If these are
+    over ``broadcast_keys``, ``most`` is doubled until they aren't; a key then has a small share of left, which a shuffle deals well.
+    """
+    while (n_hot := right.where(F.col(rows) > most).limit(broadcast_keys + 1).count()) > broadcast_keys:
+        most *= 2
+    cold = right.where(F.col(rows) <= most).drop(rows)
+    if not n_hot:
+        return left.join(cold, key, how)
+    hot = F.broadcast(right.where(F.col(rows) > most).drop(rows))
+    return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(cold, key, how))
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialise, tidy
+from tidemark.llm.common import WORD, hot_join, materialise, release, tidy
 
 N, BANDS, ROWS, BLOCK = 5, 24, 6, 1024
 LAST_ID = (1 << 63) - 1
 _A = np.uint64(0x9E3779B97F4A7C15)
 _RUN = 600_000
+#: Anchors of several blocks up to which their table is broadcast; a row has some 40 bytes.
+BROADCAST_ANCHORS = 100_000
 
 
 class _Hashes(dict):
@@ -186,48 +188,56 @@ def _block(similarity: float):
 
 
 def join_parts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges (node, low), nodes (node, id) -> (node, low): the least node, by id, of every node's component."""
+    """edges (node, low), nodes (node, id) -> (node, low): the least node, by id, of every node's component. A round's table goes when the next one is written."""
     both = materialise(edges.union(edges.select("low", "node")).where(F.col("node") != F.col("low")).distinct())
     rank = F.struct("id", "node")
-    labels = materialise(nodes.join(both.select("node").distinct(), "node", "left_semi").select("node", rank.alias("low")))
+    step = materialise(nodes.join(both.select("node").distinct(), "node", "left_semi").select("node", rank.alias("new"), rank.alias("low")))
     while True:
+        labels = step.select("node", F.col("new").alias("low"))
         near = both.join(labels.select(F.col("node").alias("low"), F.col("low").alias("best")), "low").groupBy("node").agg(F.min("best").alias("best"))
-        step = labels.join(near, "node").select("node", F.least("low", "best").alias("new"), "low")
+        told = labels.join(near, "node").select("node", F.least("low", "best").alias("new"), "low")
         jump = labels.select(F.col("node").alias("at"), F.col("low").alias("further"))
-        step = materialise(step.join(jump, F.col("new.node") == F.col("at")).select("node", F.least("new", "further").alias("new"), "low"))
-        changed = step.where(F.col("new.node") != F.col("low.node")).limit(1).count()
-        labels = step.select("node", F.col("new").alias("low"))
-        if not changed:
-            return labels.select("node", F.col("low.node").alias("low"))
+        old, step = step, materialise(told.join(jump, F.col("new.node") == F.col("at")).select("node", F.least("new", "further").alias("new"), "low"))
+        release(old)
+        if not step.where(F.col("new.node") != F.col("low.node")).limit(1).count():
+            release(both)
+            return step.select("node", F.col("new.node").alias("low"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, text_key, class_id (the least id of its class), n_links (other documents at least so similar), keeps.
 
-    keeps marks the document that stays of its class; equal rows (id and text) are marked alike.
+    keeps marks the document that stays of its class; equal rows (id and text) are marked alike. Bands, anchors and nodes that hold many rows are told by
+    broadcast (hot_join), so the join on them is even; an anchor's blocks are dealt one by one.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
     signed = materialise(rows.mapInArrow(signatures, "id long, key long, node binary, bands array<long>"))
     nodes = materialise(signed.groupBy("node").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")).select("node", "least.*", "copies", "bands"))
 
     banded = nodes.select("node", "id", F.explode("bands").alias("band"))
-    met = banded.groupBy("band").agg(F.min(F.struct("id", "node"))["node"].alias("anchor"), F.count("*").alias("n")).where(F.col("n") > 1).select("band", "anchor")
-    stars = banded.join(met, "band").select("node", "anchor").distinct()
+    met = materialise(banded.groupBy("band").agg(F.min(F.struct("id", "node"))["node"].alias("anchor"), F.count("*").alias("n")).where(F.col("n") > 1))
+    stars = hot_join(banded, met, "band", "n").select("node", "anchor").distinct()
     stars = materialise(stars.groupBy("node").agg(F.collect_set("anchor").alias("anchors")))  # at most BANDS each
-    blocks = stars.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    release(met)
     asked = stars.join(nodes.drop("bands"), "node")
-    asked = asked.join(rows, ["id", "key"]).select("node", "id", "copies", "text", "anchors", F.explode("anchors").alias("anchor")).join(blocks, "anchor")
+    asked = asked.join(rows, ["id", "key"]).select("node", "id", "copies", "text", "anchors", F.explode("anchors").alias("anchor"))
+    # only anchors of several blocks are told to their nodes; groups of (anchor, i, j) are dealt by all three
+    large = stars.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = materialise(large.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks")))
+    side = F.broadcast(large) if large.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS else large
+    asked = asked.join(side, "anchor", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     asked = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    asked = asked.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "n_blocks")
+    asked = asked.select("node", "id", "copies", "text", "anchors", "anchor", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     told = materialise(asked.groupBy("anchor", "i", "j").applyInArrow(_block(similarity), "node binary, links long, low binary"))
 
     labels = join_parts(told.select("node", "low"), nodes.select("node", "id"))
     links = told.groupBy("node").agg(F.sum("links").alias("links"))
     least = nodes.select(F.col("node").alias("low"), F.col("id").alias("class"), F.col("key").alias("class_key"))
     info = nodes.select("node", "id", "key", "copies").join(labels, "node", "left").join(links, "node", "left")
-    info = info.select("node", F.coalesce("low", "node").alias("low"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).join(least, "low").select("node", "class", "class_key", "n_links")
-    with_words = signed.select("id", "key", "node").join(info, "node").select("id", "key", "class", "class_key", "n_links")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    info = materialise(info.select("node", F.coalesce("low", "node").alias("low"), n_links, "copies").join(least, "low").select("node", "class", "class_key", "n_links", "copies"))
+    with_words = hot_join(signed.select("id", "key", "node"), info, "node", "copies").select("id", "key", "class", "class_key", "n_links")
     without = rows.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", "key", F.col("id").alias("class"), F.col("key").alias("class_key"), F.lit(0).cast("long").alias("n_links"))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     keeps = (F.col("id") == F.col("class")) & (F.col("key") == F.col("class_key"))
@@ -235,8 +245,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class; texts without words all stay, but equal rows once."""
+    """docs, all columns, with one row of each class: the least id's; of rows equal in id and text the one whose whole row has the least hash. Texts without words all stay, but equal rows once. An empty table stays empty."""
     kept = near_duplicates(docs, similarity, doc_id, text).where("keeps").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text"))
-    return keyed.join(kept, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key"))).dropDuplicates(["_doc", "_key"]).select("row.*")
+    met = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key")))
+    return met.groupBy("_doc", "_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
