@@ -5,8 +5,8 @@ SHA-256 is joined on its first four bytes with that of the rules, the full diges
 the rule's whole path must start the URL's path. The longest host plus path wins; of two that long
 the longer host, then block. Expressions longer than any rule cannot match and are not made.
 
-Null URLs and those without ``://`` have an empty host and path and fit no rule. URLs are judged once
-each and joined back, so repeated rows and hot hosts cost nothing more. Rules with a null host are
+Null URLs and those without ``://`` have an empty host and path and fit no rule; they take no part in any join. Other URLs are judged once
+each and joined back; one that many rows have is told to them by broadcast. An empty table gives no rows. Rules with a null host are
 void; a null path is an empty one. Only the two named columns are read.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import hot_join, materialise
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"://([^/?#]*)([^?#]*)"
 #: Bytes of the short hash that the join uses.
@@ -59,14 +61,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     """page_id, host, path, rule, verdict: one row per page."""
     rules = prepare_rules(rules)
     labels, slashes = rules.agg(F.max(F.size(F.split("r_host", r"\.", -1))), F.max(F.size(F.split("r_stem", "/", -1)) - 1)).first()
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
-    once = rows.where(F.col("url").isNotNull()).select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where(F.col("host") != "")
-    made = once.select("url", "host", "path", F.explode(_suffixes(F.col("host"), F.lit(labels or 1))).alias("h"))
-    made = made.select("url", "path", "h", F.explode(_prefixes(F.col("path"), F.lit(slashes or 0))).alias("p"))
-    made = made.select("url", "path", _hashed(F.col("h"), F.col("p")).alias("digest"))
-    hit = made.join(rules, F.substring("digest", 1, 2 * SHORT) == F.col("short")).where((F.col("digest") == F.col("r_digest")) & F.col("path").startswith(F.col("r_path")))
-    rank = F.struct((F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_host").alias("b"), (F.col("r_verdict") == "block").alias("c"))
-    best = hit.groupBy("url").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best"))
-    return rows.join(best, "url", "left").select(
-        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")
-    )
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    some = rows.where(F.col("host") != "")
+    once = some.groupBy("url").agg(F.count("*").alias("n")).select("url", "n", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    made = once.select("url", "n", "path", F.explode(_suffixes(F.col("host"), F.lit(labels or 1))).alias("h"))
+    made = made.select("url", "n", "path", "h", F.explode(_prefixes(F.col("path"), F.lit(slashes or 0))).alias("p"))
+    made = made.select("url", "n", "path", _hashed(F.col("h"), F.col("p")).alias("digest"))
+    hit = made.join(rules, F.substring("digest", 1, 2 * SHORT) == F.col("short"), "left")
+    sure = (F.col("digest") == F.col("r_digest")) & F.col("path").startswith(F.col("r_path"))
+    rank = F.when(sure, F.struct((F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_host").alias("b"), (F.col("r_verdict") == "block").alias("c")))
+    best = F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank)
+    judged = materialise(hit.groupBy("url").agg(F.first("n").alias("n"), best.alias("best")))
+    told = hot_join(some, judged, "url", "n", "left").select("page_id", "host", "path", "best")
+    none = rows.where(F.col("host") == "").select("page_id", "host", "path", F.lit(None).cast(judged.schema["best"].dataType).alias("best"))
+    return told.unionByName(none).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
