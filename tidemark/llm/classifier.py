@@ -7,7 +7,7 @@ norms, and its log length. The network learns quality from at most ``most_labell
 lowest; a fifth of these sets the temperature that calibrates its probabilities. Labels, language, source and id are no inputs.
 
 Documents whose crc32(id as text) is divisible by 5 are held out, so are null ids. Null text is an empty text and gets a score as any
-text does. Repeated rows get the same score. Labels that are null don't count; of several labels of an id the mean counts. Without
+text does. Repeated rows get the same score. Labels that are null don't count; of several labels of an id the mean counts, of several documents of an id one. Without
 labels of both classes every score is the share of class 1, or 0.5 without any. Only the named columns are read.
 """
 
@@ -29,6 +29,8 @@ WORDS, SHAPES, DIM, WINDOW, NONZERO = 1 << 14, 1 << 9, 32, 2, 2
 ROWS = WORDS + SHAPES
 #: Rows of the vector table in a piece that tasks send.
 PIECE = 1 << 10
+#: Tasks whose sums are added at a time.
+FAN = 32
 FEATURES = 2 * DIM + 4
 _BATCH = 1_000_000
 
@@ -123,13 +125,14 @@ def context_sums(docs: DataFrame, text: str = "text") -> np.ndarray:
         import pandas as pd
 
         total = np.sum([np.frombuffer(x, np.int64) for x in pdf["sums"]], axis=0)
-        return pd.DataFrame({"piece": pdf["piece"][:1], "sums": [total.tobytes()]})
+        return pd.DataFrame({"piece": pdf["piece"][:1], "part": pdf["part"][:1], "sums": [total.tobytes()]})
 
-    # two rounds, so that no task adds more than about the root of all tasks' sums
-    sent = docs.select(F.col(text).cast("string")).mapInArrow(work, "piece int, sums binary")
-    some = sent.withColumn("_salt", F.spark_partition_id() % 32).groupBy("piece", "_salt").applyInPandas(lambda key, pdf: add(pdf), "piece int, sums binary")
+    # added as a tree of FAN tasks' sums at a time: a task adds FAN pieces, the last one the number of tasks / FAN**3
+    some = docs.select(F.col(text).cast("string")).mapInArrow(work, "piece int, sums binary").withColumn("part", F.spark_partition_id())
+    for _ in range(3):
+        some = some.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("piece", "part").applyInPandas(add, "piece int, part int, sums binary")
     whole = np.zeros((-(-ROWS // PIECE), PIECE * DIM), np.int64)
-    for r in some.groupBy("piece").applyInPandas(add, "piece int, sums binary").collect():  # ROWS x DIM numbers, whatever the corpus
+    for r in some.groupBy("piece").applyInPandas(add, "piece int, part int, sums binary").collect():  # ROWS x DIM numbers, whatever the corpus
         whole[r.piece] = np.frombuffer(r.sums, np.int64)
     return whole.reshape(-1, DIM)[:ROWS]
 
@@ -231,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most_labelled
 
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
     picked = texts.join(F.broadcast(rows), F.col("_id") == F.col("_doc")).select("_doc", "_y", "_text")  # most_labelled rows of 16 bytes
-    got = sorted((r.doc, r.y, bytes(r.x)) for r in picked.mapInArrow(work, "doc long, y double, x binary").collect())[: 2 * most_labelled]
+    # of documents with one id the one with the least features counts, so at most most_labelled rows come
+    one = picked.mapInArrow(work, "doc long, y double, x binary").groupBy("doc", "y").agg(F.min("x").alias("x"))
+    got = sorted((r.doc, r.y, bytes(r.x)) for r in one.collect())
     x = np.array([np.frombuffer(r[2]) for r in got]).reshape(-1, FEATURES)
     return fit(x, np.array([r[1] for r in got]))
 
@@ -254,7 +259,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labelled: int = 20_000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """docs, all columns, without the documents that score below the threshold."""
+    """docs, all columns, without the documents that score below the threshold. Null and empty texts are scored as others are, repeated rows alike; an empty table stays empty."""
     vectors = word_vectors(context_sums(docs, text))
     shared = docs.sparkSession.sparkContext.broadcast((vectors, train(docs, labels, vectors, most_labelled, doc_id, text, label)))
     at = docs.columns.index(text)
