@@ -112,6 +112,91 @@ def test_long_secrets_are_whole():
     assert secrets.redact(text, secrets.scan(text)) == text.replace("Xy7#kQ9p", "[SECRET]").replace("Lm3!Rt8w", "[SECRET]")
 
 
+@pytest.mark.parametrize(
+    "text, hidden",
+    [
+        ('{"password": {"value": "Qw9!zz-R7tt"}}', ["Qw9!zz-R7tt"]),
+        ('secrets: ["Qw9!zz-R7tt", "Lk3#-vvB21"]', ["Qw9!zz-R7tt", "Lk3#-vvB21"]),
+        ("password:\n  # the live one\n  value: Qw9zz-R7tt1\nport: 80\n", ["Qw9zz-R7tt1"]),
+        ("passwords:\n  - Qw9zz-R7tt1\n  - Lk3-vvB21x\nnext: 1\n", ["Qw9zz-R7tt1", "Lk3-vvB21x"]),
+        ("private_key: |\n  -----BEGIN KEY-----\n  MIIEpAIBAAKCAQEA7bq\n  q9Zk3+Rr/81=\n  -----END KEY-----\nname: x\n", ["MIIEpAIBAAKCAQEA7bq", "q9Zk3+Rr/81="]),
+        ('part = "Xy7#kQ9p"\nclient_secret = f"pre-{part}-91Zq"\n', ["Xy7#kQ9p", "pre-", "-91Zq"]),
+        ("PART='Xy7#kQ9p'\nexport DB_PASSWORD=\"${PART}-91Zq\"\n", ["Xy7#kQ9p", "-91Zq"]),
+        ("PART=Xy7kQ9p11\nDB_PASSWORD=$PART\n", ["Xy7kQ9p11"]),
+        ('db_password' + " " * 500 + '= "Xy7#kQ9p-11"', ["Xy7#kQ9p-11"]),
+        ("client_secret: Optional[" + "Dict, " * 100 + 'str] = "Xy7#kQ9p-11"', ["Xy7#kQ9p-11"]),
+        (f'config["{"a" * 300}_password"] = "Xy7#kQ9p-11"', ["Xy7#kQ9p-11"]),
+        ('client_secret = ("Xy7#kQ9p"\n    "Lm3!Rt8w")\n', ["Xy7#kQ9p", "Lm3!Rt8w"]),
+        ('a = "Xy7#kQ9p-11"\na = input()\nclient_secret = a\n', []),
+        ('def f():\n    a = "Xy7#kQ9p-11"\n    return a\n\nclient_secret = a\n', []),
+        ('a = "Xy7#kQ9p-11"\ndef f():\n    a = "shadow"\n    return a\n\nclient_secret = a\n', ["Xy7#kQ9p-11"]),
+        ('a = "Xy7#kQ9p"\na += "-91Zq"\nclient_secret = a\n', ["Xy7#kQ9p", "-91Zq"]),
+        ('<passphrase kind="x">Tr0ub4dor&amp;3\nxyz</passphrase>', ["Tr0ub4dor&amp;3\nxyz"]),
+        ('{"session": {"provider": "Google2024 login"}}', []),
+        ("note: see password = hidden", []),
+    ],
+)
+def test_secret_structures(text, hidden):
+    """Nested keys, lists, block scalars, interpolation, long left sides, rebinding and scopes."""
+    spans = secrets.scan(text)
+    assert [h for h in hidden if any(a <= text.index(h) and text.index(h) + len(h) <= b for a, _, b in spans)] == hidden
+    assert hidden or not [x for x in spans if x[1] == 3]
+
+
+def written(rng):
+    """A source of random statements, and the spans of literals that reach sensitive names, kept by a plain interpreter as it is written."""
+    text, bound, spans = "", {}, set()
+    letter = lambda: rng.choice("abcXYZ019#!-")
+    for _ in range(rng.randrange(1, 25)):
+        name = rng.choice(["alpha", "beta", "gamma", "db_password", "authToken", "clientSecret"])
+        form = rng.choice(['{} = {}\n', '{}={}\n', '{}: {}\n', 'x["{}"] = {}\n', "const {} = {};\n", '{}: str = {}\n'])
+        head, tail = form.split("{}")[0] + name + form.split("{}")[1], form.split("{}")[2]
+        text += head
+        parts = []
+        for k in range(rng.randrange(1, 5)):
+            text += " + " if k else ""
+            if bound and rng.random() < 0.4:
+                other = rng.choice(sorted(bound))
+                text += other
+                parts += bound[other]
+            else:
+                value = "".join(letter() for _ in range(rng.randrange(8, 30))) + "a1Z-"
+                parts.append((len(text) + 1, len(text) + 1 + len(value)))
+                text += f'"{value}"'
+        text += tail
+        bound[f"x.{name}" if form.startswith("x[") else name] = parts
+        if name not in ("alpha", "beta", "gamma"):
+            spans |= set(parts)
+    return text, spans
+
+
+def test_lexer_against_an_interpreter():
+    rng = random.Random(12)
+    for _ in range(400):
+        text, want = written(rng)
+        got = {(a, b) for name, value in secrets.pairs(text) if secrets.name_score(name) >= 0.5 for a, b, _ in secrets.flat(value, len(text))}
+        assert got == want, text
+        covered = [x for x in secrets.scan(text)]
+        assert all(any(a <= x and y <= b for a, _, b in covered) for x, y in want)
+
+
+@pytest.mark.parametrize("text", ["x" * 100000 + "=" * 100000, "a=b=" * 30000, "token=a&" * 30000, '{"value":' * 30000, "a.b-c" * 40000 + "=", "a: List[" * 30000 + "]=", '="""' * 30001, "x: y = " * 30000, 'a = "' + "x" * 50000 + '"\n' + "token = a\n" * 5000])
+def test_scan_time_is_linear(text):
+    import time
+
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 5
+
+
+def test_secrets_of_empty_tables_and_repeats(spark):
+    df = frame(spark, ["password=Abcdefgh12345", "password=Abcdefgh12345", None, "", "x" * 200000 + " password=Abcdefgh12345"], [1, 1, 2, None, 4])
+    got = [(r.doc_id, r.n_assign) for r in secrets.secret_summary(secrets.find_secrets(df)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (1, 1), (2, 0), (None, 0), (4, 1)], key=str)
+    assert secrets.find_secrets(df.limit(0)).count() == 0 and secrets.redact_secrets(df.limit(0)).count() == 0
+    assert sorted(r.text or "" for r in secrets.redact_secrets(df).collect())[:4] == ["", "", "[SECRET]", "[SECRET]"]
+
+
 def test_redaction(spark):
     df = frame(spark, ['x = 1 password="Abcdefgh12345" y', None, ""])
     got = {r.doc_id: r for r in secrets.redact_secrets(df).collect()}
