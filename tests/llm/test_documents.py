@@ -291,41 +291,53 @@ def test_quality_rules(spark):
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
-def test_concentration_is_robust():
-    """The estimate ignores a fifth of far points, as a direct minimum-covariance-determinant search does."""
-    import pandas as pd
-
-    rng = np.random.default_rng(1)
-    x = rng.normal(0, 1, (500, quality.P))
-    x[:100] += 12
-    at, metric = np.median(x, 0), np.eye(quality.P)
-    step = quality._estimate(0.75, 60, False)
-    for _ in range(4):
-        y = x - at
-        d2 = np.einsum("ij,jk,ik->i", y, metric, y)
-        cls = np.clip(np.floor(np.log2(d2 + 1e-9) * 8) + 40, 0, quality.CLASSES - 1).astype(int)
-        rows = [{"grp": 1, "cls": c, "n": int((cls == c).sum()), "at": at.tolist(), "metric": metric.ravel().tolist(), "sums": np.concatenate([y[cls == c].sum(0), [(y[cls == c][:, i] * y[cls == c][:, j]).sum() for i in range(quality.P) for j in range(i + 1)]]).tolist()} for c in np.unique(cls)]
-        out = step(pd.DataFrame(rows)).iloc[0]
-        at, metric = np.array(out["at"]), np.array(out["metric"]).reshape(quality.P, quality.P)
-    assert np.abs(at).max() < 0.4
-    near_ = np.sort(np.einsum("ij,jk,ik->i", x - at, metric, x - at)[100:])
-    assert np.einsum("ij,jk,ik->i", x - at, metric, x - at)[:100].min() > near_[-1]
-
-
-def test_distances_have_the_chi_squared_scale():
+def plain_mcd(x, share, rng, tries=40):
+    """The minimum-covariance-determinant estimate by random starts and exact concentration steps; squared distances on the chi-squared scale."""
+    floor, h = np.diag(np.square(quality.FLOOR)), int(np.ceil(share * len(x)))
+    best = None
+    for _ in range(tries):
+        rows = rng.choice(len(x), quality.P + 2, replace=False)
+        det = np.inf
+        while True:
+            mean, cov = x[rows].mean(0), np.cov(x[rows].T, bias=True) + floor
+            now = np.linalg.slogdet(cov)[1]
+            if len(rows) == h and now >= det - 1e-9:
+                break
+            det = now if len(rows) == h else np.inf
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            rows = np.argsort(d2, kind="stable")[:h]
+        if best is None or now < best[0]:
+            best = now, d2
+    return best[1] * quality.CHI2_MEDIAN / max(np.median(best[1]), quality.LEAST_MEDIAN)
+
+
+def stats_frame(spark, x, lang="en", source="s"):
+    rows = [(i, lang, source, 100, 500, 0, 0, 0, v.tolist()) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, quality.STATS)
+
+
+@pytest.mark.parametrize("seed, n, bad", [(1, 300, 60), (2, 400, 20), (3, 120, 0)])
+def test_distances_are_those_of_an_mcd_search(spark, seed, n, bad):
+    rng = np.random.default_rng(seed)
+    mix = rng.normal(0, 0.6, (quality.P, quality.P)) + 1.5 * np.eye(quality.P)
+    x = rng.normal(0, 1, (n, quality.P)) @ mix
+    x[:bad] += 25 * np.sign(rng.normal(size=quality.P))
+    want = plain_mcd(x, 0.75, rng)
+    rows = {r.doc_id: r.d2 for r in quality.outlier_distances(stats_frame(spark, x).repartition(3)).collect()}
+    got = np.array([rows[i] for i in range(n)])
+    cutoff = quality.chi2_quantile(quality.TAIL)
+    assert ((got > cutoff) == (want > cutoff)).all() and (want > cutoff).sum() == bad
+    assert np.median(np.abs(np.log(got[bad:] / want[bad:]))) < 0.1
+
+
+def test_distances_have_the_chi_squared_scale(spark):
     """The last step scales both ways; the cutoff is a quantile of the same distribution."""
-    import pandas as pd
-
     rng = np.random.default_rng(2)
-    z = rng.normal(0, 1, (4000, quality.P))
-    for unit, want in ((0.3, 1.0), (1.0, 1.0), (3.0, 1.0), (0.001, 0.0)):
-        d2 = unit * np.square(z).sum(1)
-        cls = np.clip(np.floor(np.log2(d2 + 1e-9) * 8) + 40, 0, quality.CLASSES - 1).astype(int)
-        metric = (unit * np.eye(quality.P)).ravel().tolist()
-        rows = [{"grp": 1, "cls": c, "n": int((cls == c).sum()), "at": [0.0] * quality.P, "metric": metric} for c in np.unique(cls)]
-        m = np.array(quality._estimate(0.75, 60, True)(pd.DataFrame(rows)).iloc[0]["metric"]).reshape(quality.P, quality.P)
-        median = np.median(np.einsum("ij,jk,ik->i", z, m, z))
-        assert median == pytest.approx(quality.CHI2_MEDIAN, rel=0.05) if want else median < 0.1 * quality.CHI2_MEDIAN
+    for unit in (1.5, 4.0, 20.0):
+        got = [r.d2 for r in quality.outlier_distances(stats_frame(spark, unit * rng.normal(0, 1, (1500, quality.P)))).collect()]
+        assert np.median(got) == pytest.approx(quality.CHI2_MEDIAN, rel=0.06)
+    tight = [r.d2 for r in quality.outlier_distances(stats_frame(spark, 0.001 * rng.normal(0, 1, (500, quality.P)))).collect()]
+    assert np.median(tight) < 0.1 * quality.CHI2_MEDIAN
     assert quality.chi2_quantile(0.5) == pytest.approx(quality.CHI2_MEDIAN) and quality.chi2_quantile(0.025) == pytest.approx(14.449375)
     assert 90 < quality.chi2_quantile(quality.TAIL) < 100
 
