@@ -1,13 +1,13 @@
 """Order-preserving packing into token sequences by dynamic programming.
 
 Documents keep their order within a task's share of the input and form one token stream. The stream
-may be cut at document ends (free), at sentence ends (a small penalty) and, inside sentences longer than
-``unit`` tokens, at every ``unit`` tokens (a truncation penalty). Over these places
+may be cut at document ends (free), at sentence ends (a small penalty) and, inside sentences longer than a
+sequence, which must be cut somewhere, at every ``unit`` tokens (a truncation penalty). Over these places
 
     cost(j) = min over i with 0 < at[j] - at[i] <= width of cost(i) + width - (at[j] - at[i]) + penalty(j)
 
 is minimal padding plus penalties; the best i is the front of a monotone queue of cost(i) + at[i], so a
-stream costs time in proportion to its places. The stream is cut in rounds of about ``round_tokens``; what
+stream costs time in proportion to its places; of equally cheap cuts those with longer last windows are taken. The stream is cut in rounds of about ``round_tokens``; what
 the last window of a round holds moves to the next round. A task's last window is split into powers of two
 where that spares padding, as sequences of such a length are not padded.
 
@@ -99,15 +99,15 @@ def encoder(path: str | None, ranks: str | None, end_id: int) -> Encoder:
     return Encoder(path or public.path("byte_bpe_50k.json"), ranks or public.path("byte_bpe_50k.tiktoken"), public.PATTERN, end_id)
 
 
-def cut_places(ends: np.ndarray, doc_ends: np.ndarray, total: int, unit: int, sentence: float, truncation: float) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(ends: np.ndarray, doc_ends: np.ndarray, total: int, width: int, unit: int, sentence: float, truncation: float) -> tuple[np.ndarray, np.ndarray]:
     """The places where a stream of ``total`` tokens may be cut, from 0 to total, and their penalties."""
     kind = np.zeros(total + 1, np.int8)
     kind[ends] = 2
     kind[doc_ends] = 3
     kind[[0, total]] = 3
-    every = np.arange(total + 1, dtype=np.int32)
-    since = every - np.maximum.accumulate(np.where(kind > 0, every, 0))
-    kind[(since % unit == 0) & (kind == 0)] = 1
+    whole = np.flatnonzero(kind)
+    for i in np.flatnonzero(np.diff(whole) > width):
+        kind[whole[i] + unit : whole[i + 1] : unit] = 1
     at = np.flatnonzero(kind)
     return at, np.array([0.0, truncation, sentence, 0.0])[kind[at]]
 
@@ -162,7 +162,7 @@ class Packer:
         sizes = np.array([len(d[1]) // 4 - d[2] for d in self.docs])
         doc_ends = np.cumsum(sizes)
         ids = np.frombuffer(b"".join([d[1][4 * d[2] :] for d in self.docs]), "<u4")
-        at, cost = cut_places(np.flatnonzero(self.ends[ids]) + 1, doc_ends, len(ids), self.unit, *self.penalties)
+        at, cost = cut_places(np.flatnonzero(self.ends[ids]) + 1, doc_ends, len(ids), self.width, self.unit, *self.penalties)
         cuts = at[best_cuts(at.tolist(), cost.tolist(), self.width)].tolist()
         windows = list(zip(cuts[:-1], cuts[1:]))
         if last:
