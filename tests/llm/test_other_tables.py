@@ -130,6 +130,40 @@ def test_search_small(spark, monkeypatch):
     assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in few] == [(0, 1, 1, 0.707107)]
 
 
+def test_extreme_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** (0, 200, -200, 300, -300)[i % 5]).tolist()) for i in range(120)]
+    unit = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    want = plain_search(unit, 50, 5)
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q, found in got.items():
+        assert [found[i][0] for i in range(1, 6)] == [w[0] for w in want[q]]
+        assert [found[i][1] for i in range(1, 6)] == pytest.approx([w[1] for w in want[q]], abs=1e-12)
+
+
+def test_large_leaves_are_split_again(spark, monkeypatch):
+    """With a small sample the first tree's leaves hold too many rows."""
+    monkeypatch.setattr(ann, "PART", 200)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, (centres[i % 40] + 0.3 * rng.normal(size=12)).tolist()) for i in range(3000)] + [(3000 + i, centres[0].tolist()) for i in range(300)]
+    trees, grow = [], ann.Tree.grow
+
+    def seen(self, own, leaf_rows):
+        trees.append(self)
+        return grow(self, own, leaf_rows)
+
+    monkeypatch.setattr(ann.Tree, "grow", seen)
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), most_sample=150, leaf_rows=32, every=25).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = plain_search(rows, 25, 5)
+    assert len(trees) > 1 and trees[-1].n_leaves > 20
+    assert np.mean([len(got[q] & {w[0] for w in want[q]}) / 5 for q in want]) >= 0.9
+
+
 def test_search_recall(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16))

@@ -1,16 +1,18 @@
 """Nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
 The tree is fitted on a bounded sample of the vectors (``most_sample``, lowest hashes of their ids) with spherical
-k-means, ``branching`` children a node. Every vector descends to a leaf. A query visits leaves best bin first: a priority queue holds
+k-means, ``branching`` children a node. Every vector descends to a leaf. Leaves that then hold more than PART rows are split again, on samples of
+their own rows of the same bound together, until none does or the tree has ``most_leaves`` leaves. A query visits leaves best bin first: a priority queue holds
 the nodes next to the path so far by the cosine of their centres. How many leaves a query visits is
 calibrated: ``calibration`` queries are searched by brute force over all rows, and visits are widened until the leaves visited hold
 ``recall`` of what they should find. Within a leaf the search is exact, in double precision.
 
 Identical vectors are searched once: as candidates only the k + 1 smallest ids of a batch's equal vectors can count, and equal queries
-share a search for k + 1. Leaves are searched in shards of bounded size; a leaf with more rows is split by hash.
+share a search for k + 1. Leaves are searched in shards of bounded size, at least some for each core; a leaf with still more rows is split by hash. A shard's
+rows are copied only where more than QUERIES queries come to that shard, once for each so many.
 
-Rows take no part whose id is null or whose vector is null, of another length than most, zero, or holds null or non-finite
-components. Of rows with one id the one with the least bytes counts; a query's own id is never its neighbour. An empty table gives no rows. Only the
+Rows take no part whose id is null or whose vector is null, of another length than most (which has no cosine with the others), zero, or holds null or non-finite
+components. Vectors are scaled by a power of two first, so that no finite component overflows; cosines stay the same. Of rows with one id the one with the least bytes counts; a query's own id is never its neighbour. An empty table gives no rows. Only the
 two named columns are read.
 """
 
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, release
 
-#: Rows of a shard: what one search takes.
+#: Most rows of a shard: what one search takes.
 PART = 8192
-#: Queries of a block: each block is searched by itself in every shard.
+#: Queries of a block: each block of a shard's queries is searched by itself.
 QUERIES = 20_000
 _CLOSE = 1e-9
 
@@ -39,13 +41,17 @@ class Tree:
     """centres: one unit vector a node; children: a list a node, empty at leaves; leaf: the leaf's number or -1."""
 
     def __init__(self, x: np.ndarray, leaf_rows: int, branching: int, seed: int = 11):
-        rng = np.random.default_rng(seed)
+        self.rng, self.branching = np.random.default_rng(seed), branching
         self.children: list[list[int]] = [[]]
-        centres, self.leaf = [_unit(x.mean(0, keepdims=True))[0] if len(x) else np.zeros(x.shape[1])], [-1]
-        todo = [(0, x)]
+        self.centres = _unit(x.mean(0, keepdims=True)) if len(x) else np.zeros((1, x.shape[1]))
+        self.grow({0: x}, leaf_rows)
+
+    def grow(self, rows: dict[int, np.ndarray], leaf_rows: int) -> bool:
+        """Split leaf nodes by samples of their rows; whether any was."""
+        centres, todo = list(self.centres), list(rows.items())
         while todo:
             node, own = todo.pop()
-            label = _kmeans(own, min(branching, -(-len(own) // leaf_rows)), rng) if len(own) > leaf_rows else np.zeros(len(own), int)
+            label = _kmeans(own, min(self.branching, -(-len(own) // leaf_rows)), self.rng) if len(own) > leaf_rows else np.zeros(len(own), int)
             parts = [own[label == c] for c in np.unique(label)]
             if len(parts) < 2:
                 continue
@@ -54,12 +60,14 @@ class Tree:
                 todo.append((len(centres), part))
                 centres.append(_unit(part.mean(0, keepdims=True))[0])
                 self.children.append([])
-                self.leaf.append(-1)
+        grown = len(centres) > len(self.centres)
         self.centres = np.array(centres)
-        leaves = [n for n, c in enumerate(self.children) if not c]
-        for i, n in enumerate(leaves):
+        self.leaves = [n for n, c in enumerate(self.children) if not c]
+        self.leaf = [-1] * len(centres)
+        for i, n in enumerate(self.leaves):
             self.leaf[n] = i
-        self.n_leaves = len(leaves)
+        self.n_leaves = len(self.leaves)
+        return grown
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """Leaf numbers of unit vectors."""
@@ -140,7 +148,7 @@ def valid_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
 
 
 def _packed(rows: DataFrame, keep: int) -> DataFrame:
-    """v as bytes; of equal vectors in a batch only the ``keep`` smallest ids."""
+    """v as bytes, scaled by a power of two to a largest magnitude of 0.5 to 1; of equal vectors in a batch only the ``keep`` smallest ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,6 +156,7 @@ def _packed(rows: DataFrame, keep: int) -> DataFrame:
                 continue
             ids, seen, at = b.column(0).to_numpy(), {}, []
             x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), "<f8").reshape(len(ids), -1)
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]).astype("<f8")
             raw = [r.tobytes() for r in x]
             for i in np.argsort(ids, kind="stable"):
                 mine = seen.setdefault(raw[i], set())
@@ -161,7 +170,7 @@ def _packed(rows: DataFrame, keep: int) -> DataFrame:
 
 def search(
     df: DataFrame, every: int = 50, k: int = 5, recall: float = 0.97, most_sample: int = 20_000, leaf_rows: int = 256, branching: int = 12,
-    calibration: int = 256, vec_id: str = "vec_id", embedding: str = "embedding",
+    most_leaves: int = 65_536, calibration: int = 256, vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
     spark = df.sparkSession
@@ -169,27 +178,41 @@ def search(
     n = rows.count()
     share = min(1.0, most_sample / max(n, 1))
     low = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
-    fitted = np.array([r.v for r in rows.where(low).select("v").limit(most_sample * 2).collect()], np.float64)
-    fitted = _unit(fitted) if len(fitted) else np.zeros((0, 1))
+    fitted = [r.v for r in _packed(rows.where(low), 1 << 30).select("v").limit(most_sample * 2).collect()]
+    fitted = _unit(_matrix(fitted)) if fitted else np.zeros((0, 1))
     # leaves of about leaf_rows rows, down to 16 rows of the sample
     tree = Tree(fitted, max(16, int(leaf_rows * share)), branching)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                leaf = shared.value.assign(_unit(_matrix(b.column(1).to_pylist())))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), b.column(0), b.column(1)], ["leaf", "id", "v"])
-
     single = _packed(rows, k + 1).groupBy("id").agg(F.min("v").alias("v"))
-    placed = materialise(single.mapInArrow(to_leaf, "leaf int, id long, v binary"))
-    # leaves go into shards of about PART rows; a leaf of more rows is spread over shards of its own
+    while True:
+        shared = spark.sparkContext.broadcast(tree)
+
+        def to_leaf(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    leaf = shared.value.assign(_unit(_matrix(b.column(1).to_pylist())))
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), b.column(0), b.column(1)], ["leaf", "id", "v"])
+
+        placed = materialise(single.mapInArrow(to_leaf, "leaf int, id long, v binary"))
+        sizes = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most most_leaves and one splitting
+        large = {leaf: c for leaf, c in sizes.items() if c > PART}
+        if not large or tree.n_leaves >= most_leaves:
+            break
+        rate = min(1.0, most_sample / sum(large.values()))
+        some = F.pmod(F.xxhash64("id", F.lit(tree.n_leaves)), F.lit(1 << 20)) < int(rate * (1 << 20)) + (rate == 1.0)
+        own: dict[int, list[bytes]] = {}
+        for r in placed.join(F.broadcast(spark.createDataFrame([(x,) for x in large], "leaf int")), "leaf").where(some).select("leaf", "v").limit(most_sample * 2).collect():
+            own.setdefault(tree.leaves[r.leaf], []).append(bytes(r.v))
+        if not tree.grow({node: _unit(_matrix(v)) for node, v in own.items()}, max(16, int(leaf_rows * rate))):
+            break  # equal vectors
+        release(placed)
+    # leaves go into shards of up to PART rows, less where cores would idle; a leaf of more rows is spread over shards of its own
+    part = max(leaf_rows, min(PART, -(-n // (2 * spark.sparkContext.defaultParallelism))))
     shards: dict[int, tuple[int, int]] = {}
     last, room = -1, 0
-    for leaf, n_rows in sorted((r.leaf, r["count"]) for r in placed.groupBy("leaf").count().collect()):  # a number per leaf of the bounded tree
-        n_parts = -(-n_rows // PART)
+    for leaf, n_rows in sorted(sizes.items()):
+        n_parts = -(-n_rows // part)
         if n_rows > room:
-            last, room = last + n_parts, PART if n_parts == 1 else 0
+            last, room = last + n_parts, part if n_parts == 1 else 0
             shards[leaf] = (last - n_parts + 1, n_parts)
         else:
             shards[leaf] = (last, 1)
@@ -243,10 +266,15 @@ def search(
             if who:
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(leaves, pa.list_(pa.int32())), b.column(1).take(pa.array(who)), b.column(0).take(pa.array(who))], ["shard", "leaves", "query", "v"])
 
-    n_blocks = max(1, -(-once.count() // QUERIES))
-    going = once.select("v", "query").mapInArrow(spread, "shard int, leaves array<int>, query long, v binary").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int"))
+    going = materialise(once.select("v", "query").mapInArrow(spread, "shard int, leaves array<int>, query long, v binary"))
+    # shards that more than QUERIES queries visit: at most all visits / QUERIES
+    busy = [(r.shard, -(-r["count"] // QUERIES)) for r in going.groupBy("shard").count().where(F.col("count") > QUERIES).collect()]
+    blocks = F.broadcast(spark.createDataFrame(busy, "shard int, n_blocks int"))
+    n_blocks = F.coalesce("n_blocks", F.lit(1))
+    going = going.join(blocks, "shard", "left").withColumn("block", F.pmod(F.xxhash64("query"), n_blocks).cast("int")).drop("n_blocks")
     table = spark.createDataFrame([(leaf, *x) for leaf, x in shards.items()] or [(0, 0, 1)], "leaf int, first int, n int")
     there = placed.join(F.broadcast(table), "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    there = there.join(blocks, "shard", "left").select("shard", "leaf", "id", "v", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
 
     def within(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -262,7 +290,6 @@ def search(
         cols = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    there = there.select("shard", "leaf", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     met = going.groupBy("shard", "block").cogroup(there.groupBy("shard", "block")).applyInArrow(within, "query long, id long, score double")
     met = met.groupBy("query", "id").agg(F.max("score").alias("score"))
     best = met.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
