@@ -7,14 +7,14 @@
    blocks, then of the block at the run's end as many documents as still fit best.
 3. All quota units go down a binary tree: at each node a random permutation sends the first half left. The counts of a
    source below a node so are multivariate hypergeometric draws; at the leaves they are exact quotas of shards.
-4. Each shard draws its quota from a second permutation of the source's units, disjoint from the other shards',
-   and a writer shuffles a shard by hash (write_mixture).
+4. Each shard draws its quota from a second permutation of the source's units, disjoint from the other shards'.
+5. apply_mixture() shuffles locally: a shard's copies are dealt to parts by hash and ordered by hash within; write_mixture() writes a folder a shard.
 
 Blocks hold at least ``least_block`` words and are at most about ``most_blocks`` in number, so that the tables of blocks
 and units are bounded however large the input is. All draws are hashes: reruns agree.
 
 Null text has size 0 and is never taken; a null source is a source, last in order. Rows that agree in id, source and text
-are dealt as one and share their fate. Only the three named columns are read.
+are dealt as one and share their fate. An empty table gives no rows. The table of sources is ordered by one task, at some 60 bytes a source. Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -107,17 +107,23 @@ def mixture_summary(plan: DataFrame) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies")
 
 
-def apply_mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", shard: str | None = "shard") -> DataFrame:
-    """The documents, each as often as the plan takes it, with its copy's shard in a column of that name (None: without), which replaces one of docs."""
+def apply_mixture(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", shard: str | None = "shard") -> DataFrame:
+    """The documents, each as often as the plan takes it, in random order within their shard, with its copy's shard in a column of that name (None: without), which replaces one of docs.
+
+    Documents without words are in no copy; rows that agree in id, source and text are each copied as their plan says. A shard is dealt to
+    spark.sql.shuffle.partitions / shards parts, each sorted by hash; copies of a document get places of their own.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.col(source).alias("_own"))
     taken = plan.where(F.size("copies") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.col("source").alias("_source"), "copies")
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")) & F.col("_own").eqNullSafe(F.col("_source"))
-    each = rows.join(taken, same).select("row", F.explode("copies").alias("_shard"))
+    each = rows.join(taken, same).select("row", "_id", "_key", F.posexplode("copies").alias("_copy", "_shard"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    each = each.withColumn("_place", F.xxhash64("_id", "_key", "_copy", F.lit(seed))).withColumn("_part", F.pmod(F.xxhash64("_place", F.lit(seed)), F.lit(parts)))
+    each = each.repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_place")
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != shard]
     return each.select(*kept, *([F.col("_shard").alias(shard)] if shard else []))
 
 
-def write_mixture(mixed: DataFrame, path: str, shards: int = 16, doc_id: str = "doc_id", seed: int = 17) -> None:
-    """One folder per shard, each shuffled by hash."""
-    dealt = mixed.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(doc_id, "shard", F.lit(seed)))
-    dealt.write.partitionBy("shard").parquet(path)
+def write_mixture(mixed: DataFrame, path: str, shard: str = "shard") -> None:
+    """One folder per shard; files keep the order that apply_mixture() gives. An empty mix writes no folder of a shard."""
+    mixed.write.partitionBy(shard).parquet(path)
