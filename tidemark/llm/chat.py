@@ -1,19 +1,21 @@
 """Chat formatting by schema fingerprints. DataFrame functions only.
 
-A layout is the set of its nested field paths (arrays as ``[]``); its fingerprint is their hash.
-Fingerprints select declarative mappings that turn prompt, instruction and message layouts into
+A layout is the set of its nested field paths (arrays as ``[]``); its fingerprint is the hash of those that
+belong to mappings it has all paths of. A dictionary from fingerprints (LAYOUTS) selects the declarative mapping that turns prompt, instruction and message layouts into
 canonical turns ``ARRAY<STRUCT<role, text>>``. The template marks turns and escapes control
 strings, so the formatted text gives the turns back exactly.
 
 Null text is an empty text, and so is a null role. Turns are ordered by turn (null first), then
 role, then text; repeated rows are repeated turns. A layout no mapping fits gives null turns for a
-JSON row, which format_turns() marks, and an error for a table. Fields no mapping names are ignored, so they never clash.
+JSON row, which format_turns() marks, and an error for a table; a JSON list of messages without items names no fields and fits none. Fields no mapping names are ignored, so they never clash.
+An empty table gives no rows. A conversation's rows meet in one row, as its formatted text does.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,13 +72,31 @@ MAPPINGS = (
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 
 
+def known_paths(have: set[str]) -> list[str]:
+    """The paths of all mappings that a layout has completely, sorted."""
+    return sorted({p for m in MAPPINGS if have.issuperset(m.paths) for p in m.paths})
+
+
+def _layouts() -> dict[str, Mapping]:
+    """Fingerprint -> mapping for every layout that known_paths() can give; of several mappings the one with most paths, then the first."""
+    made: dict[str, Mapping] = {}
+    for n in range(1, len(MAPPINGS) + 1):
+        for some in combinations(MAPPINGS, n):
+            paths = known_paths({p for m in some for p in m.paths})
+            made[fingerprint(paths)] = max((m for m in MAPPINGS if set(paths).issuperset(m.paths)), key=lambda m: len(m.paths))
+    return made
+
+
+LAYOUTS = _layouts()
+
+
 def select_mapping(schema: T.StructType) -> Mapping:
-    """The mapping whose fingerprint is that of the schema's paths that it knows; the one with most paths wins."""
+    """The mapping that the schema's fingerprint stands for."""
     have = set(field_paths(schema))
-    fits = [m for m in MAPPINGS if fingerprint([p for p in m.paths if p in have]) == m.print]
-    if not fits:
+    found = LAYOUTS.get(fingerprint(known_paths(have)))
+    if found is None:
         raise ValueError(f"no mapping for the layout {fingerprint(sorted(have))}: {sorted(have)}")
-    return max(fits, key=lambda m: len(m.paths))
+    return found
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -133,17 +153,19 @@ def canonical_json(df: DataFrame, payload: str, key: str) -> DataFrame:
     """key, layout, turns of JSON rows, each of any known layout; of mappings that fit, the one with most paths wins. Unknown layouts and broken JSON: null turns."""
     v = F.try_parse_json(F.col(payload))
     drawn = F.regexp_replace(F.schema_of_variant(v), r": (STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\)|VARIANT)", ": x")
-    seen = df.select(F.col(key).alias("key"), F.col(payload).alias("payload"), F.sha2(drawn, 256).alias("layout"), v.alias("v"))
+    own = [m for m in MAPPINGS if not m.by_turn]
+    some = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(_fits(m, v), F.array(*map(F.lit, m.paths))).otherwise(F.array().cast("array<string>")) for m in own]))))
+    seen = df.select(F.col(key).alias("key"), F.col(payload).alias("payload"), F.sha2(drawn, 256).alias("layout"), F.substring(F.sha2(F.array_join(some, "\n"), 256), 1, 16).alias("print"))
+    table = F.create_map(*[F.lit(x) for at, m in LAYOUTS.items() if not m.by_turn for x in (at, m.name)])
+    seen = seen.withColumn("mapping", F.try_element_at(table, F.col("print")))
     turns = F.lit(None).cast(TURNS)
-    for m in sorted(reversed(MAPPINGS), key=lambda m: len(m.paths)):
-        if m.by_turn:
-            continue
+    for m in own:
         if m.messages:
             top, role, text = m.messages
             parsed = F.from_json("payload", f"{top} array<struct<`{role}`: string, `{text}`: string>>")
         else:
             parsed = F.from_json("payload", ", ".join(f"`{text}` string" for _, text in m.turns))
-        turns = F.when(_fits(m, F.col("v")), _turns(m, lambda f, p=parsed: p[f])).otherwise(turns)
+        turns = F.when(F.col("mapping") == m.name, _turns(m, lambda f, p=parsed: p[f])).otherwise(turns)
     return seen.select("key", "layout", turns.alias("turns"))
 
 
