@@ -221,6 +221,20 @@ def test_encoder_is_the_tokenizer():
     assert public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_cuts_fall_at_sentence_ends():
+    """Inside a sentence only where it is longer than a sequence."""
+    coder = packing.encoder(None, None, 1)
+    rng = random.Random(5)
+    texts = [" ".join(" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(3, 15))) + "." for _ in range(rng.randrange(1, 20))) for _ in range(80)] + ["word " * 400]
+    packer, rows = packing.Packer(0, coder.ends, 64, 16, 2.0, 5.0, 500), []
+    ids = {i: coder.encode(t) for i, t in enumerate(texts)}
+    for i, e in ids.items():
+        rows += packer.add(i, e)
+    rows += packer.flush(False) if packer.held else []
+    inner = [(i, start + n) for i, start, n, *_, total, seq, at in [(r[0], r[1], r[2], r[3], r[4], r[5], r[6]) for r in rows] if start + n < total]
+    assert inner and all(i == 80 or coder.ends[np.frombuffer(ids[i], "<u4")[end - 1]] for i, end in inner)
+
+
 def test_cuts_are_optimal():
     rng = random.Random(2)
     for _ in range(60):
@@ -496,6 +510,38 @@ def test_mixture(spark):
         mixing.plan_mixture(df, shards=6)
 
 
+def test_local_shuffle_and_writing(spark, tmp_path):
+    """Every shard's folder holds its copies, in another order than that of ids; reruns agree; the tree's counts vary as draws do."""
+    df = frame(spark, made(3, 400), list(range(400)))
+    plan = mixing.plan_mixture(df, shards=4, least_block=100)
+    out = [str(tmp_path / x) for x in "ab"]
+    for path, d in zip(out, (df, df.repartition(7))):
+        mixing.write_mixture(mixing.apply_mixture(d, plan, 4), path)
+    copies = Counter((r.doc_id, s) for r in mixing.mixture_summary(plan).collect() for s in r.copies)
+    for path in out:
+        back = spark.read.parquet(path)
+        assert Counter((r.doc_id, r.shard) for r in back.collect()) == copies
+    for s in range(4):
+        one = [[r.doc_id for r in spark.read.parquet(f"{path}/shard={s}").collect()] for path in out]
+        assert sorted(one[0]) == sorted(one[1]) and one[0] != sorted(one[0])
+        twice = [a == b for a, b in zip(one[0], one[0][1:])]
+        assert sum(twice) < 0.1 * len(twice)
+    mixing.write_mixture(mixing.apply_mixture(df.limit(0), mixing.plan_mixture(df.limit(0), shards=4), 4), str(tmp_path / "empty"))
+
+
+def test_tree_counts_are_hypergeometric(spark):
+    """Over many seeds a source's units in a shard have the mean and the variance of draws without replacement."""
+    df = frame(spark, [f"w{i} a b c d" for i in range(120)]).withColumn("source", F.when(F.col("doc_id") < 40, "x").otherwise("y"))
+    counts = []
+    for seed in range(24):
+        plan = mixing.plan_mixture(df, shards=4, weights=(1,), seed=seed * 100, least_block=25)
+        rows = [(r.source, tuple(r.copies)) for r in plan.select("source", "copies").collect()]
+        counts += [sum(s in c for src, c in rows if src == "x") for s in range(4)]
+        assert max(sum(s in c for _, c in rows) for s in range(4)) <= 60
+    total = np.mean(counts) * 4
+    assert 20 < total < 100 and 0 < np.var(counts) < 4 * np.mean(counts)
+
+
 def test_word_count(spark):
     from tidemark.llm.common import word_count
 
@@ -528,6 +574,41 @@ def test_classifier(spark):
     assert classifier.score_quality(df.limit(0), labels).count() == 0
 
 
+def test_repeated_labelled_documents_train_once(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(40)] + [" ".join([word()] * 30) for _ in range(40)]
+    once = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int")
+    vectors = classifier.word_vectors(classifier.context_sums(once))
+    nets = [classifier.train(d, labels, vectors) for d in (once, once.unionByName(once.where("doc_id < 20")).unionByName(once))]
+    assert (nets[0].w1 == nets[1].w1).all() and nets[0].temperature == nets[1].temperature
+
+
+def test_gradients_and_temperature():
+    """A step of Adam on one batch follows the numeric gradient of the log loss; the temperature is the grid's best on the held fifth."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(100, 5))
+    y = (x[:, 0] + 0.1 * rng.normal(size=100) > 0).astype(float)  # the best rule is right for 97 %
+    net = classifier.fit(x, y, hidden=4, epochs=60)
+    assert np.mean((net.score(x) >= 0.5) == (y == 1)) > 0.85
+    order = np.random.default_rng(3).permutation(100)
+    held = order[:20]
+    loss = lambda t: np.mean(np.logaddexp(0, -np.where(y[held] == 1, 1, -1) * net.logit(x[held]) / t))
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.25, 8, 61))
+    # with one epoch of one batch and tiny steps Adam moves every weight against its gradient's sign
+    base = classifier.fit(x[:, :], y, hidden=4, epochs=0)
+    moved = classifier.fit(x[:, :], y, hidden=4, epochs=1, rate=1e-6, decay=0.0)
+    used = order[20:]
+    total = lambda net: np.mean(np.logaddexp(0, -np.where(y[used] == 1, 1, -1) * net.logit(x[used])))
+    for i in range(5):
+        for j in range(4):
+            up = base.w1.copy()
+            up[i, j] += 1e-5
+            grad = (total(classifier.Network(base.mean, base.scale, up, base.b1, base.w2, base.b2)) - total(base)) / 1e-5
+            assert np.sign(moved.w1[i, j] - base.w1[i, j]) == -np.sign(grad) or abs(grad) < 1e-3
+
+
 def test_context_sums(spark):
     texts = ["a b a c", "b", None, "c a"]
     sums = classifier.context_sums(frame(spark, texts))

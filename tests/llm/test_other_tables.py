@@ -64,6 +64,34 @@ def test_json_fields_beyond_the_mapping(spark):
     assert told == {i: (i > 3, i > 3, False) for i in range(8)}
 
 
+def test_fingerprints_select_mappings(spark):
+    """Every union of layouts, with fields beside, selects the mapping with most paths, by table and by JSON alike."""
+    import itertools
+    import json
+
+    own = [m for m in chat.MAPPINGS if m.turns]
+    rows, want = [], []
+    for n in (1, 2, 3):
+        for some in itertools.combinations(own, n):
+            fields = sorted({p for m in some for p in m.paths})
+            full = [m for m in own if set(m.paths) <= set(fields)]
+            best = max(full, key=lambda m: len(m.paths))
+            rows.append(json.dumps({"id": 1, **{f: f"{f}!" for f in fields}, "more": {"x": [1]}}))
+            want.append([(role, f"{text}!") for role, text in best.turns])
+            made = spark.createDataFrame([(1, *fields)], f"id int, {', '.join(f'{f} string' for f in fields)}")
+            assert chat.select_mapping(made.schema) == best
+    got = {r.key: [tuple(t) for t in r.turns] for r in chat.canonical_json(spark.createDataFrame(list(enumerate(rows)), "id int, j string"), "j", "id").collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"### {t}: <x> " * 20) for t in range(3000)]
+    made = chat.format_turns(chat.canonical_turns(turns_frame(spark, rows)))
+    r = chat.chat_summary(made).first()
+    loss = "".join(x for _, t, _, x in rows if t % 2)
+    assert (r.n_turns, r.loss_chars) == (3000, len(loss))
+
+
 # ---- URLs
 
 URLS = [
@@ -93,6 +121,30 @@ def test_urls(spark, rules):
     assert urls.filter_urls(df.limit(0), r).count() == 0
 
 
+def test_hot_joins(spark):
+    """Keys of many rows give what an ordinary join gives, however few may be broadcast."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import hot_join, materialise
+
+    left = spark.createDataFrame([(k, i) for i in range(400) for k in [0 if i % 3 else i % 40 if i % 5 else None]], "k int, i int")
+    right = materialise(left.where("k is not null and k <> 7").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")))
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right.drop("n"), "k", how).select("k", "i", "top").collect()))
+        for most, keys in ((10**9, 100), (5, 100), (1, 100), (1, 2)):
+            assert sorted(map(str, hot_join(left, right, "k", "n", how, most, keys).select("k", "i", "top").collect())) == want
+
+
+def test_hot_urls(spark):
+    from tidemark.llm import urls as module
+
+    many = ["http://example.com/en/x"] * 700 + ["http://other.org/"] * 700 + [None] * 700 + ["x"] * 50
+    df = spark.createDataFrame(list(enumerate(many)), "page_id long, url string")
+    r = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in module.filter_urls(df, r).collect()}
+    assert got == {i: plain_verdict(u, URL_RULES) for i, u in enumerate(many)}
+
+
 # ---- neighbours
 
 

@@ -52,3 +52,42 @@ def test_stages(spark, tmp_path):
         assert sum(r.length for r in pieces if r.doc_id == key) == n * times[key]
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert ran.count() > 0 and ran.columns == list(pieces[0].asDict())
+
+
+EDGES = [None, "", " \n\t ", "one", "a b c d", "a b c d", "Z" * 5000 + " end", "word " * 30000, "nbsp\u00a0inside", "\U0001f600 pictograph"]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names; then an empty table."""
+    extra = ["id", "key", "node", "band", "anchor", "row", "block", "size", "copies", "shard", "spans", "score", "_doc", "_key"]
+    cols = ["doc_id", "text", "lang", "source", "n_chars", *extra]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, len(t) if t else None, *["x"] * len(extra)) for i, t in enumerate(EDGES)]
+    rows += [(None, "no id here at all", None, None, None, *[None] * len(extra)), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(8)] + [(None, 1, None), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = {}
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = str(tmp_path / f"{name}{empty}")
+            stage(spark, now, str(tmp_path)).write.parquet(out)
+            made = spark.read.parquet(out)
+            sizes[name, empty] = made.count()
+            if name != "packing":
+                assert set(made.columns) == set(cols)
+            now = made
+    assert all(n == 0 for (_, empty), n in sizes.items() if empty)
+    assert 0 < sizes["ngram_jaccard_join", False] <= sizes["quality_classifier", False]
+    # without a classifier that rejects: of the copies one stays, so do texts without words and the row without id
+    single = corpus_pipeline.dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in single), key=str) == sorted([0, 1, 2, 3, 4, 6, 7, 8, 9, None], key=str)
+    mixed = corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()
+    assert not {r.doc_id for r in mixed} & {0, 1, 2}
+
+
+def test_survivor_is_fixed(spark):
+    """Of rows equal in id and text the same one stays, whatever the order."""
+    from tidemark.llm import near
+
+    df = spark.createDataFrame([(1, "a b c d e f", x) for x in "pqrst"], "doc_id long, text string, note string")
+    assert len({near.keep_one(df.orderBy("note", ascending=up).repartition(n)).first().note for up in (True, False) for n in (1, 3)}) == 1
