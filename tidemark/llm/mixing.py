@@ -110,14 +110,14 @@ def mixture_summary(plan: DataFrame) -> DataFrame:
 def apply_mixture(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", shard: str | None = "shard") -> DataFrame:
     """The documents, each as often as the plan takes it, in random order within their shard, with its copy's shard in a column of that name (None: without), which replaces one of docs.
 
-    Documents without words are in no copy; rows that agree in id, source and text are each copied as their plan says. A shard is dealt to
-    spark.sql.shuffle.partitions / shards parts, each sorted by hash; copies of a document get places of their own.
+    Documents without words are in no copy; rows that agree in id, source and text are each copied as their plan says. A shard is dealt to parts,
+    in all 8 a shuffle partition, so that partitions are even; each is sorted by hash. Copies of a document get places of their own.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.col(source).alias("_own"))
     taken = plan.where(F.size("copies") > 0).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.col("source").alias("_source"), "copies")
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")) & F.col("_own").eqNullSafe(F.col("_source"))
     each = rows.join(taken, same).select("row", "_id", "_key", F.posexplode("copies").alias("_copy", "_shard"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    parts = -(-8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     each = each.withColumn("_place", F.xxhash64("_id", "_key", "_copy", F.lit(seed))).withColumn("_part", F.pmod(F.xxhash64("_place", F.lit(seed)), F.lit(parts)))
     each = each.repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_place")
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != shard]
