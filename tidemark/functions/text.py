@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,8 +116,16 @@ def is_degrading(slang: Column, formal: Column) -> Column:
 
 
 def replace_slang(c: Column, lexicon: dict[str, str]) -> Column:
-    """Token by token, once; values may be several words. For lexicons that fit a literal (see operators.lexicon for larger ones)."""
+    """Token by token, once; values may be several words. For lexicons that fit a literal (see operators.lexicon for larger ones).
+
+    A map is searched key by key, so the literal is an array of small maps, found by the token's checksum.
+    """
     if not lexicon:
         return F.array_join(tokens(c), " ")
-    table = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
-    return F.array_join(F.transform(tokens(c), lambda t: F.coalesce(F.element_at(table, t), t)), " ")
+    n = max(1, len(lexicon) // 2)
+    buckets: list[dict[str, str]] = [{} for _ in range(n)]
+    for slang, formal in lexicon.items():
+        buckets[zlib.crc32(slang.encode()) % n][slang] = formal
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string, string>>")
+    own = lambda t: F.try_element_at(F.element_at(table, (F.crc32(t.cast("binary")) % n + 1).cast("int")), t)
+    return F.array_join(F.transform(tokens(c), lambda t: F.coalesce(own(t), t)), " ")

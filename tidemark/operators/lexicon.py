@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.config import PROTECTED_WORDS
 from tidemark.functions import text
 
-#: Entries up to which a lexicon is used as a literal map or broadcast.
+#: Entries up to which a lexicon is used as a literal, of some 40 bytes an entry.
 MOST_LITERAL = 20_000
 
 
@@ -55,17 +55,24 @@ def short_keys(lexicon: DataFrame, most: int = 4) -> DataFrame:
     return lexicon.where((F.length("slang") <= most) & (F.col("slang") != F.col("formal")))
 
 
+def _joined(df: DataFrame, lexicon: DataFrame, text_col: str) -> DataFrame:
+    """df with _new by a join of tokens with the lexicon. Each distinct text is worked on once, so neither keys nor repeated rows matter."""
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    once = df.select(whole.alias("_text")).distinct().select(F.sha2("_text", 256).alias("_hash"), F.posexplode(text.tokens(F.col("_text"))).alias("_pos", "slang"))
+    each = once.join(lexicon, "slang", "left").groupBy("_hash").agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("formal", "slang").alias("t")))).alias("_all"))
+    each = each.select("_hash", F.array_join(F.transform("_all", lambda x: x["t"]), " ").alias("_new"))
+    made = df.withColumn("_key", F.sha2(whole, 256)).join(each, F.col("_key") == F.col("_hash"), "left").drop("_key", "_hash")
+    return made.withColumn("_new", F.coalesce("_new", F.lit("")))  # texts without tokens
+
+
 def normalize_slang(df: DataFrame, lexicon: DataFrame, key: str, text_col: str = "review_text_cleaned") -> DataFrame:
-    """Replaces tokens and recounts words; adds slang_changed. Runs a count of the lexicon to choose a literal map or, beyond MOST_LITERAL, a join."""
+    """Replaces tokens and recounts words; adds slang_changed. Reads the lexicon to choose a literal table or, beyond MOST_LITERAL entries, a join; both give the same. Null text is an empty one; rows and keys may repeat or be null."""
     old = F.array_join(text.tokens(F.col(text_col)), " ")
     rows = lexicon.limit(MOST_LITERAL + 1).collect()
     if len(rows) <= MOST_LITERAL:
         made = df.withColumn("_new", text.replace_slang(F.col(text_col), {r.slang: r.formal for r in rows}))
     else:
-        each = df.select(F.col(key).alias("_key"), F.posexplode(text.tokens(F.col(text_col))).alias("_pos", "slang")).join(lexicon, "slang", "left")
-        each = each.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("formal", "slang").alias("t")))).alias("_all"))
-        each = each.select("_key", F.array_join(F.transform("_all", lambda x: x["t"]), " ").alias("_new"))
-        made = df.join(each, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_new", F.coalesce("_new", F.lit("")))
+        made = _joined(df, lexicon, text_col)
     made = made.withColumn("slang_changed", F.col("_new") != old).withColumn(text_col, F.col("_new")).drop("_new")
     return made.withColumn("word_count_after", text.token_count(F.col(text_col)))
 
