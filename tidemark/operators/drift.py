@@ -18,11 +18,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def centroids(df: DataFrame, topic: str = "topic", month: str = "relative_month", embedding: str = "embedding", dim: int | None = None) -> DataFrame:
-    """topic, month, n, vec: means by element. dim, if not given, is read from the first row, so that all elements are plain averages in one aggregation."""
-    if dim is None:
-        row = df.select(F.size(embedding).alias("n")).where(F.col("n") > 0).first()
-        dim = row.n if row else 0
-    means = [F.avg(F.col(embedding)[i].cast("double")) for i in range(dim)]
+    """topic, month, n, vec: means by element. dim, if not given, is read from the table first, so that all elements are plain averages in one aggregation.
+
+    Null and empty vectors count as rows and add nothing to the mean. ValueError for vectors of several lengths, or not of dim: they have no mean.
+    """
+    lengths = df.select(F.size(embedding).alias("n")).where(F.col("n") > 0).agg(F.min("n"), F.max("n")).first()
+    if lengths[0] != lengths[1] or dim not in (None, lengths[0]) and lengths[0] is not None:
+        raise ValueError(f"vectors of {lengths[0]} to {lengths[1]} elements" + (f", not {dim}" if dim else ""))
+    dim = dim or lengths[0] or 0
+    means = [F.avg(F.get(embedding, F.lit(i)).cast("double")) for i in range(dim)]
     vec = F.array(*means) if means else F.array().cast("array<double>")
     return df.groupBy(F.col(topic).alias("topic"), F.col(month).alias("month")).agg(F.count("*").alias("n"), vec.alias("vec"))
 
