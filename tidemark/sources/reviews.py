@@ -5,14 +5,18 @@ from __future__ import annotations
 import datetime as dt
 import time
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import reltime, text
 from tidemark.schemas import FETCHED, RAW_REVIEWS, SLANG_BASE, SLANG_EXT
+from tidemark.tables import new_path
 
+#: Fetched rows that the driver holds before it writes them.
+HELD_ROWS = 50_000
 CSV = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
 
 
@@ -52,16 +56,15 @@ class Paging:
     total: int = 0
     oldest: dt.datetime | None = None
     newest: dt.datetime | None = None
-    rows: list[dict] = field(default_factory=list)
 
 
 def fetch_pages(
     fetch: Callable[[object, int], tuple[list[dict], object]], launch: dt.datetime, batch: int = 200, most_batches: int = 10_000, pause: float = 1.5, retry_after: float = 10.0,
-    sleep: Callable[[float], None] = time.sleep,
+    sleep: Callable[[float], None] = time.sleep, keep: Callable[[list[dict]], None] = lambda rows: None,
 ) -> Paging:
     """Pages newest first until a page is empty or passes launch, there is no token, a fetch fails twice, or most_batches is reached.
 
-    fetch(token, count) returns (rows with an "at" of naive UTC, next token). One app's pages are a sequence, so the driver reads them.
+    fetch(token, count) returns (rows with an "at" of naive UTC, next token). One app's pages are a sequence, so the driver reads them; keep(rows) takes each page.
     """
     out, token = Paging(), None
     while True:
@@ -85,7 +88,7 @@ def fetch_pages(
         times = [r["at"] for r in rows]
         out.oldest = min(times) if out.oldest is None else min(out.oldest, *times)
         out.newest = max(times) if out.newest is None else max(out.newest, *times)
-        out.rows += rows
+        keep(rows)
         if out.oldest < launch:
             out.stop_reason = "reached_launch"
             return out
@@ -109,11 +112,22 @@ def shape_fetched(fetched: DataFrame, app_id: str, app_name: str, launch: dt.dat
 
 
 def scrape_app(spark: SparkSession, fetch, app_id: str, app_name: str, launch: dt.datetime, end: dt.datetime, scraped: dt.datetime, timezone: str = "Asia/Jakarta", **paging) -> tuple[DataFrame, DataFrame]:
-    """(raw reviews in the window, one row of metadata)."""
-    utc_launch = launch - dt.timedelta(hours=7) if timezone == "Asia/Jakarta" else launch
-    pages = fetch_pages(fetch, utc_launch, **paging)
-    names = [c.split()[0] for c in FETCHED.split(", ")]
-    rows = spark.createDataFrame([tuple(r.get(c) for c in names) for r in pages.rows], FETCHED)
+    """(raw reviews in the window, one row of metadata). Fetched rows go to the shared folder, HELD_ROWS at a time."""
+    utc_launch = launch.replace(tzinfo=ZoneInfo(timezone)).astimezone(dt.UTC).replace(tzinfo=None)
+    names, path, held = [c.split()[0] for c in FETCHED.split(", ")], new_path(spark), []
+
+    def write() -> None:
+        spark.createDataFrame([tuple(r.get(c) for c in names) for r in held], FETCHED).write.mode("append").parquet(path)
+        held.clear()
+
+    def keep(page: list[dict]) -> None:
+        held.extend(page)
+        if len(held) >= HELD_ROWS:
+            write()
+
+    pages = fetch_pages(fetch, utc_launch, keep=keep, **paging)
+    write()
+    rows = spark.read.schema(FETCHED).parquet(path)
     shaped = shape_fetched(rows, app_id, app_name, launch, end, scraped, timezone)
     seen = rows.agg(F.min(reltime.to_local(F.col("at"), timezone)).alias("oldest_review_seen_wib"), F.max(reltime.to_local(F.col("at"), timezone)).alias("newest_review_seen_wib"))
     kept = shaped.agg(F.count("*").cast("int").alias("total_in_window"))
