@@ -1,38 +1,86 @@
-"""Topic coherence from sliding-window co-occurrence. Only occurrences of topic words are expanded."""
+"""Topic coherence from sliding-window co-occurrence, in one pass over the texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.tables import materialise
 
 EPSILON = 1e-12
+#: Top words of all topics up to which tasks hold them and their pair counts.
+MOST_WORDS = 200_000
+
+
+def covered(places: np.ndarray, window: int, n_windows: int) -> np.ndarray:
+    """Which windows, numbered by their first place, hold one of a word's places."""
+    edge = np.zeros(n_windows + 1, np.int64)
+    np.add.at(edge, np.maximum(places - window + 1, 0), 1)
+    np.add.at(edge, np.minimum(places, n_windows - 1) + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def window_counts(df: DataFrame, words: DataFrame, key: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """(w1, w2, n with w1 <= w2: windows that hold both; w1 = w2 gives single counts), (n_windows). A text shorter than the window is one window."""
-    t = df.select(F.col(key).alias("_key"), text.tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    last = F.greatest(F.size("t") - window + 1, F.lit(1))
-    total = t.agg(F.sum(last).alias("n_windows"))
-    at = t.select("_key", last.alias("last"), F.posexplode("t").alias("pos", "term")).join(F.broadcast(words.select("term").distinct()), "term")
-    # windows are numbered by their first place; an occurrence is in those that begin at most window - 1 before it
-    held = at.select("_key", "term", F.explode(F.sequence(F.greatest(F.col("pos") - window + 1, F.lit(0)), F.least("pos", F.col("last") - 1))).alias("w")).distinct()
-    a, b = held.select("_key", "w", F.col("term").alias("w1")), held.select("_key", "w", F.col("term").alias("w2"))
-    both = a.join(b, ["_key", "w"]).where(F.col("w1") <= F.col("w2")).groupBy("w1", "w2").agg(F.count("*").alias("n"))
-    return both, total
+    """(topic, w1, w2, n of all ordered pairs of a topic's words: windows that hold both; w1 = w2 gives single counts), (n_windows). A text shorter than the window is one window.
+
+    words (topic, term) is read by the driver: at most MOST_WORDS. Every row is a text of its own, whatever its key. A task adds its texts' counts and sends one row a pair and one for the windows.
+    """
+    rows = sorted((r.topic, r.term) for r in words.select("topic", "term").limit(MOST_WORDS + 1).collect())
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} topic words")
+    terms = sorted({t for _, t in rows})
+    code = {t: i for i, t in enumerate(terms)}
+    own: dict[int, list[int]] = {}
+    for topic, term in rows:
+        own.setdefault(topic, []).append(code[term])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, both = 0, {topic: np.zeros((len(c), len(c)), np.int64) for topic, c in own.items()}
+        known = pa.array(terms, pa.string())
+        for b in batches:
+            size = pc.list_value_length(b.column(0)).to_numpy(zero_copy_only=False)
+            found = pc.index_in(b.column(0).flatten(), value_set=known).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size)
+            for n, end in zip(size.tolist(), ends.tolist()):
+                last = max(n - window + 1, 1)
+                total += last
+                mine = found[end - n : end]
+                at = np.flatnonzero(~np.isnan(mine)) if mine.dtype.kind == "f" else np.arange(n)
+                if not len(at):
+                    continue
+                order = np.argsort(mine[at], kind="stable")
+                codes, first = np.unique(mine[at][order].astype(np.int64), return_index=True)
+                held = np.array([covered(p, window, last) for p in np.split(at[order], first[1:])], np.float32)
+                for topic, wanted in own.items():
+                    _, mine_, theirs = np.intersect1d(codes, wanted, assume_unique=True, return_indices=True)
+                    if len(mine_):
+                        x = held[mine_]
+                        both[topic][np.ix_(theirs, theirs)] += np.rint(x @ x.T).astype(np.int64)
+        out = [(topic, terms[c[i]], terms[c[j]], int(m[i, j])) for topic, c in own.items() for m in [both[topic]] for i, j in zip(*np.nonzero(m))]
+        out.append((None, None, None, total))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["topic", "w1", "w2", "n"])
+
+    t = df.select(text.tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    sent = materialise(t.mapInArrow(work, "topic long, w1 string, w2 string, n long"))
+    counts = sent.where(F.col("w1").isNotNull()).groupBy("topic", "w1", "w2").agg(F.sum("n").alias("n"))
+    return counts, sent.where(F.col("w1").isNull()).agg(F.sum("n").alias("n_windows"))
 
 
 def _npmi(df: DataFrame, words: DataFrame, key: str, text_col: str, window: int) -> DataFrame:
     """topic, w1, w2, npmi for all ordered pairs of a topic's words that occur, pairs of a word with itself included."""
     both, total = window_counts(df, words, key, text_col, window)
-    single = both.where(F.col("w1") == F.col("w2")).select(F.col("w1").alias("term"), "n")
-    pairs = words.select("topic", F.col("term").alias("a")).join(words.select("topic", F.col("term").alias("b")), "topic")
-    pairs = pairs.join(F.broadcast(single.select(F.col("term").alias("a"), F.col("n").alias("na"))), "a").join(F.broadcast(single.select(F.col("term").alias("b"), F.col("n").alias("nb"))), "b")
-    pairs = pairs.withColumn("w1", F.least("a", "b")).withColumn("w2", F.greatest("a", "b")).join(both, ["w1", "w2"], "left").join(F.broadcast(total))  # one row
+    single = both.where(F.col("w1") == F.col("w2"))
+    pairs = single.select("topic", "w1", F.col("n").alias("na")).join(single.select("topic", "w2", F.col("n").alias("nb")), "topic")
+    pairs = pairs.join(both, ["topic", "w1", "w2"], "left").join(F.broadcast(total))  # one row
     p = F.coalesce("n", F.lit(0)) / F.col("n_windows")
     npmi = F.log((p + EPSILON) / (F.col("na") / F.col("n_windows") * F.col("nb") / F.col("n_windows"))) / -F.log(p + EPSILON)
-    return pairs.select("topic", F.col("a").alias("w1"), F.col("b").alias("w2"), npmi.alias("npmi"))
+    return pairs.select("topic", "w1", "w2", npmi.alias("npmi"))
 
 
 def c_npmi(df: DataFrame, words: DataFrame, key: str, text_col: str, window: int = 10) -> DataFrame:

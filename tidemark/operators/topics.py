@@ -1,4 +1,8 @@
-"""Topic words by class-based TF-IDF, and what is done with topic assignments. A document here is a row of (key, topic, text)."""
+"""Topic words by class-based TF-IDF, and what is done with topic assignments. A document here is a row of (key, topic, text).
+
+Tables of a row per topic are broadcast: topics are at most some thousands, whatever the number of documents. Counts that several steps read
+(ctfidf() after prune_vocabulary()) are best kept with tables.materialise().
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.tables import materialise
 
 
 def terms(df: DataFrame, text_col: str, keep: tuple[str, ...], stopwords: list[str] | None = None, bigrams: bool = True) -> DataFrame:
@@ -94,10 +99,10 @@ def representative_documents(df: DataFrame, weights: DataFrame, key: str, text_c
 def topics_over_time(df: DataFrame, text_col: str, month: str = "relative_month", n_words: int = 5, evolution: bool = True, overall: bool = True, stopwords: list[str] | None = None, bigrams: bool = False, digits: int = 12) -> DataFrame:
     """topic, month, freq, words (best first): class-based TF-IDF per month with the whole corpus's vocabulary and idf.
 
-    evolution averages a month's weights with the month before, if the topic had one; overall then averages them with the topic's own. Both
+    Runs a job: the counts, which all parts read, are written once. evolution averages a month's weights with the month before, if the topic had one; overall then averages them with the topic's own. Both
     run over the array of a term's months, at most as many as there are months.
     """
-    counts = term_counts(df.where(F.col("topic") != -1), text_col, ("topic", month), stopwords, bigrams).withColumnRenamed(month, "month")
+    counts = materialise(term_counts(df.where(F.col("topic") != -1), text_col, ("topic", month), stopwords, bigrams).withColumnRenamed(month, "month"))
     total = counts.groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
     whole = ctfidf(total)
     idf = total.groupBy("term").agg(F.sum("tf").alias("f")).join(F.broadcast(total.groupBy("topic").agg(F.sum("tf").alias("n")).agg(F.floor(F.avg("n")).alias("a")))).select("term", F.log1p(F.col("a") / F.col("f")).alias("idf"))
