@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.config import DRIFT_LABELS
-from tidemark.schemas import PREDICTIONS  # noqa: F401  (the shape language_tier() takes)
 
 
 def classify_trend(slope: Column, p: Column | None = None, trend: Column | None = None, alpha: float = 0.05) -> Column:
@@ -57,7 +56,7 @@ def late_verdict(early: Column, late: Column) -> Column:
 
 
 def language_tier(text: Column, preds: Column, lang: str = "id", sure: float = 0.5, maybe: float = 0.2) -> Column:
-    """STRUCT<lang_top, lang_top_conf, lang_tier> from the three best predictions, best first."""
+    """STRUCT<lang_top, lang_top_conf, lang_tier> from the three best predictions (schemas.PREDICTIONS), best first."""
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
     top = F.try_element_at(preds, F.lit(1))
     later = F.exists(F.slice(preds, 2, 2), lambda p: (p["lang"] == lang) & (p["prob"] >= maybe))

@@ -129,6 +129,13 @@ def compare(freq: DataFrame, prop: DataFrame, key: str = "topic") -> DataFrame:
     })
 
 
+def ordered(results: DataFrame, by: str, classes: tuple[str, ...] = ("emerging", "declining", "stable"), key: str = "topic") -> DataFrame:
+    """results sorted by rising "slope", rising corrected "p" (nulls last), or "class" (in the given order, then falling slope); ties by key."""
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("classification_fdr"))
+    order = {"slope": [F.col("slope")], "p": [F.asc_nulls_last("p_adj")], "class": [F.when(place == 0, len(classes) + 1).otherwise(place), F.desc("slope")]}
+    return results.orderBy(*order[by], key)
+
+
 def edge_cases(comparison: DataFrame) -> DataFrame:
     """Significant by test, yet negligible or small."""
     return comparison.where((F.col("prop_class") != "stable") & F.col("practical").isin("negligible", "small"))
