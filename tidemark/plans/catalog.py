@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import decide, reltime, text
-from tidemark.operators import clean, coherence, drift, lexicon, report, sampling, series, topics, trend, validation
-from tidemark.plans import sql
+from tidemark.operators import assign, clean, coherence, drift, lexicon, report, sampling, series, topics, trend, validation
+from tidemark.plans import pipelines, sql
+from tidemark.schemas import RAW_REVIEWS
+from tidemark.sources import outputs, reviews
+from tidemark.tables import materialise, new_path, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,12 +34,8 @@ def query(statement: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark, sf_dir) -> DataFrame:
-    return clean.apply_normalization(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "text", "clean")
+    return clean.apply_normalization(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), "text", "clean")
 
 
 def orders(spark, sf_dir) -> DataFrame:
@@ -51,8 +50,9 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 
 def doc_topics(spark, sf_dir) -> DataFrame:
+    """doc_id, clean, topic, relative_month. Written once, as every query on it reads it more than once."""
     d = documents(spark, sf_dir)
-    return d.select("doc_id", "clean", F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("topic"), (F.col("doc_id") % 12 + 1).cast("int").alias("relative_month"))
+    return materialise(d.select("doc_id", "clean", F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("topic"), (F.col("doc_id") % 12 + 1).cast("int").alias("relative_month")))
 
 
 DOCS = f"docs AS (SELECT doc_id, text, lang, source, {sql.norm('text')} AS clean FROM documents)"
@@ -305,7 +305,7 @@ def stratified_sample_sizes(spark, sf_dir):
     return made.groupBy("relative_month").agg(F.count("*").alias("n"), F.countDistinct("order_key").alias("n_keys"))
 
 
-@query()
+@query(f"WITH {ORDERS} SELECT order_key, day, topic, relative_month, relative_week FROM ord QUALIFY row_number() OVER (PARTITION BY relative_month ORDER BY md5('42:' || order_key), order_key) <= 25")
 def stratified_sample(spark, sf_dir):
     return sampling.stratified_sample(orders(spark, sf_dir), "relative_month", "order_key", 25, check=False)
 
@@ -316,7 +316,7 @@ def month_distribution(spark, sf_dir):
 
 
 _CATEGORY = "CASE WHEN quality = 1 AND toxic = 0 THEN 'Bug Report' WHEN quality = 1 THEN 'Feature Request' WHEN toxic = 0 THEN 'Rating (Praise/Dispraise)' ELSE 'Non-Technical Complaint' END"
-LABELED = f"lab AS (SELECT d.lang, {_CATEGORY} AS category FROM labels l JOIN documents d USING (doc_id) WHERE d.lang <> 'fr')"
+LABELED = f"lab AS (SELECT d.lang, {_CATEGORY} AS category FROM labels l JOIN documents d USING (doc_id))"
 COCHRAN = f"""{LABELED}, pop AS (SELECT lang, n_pop / sum(n_pop) OVER () AS weight FROM (SELECT lang, count(*) AS n_pop FROM documents GROUP BY lang) g),
 cell AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS p FROM (SELECT lang, category, count(*) AS n FROM lab GROUP BY lang, category) g),
 cat AS (SELECT category, CAST(sum(n) AS BIGINT) AS raw_count, sum(n) * 100 / any_value(n_lab) AS raw_pct, sum(p * weight) * 100 AS weighted_pct, bool_or(list_contains(['Bug Report', 'Feature Request', 'User Experience'], category)) AS is_technical FROM cell JOIN pop USING (lang) CROSS JOIN (SELECT count(*) AS n_lab FROM lab) z GROUP BY category),
@@ -324,8 +324,7 @@ per AS (SELECT lang, avg(CAST(list_contains(['Bug Report', 'Feature Request', 'U
 
 
 def _labeled(spark, sf_dir):
-    """One language has no sample, so that the weights don't add up to 1."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang").where("lang <> 'fr'")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     q, t = F.col("quality"), F.col("toxic")
     category = F.when((q == 1) & (t == 0), "Bug Report").when(q == 1, "Feature Request").when(t == 0, "Rating (Praise/Dispraise)").otherwise("Non-Technical Complaint")
     return table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", "lang", category.alias("category"))
@@ -373,18 +372,35 @@ def count_extremes(spark, sf_dir):
 
 # ---- trend
 
-MK = f"""{WEEKS}, ser AS (SELECT topic, relative_week - 1 AS i, CAST(freq AS DOUBLE) AS x FROM wk),
-pr AS (SELECT a.topic, sum(sign(b.x - a.x)) AS s, median((b.x - a.x) / (b.i - a.i)) AS slope FROM ser a JOIN ser b ON a.topic = b.topic AND a.i < b.i GROUP BY a.topic),
-bs AS (SELECT topic, count(*) AS n, median(x) AS mid, count(DISTINCT x) AS n_distinct FROM ser GROUP BY topic),
-st AS (SELECT topic, n, s, s / (n * (n - 1) / 2) AS tau, slope, mid - slope * (n - 1) / 2 AS intercept, n_distinct FROM bs JOIN pr USING (topic)),
-ti AS (SELECT topic, sum(t * (t - 1) * (2 * t + 5)) AS ties, sum(t) AS n FROM (SELECT topic, x, count(*) AS t FROM ser GROUP BY ALL) GROUP BY topic),
-v0 AS (SELECT topic, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var0 FROM ti),
-dt AS (SELECT ser.topic, i, x - slope * i AS y FROM ser JOIN st USING (topic)),
-rk AS (SELECT topic, i, rank() OVER (PARTITION BY topic ORDER BY y) + (count(*) OVER (PARTITION BY topic, y) - 1) / 2 AS r FROM dt),
-dv AS (SELECT topic, i, r - avg(r) OVER (PARTITION BY topic) AS d FROM rk),
-ac AS (SELECT a.topic, b.i - a.i AS k, sum(a.d * b.d) / any_value(c0) AS rho FROM dv a JOIN dv b ON a.topic = b.topic AND a.i < b.i JOIN (SELECT topic, sum(d * d) AS c0 FROM dv GROUP BY topic) c ON c.topic = a.topic GROUP BY ALL),
-co AS (SELECT topic, 1 + 2 / (52.0 * 51 * 50) * sum(CASE WHEN abs(rho) > 1.959963984540054 / sqrt(52) THEN (52 - k) * (51 - k) * (50 - k) * rho ELSE 0 END) AS corr FROM ac GROUP BY topic),
-hz AS (SELECT st.*, var0, corr, var0 * corr AS var_s, CASE WHEN s = 0 THEN 0 WHEN var0 * corr > 0 THEN (s - sign(s)) / sqrt(var0 * corr) END AS z FROM st JOIN v0 USING (topic) JOIN co USING (topic))"""
+def _mk(value: str, s: str = "") -> str:
+    """The test's tables for a value of the weekly series, s behind their names; tr holds p of |z| <= 8 by the series of the normal integral, and the corrected classes."""
+    return f"""ser{s} AS (SELECT topic, relative_week - 1 AS i, CAST({value} AS DOUBLE) AS x FROM wk),
+pr{s} AS (SELECT a.topic, sum(sign(b.x - a.x)) AS s, median((b.x - a.x) / (b.i - a.i)) AS slope FROM ser{s} a JOIN ser{s} b ON a.topic = b.topic AND a.i < b.i GROUP BY a.topic),
+bs{s} AS (SELECT topic, count(*) AS n, median(x) AS mid, count(DISTINCT x) AS n_distinct FROM ser{s} GROUP BY topic),
+st{s} AS (SELECT topic, n, s, s / (n * (n - 1) / 2) AS tau, slope, mid - slope * (n - 1) / 2 AS intercept, n_distinct FROM bs{s} JOIN pr{s} USING (topic)),
+ti{s} AS (SELECT topic, sum(t * (t - 1) * (2 * t + 5)) AS ties, sum(t) AS n FROM (SELECT topic, x, count(*) AS t FROM ser{s} GROUP BY ALL) GROUP BY topic),
+v0{s} AS (SELECT topic, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var0 FROM ti{s}),
+dt{s} AS (SELECT ser{s}.topic, i, x - slope * i AS y FROM ser{s} JOIN st{s} USING (topic)),
+rk{s} AS (SELECT topic, i, rank() OVER (PARTITION BY topic ORDER BY y) + (count(*) OVER (PARTITION BY topic, y) - 1) / 2 AS r FROM dt{s}),
+dv{s} AS (SELECT topic, i, r - avg(r) OVER (PARTITION BY topic) AS d FROM rk{s}),
+ac{s} AS (SELECT a.topic, b.i - a.i AS k, sum(a.d * b.d) / any_value(c0) AS rho FROM dv{s} a JOIN dv{s} b ON a.topic = b.topic AND a.i < b.i JOIN (SELECT topic, sum(d * d) AS c0 FROM dv{s} GROUP BY topic) c ON c.topic = a.topic GROUP BY ALL),
+co{s} AS (SELECT topic, 1 + 2 / (52.0 * 51 * 50) * sum(CASE WHEN abs(rho) > 1.959963984540054 / sqrt(52) THEN (52 - k) * (51 - k) * (50 - k) * rho ELSE 0 END) AS corr FROM ac{s} GROUP BY topic),
+hz{s} AS (SELECT st{s}.*, var0, corr, var0 * corr AS var_s, CASE WHEN s = 0 THEN 0 WHEN var0 * corr > 0 THEN (s - sign(s)) / sqrt(var0 * corr) END AS z FROM st{s} JOIN v0{s} USING (topic) JOIN co{s} USING (topic)),
+z0{s} AS (SELECT *, least(abs(z), 8) AS zz FROM hz{s}),
+p0{s} AS (SELECT *, CASE WHEN z IS NULL THEN NULL WHEN zz = 0 THEN 1 ELSE 1 - 2 * exp(-zz * zz / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(zz) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))) END AS p FROM z0{s}),
+p1{s} AS (SELECT *, count(p) OVER () AS np, row_number() OVER (PARTITION BY p IS NULL ORDER BY p, topic) AS r FROM p0{s}),
+p2{s} AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * np / r) OVER (PARTITION BY p IS NULL ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS p_adj FROM p1{s}),
+tr{s} AS (SELECT *, CASE WHEN p < 0.05 AND z > 0 THEN 'increasing' WHEN p < 0.05 AND z < 0 THEN 'decreasing' ELSE 'no trend' END AS trend, coalesce(p < 0.05, false) AS significant,
+  CASE WHEN p IS NULL OR p >= 0.05 THEN 'stable' WHEN slope > 0 THEN 'emerging' ELSE 'declining' END AS classification, coalesce(p_adj < 0.05, false) AS significant_fdr,
+  CASE WHEN NOT coalesce(p_adj < 0.05, false) THEN 'stable' WHEN slope > 0 THEN 'emerging' ELSE 'declining' END AS classification_fdr FROM p2{s})"""
+
+
+MK = f"{WEEKS}, {_mk('freq')}"
+TREND_COLUMNS = "topic, trend, round(p, 9) AS p, round(z, 6) AS z, round(tau, 9) AS tau, CAST(s AS DOUBLE) AS s, round(var_s, 4) AS var_s, round(slope, 9) AS slope, round(intercept, 9) AS intercept, significant, classification, round(p_adj, 9) AS p_adj, significant_fdr, classification_fdr"
+
+
+def _rounded_trend(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in (("p", 9), ("z", 6), ("tau", 9), ("var_s", 4), ("slope", 9), ("intercept", 9), ("p_adj", 9))})
 
 
 def _weekly(spark, sf_dir):
@@ -406,15 +422,31 @@ def mk_hamed_rao_z(spark, sf_dir):
     return trend.hamed_rao(_weekly(spark, sf_dir)).select("topic", F.round("corr", 6).alias("corr"), F.round("var_s", 4).alias("var_s"), F.round("z", 6).alias("z"))
 
 
-@query()
+@query(f"WITH {MK} SELECT {TREND_COLUMNS} FROM tr")
 def mk_pvalue_class(spark, sf_dir):
-    return trend.fdr(trend.mann_kendall(_weekly(spark, sf_dir)))
+    return _rounded_trend(trend.fdr(trend.mann_kendall(_weekly(spark, sf_dir))))
+
+
+@query(f"""WITH {MK} SELECT topic, classification_fdr, row_number() OVER (ORDER BY slope, topic) AS by_slope, row_number() OVER (ORDER BY p_adj NULLS LAST, topic) AS by_p,
+  row_number() OVER (ORDER BY CASE classification_fdr WHEN 'emerging' THEN 1 WHEN 'declining' THEN 2 ELSE 3 END, slope DESC, topic) AS by_class FROM tr""")
+def trend_orders(spark, sf_dir):
+    """The three orders of trend tables, by a topic's place in each; one row per topic."""
+    made = materialise(trend.fdr(trend.mann_kendall(_weekly(spark, sf_dir))))
+    places = [trend.ordered(made, by).select("topic").coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1).select("topic", F.col("place").alias(f"by_{by}")) for by in ("slope", "p", "class")]
+    for one in places:
+        made = made.join(one, "topic")
+    return made.select("topic", "classification_fdr", "by_slope", "by_p", "by_class")
 
 
-@query()
+@query(f"""WITH {MK}, {_mk('prop', 'q')}, m AS (SELECT f.topic, f.classification_fdr AS freq_class, f.slope AS freq_slope, f.p_adj AS freq_p_adj, p.classification_fdr AS prop_class, p.slope AS prop_slope, p.p_adj AS prop_p_adj,
+  round_even(p.slope * 52 * 100, 2) AS pp FROM tr f JOIN trq p USING (topic))
+SELECT topic, freq_class, round(freq_slope, 9) AS freq_slope, round(freq_p_adj, 9) AS freq_p_adj, prop_class, round(prop_slope, 9) AS prop_slope, round(prop_p_adj, 9) AS prop_p_adj, freq_class = prop_class AS consistent,
+  CASE WHEN freq_class = prop_class THEN 'consistent' WHEN prop_class = 'emerging' AND freq_class IN ('stable', 'declining') THEN 'persistent_share' WHEN prop_class = 'declining' AND freq_class IN ('stable', 'emerging') THEN 'fading_share' WHEN prop_class = 'stable' AND freq_class <> 'stable' THEN 'volume_only' ELSE 'other' END AS divergence,
+  pp AS pp_per_year, CASE WHEN abs(pp) < 0.5 THEN 'negligible' WHEN abs(pp) < 2 THEN 'small' ELSE 'meaningful' END AS practical FROM m""")
 def mk_comparison(spark, sf_dir):
     w = _weekly(spark, sf_dir)
-    return trend.compare(trend.fdr(trend.mann_kendall(w)), trend.fdr(trend.mann_kendall(w, value="prop")))
+    made = trend.compare(trend.fdr(trend.mann_kendall(w)), trend.fdr(trend.mann_kendall(w, value="prop")))
+    return made.withColumns({c: F.round(c, 9) for c in ("freq_slope", "freq_p_adj", "prop_slope", "prop_p_adj")})
 
 
 P_ROWS = ((0, 0.04, 0.1), (1, 0.001, -0.2), (2, 0.2, 0.3), (3, 0.03, 0.0), (4, 0.5, -0.1), (5, 0.03, 1e-9), (6, None, 0.4))
@@ -480,7 +512,7 @@ me AS (SELECT t.topic, a.m AS m1, b.m AS m2, list_cosine_similarity(x.vec, y.vec
 
 
 def _cells(spark, sf_dir):
-    return drift.centroids(vectors(spark, sf_dir))
+    return materialise(drift.centroids(vectors(spark, sf_dir)))
 
 
 def _semantic(spark, sf_dir):
@@ -513,7 +545,7 @@ def _sets(spark, sf_dir):
     topic = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("lang")) - 1
     d = documents(spark, sf_dir).select(topic.alias("Topic"), (F.col("doc_id") % 12 + 1).cast("int").alias("Timestamp"), "clean")
     top = clean.token_frequencies(d, "clean", 5, ("Topic", "Timestamp"))
-    return drift.word_sets(top.groupBy("Topic", "Timestamp").agg(F.array_join(F.collect_list("token"), ", ").alias("Words")))
+    return materialise(drift.word_sets(top.groupBy("Topic", "Timestamp").agg(F.array_join(F.collect_list("token"), ", ").alias("Words"))))
 
 
 @query(f"WITH {SETS} SELECT topic, month, array_to_string(words, ',') AS words FROM ws")
@@ -567,14 +599,17 @@ cw AS (SELECT pv.topic, pv.term, tf, tf / sum(tf) OVER (PARTITION BY pv.topic) *
 tw AS (SELECT * FROM (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, term) AS rank FROM cw) WHERE rank <= 10)"""
 
 
+def _pruned(spark, sf_dir):
+    return materialise(topics.prune_vocabulary(materialise(topics.term_counts(doc_topics(spark, sf_dir), "clean"))))
+
+
 def _weights(spark, sf_dir):
-    return topics.ctfidf(topics.prune_vocabulary(topics.term_counts(doc_topics(spark, sf_dir), "clean")))
+    return topics.ctfidf(_pruned(spark, sf_dir))
 
 
 @query(f"WITH {CT} SELECT count(*) AS n_rows, count(DISTINCT term) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_occurrences FROM pv")
 def vocab_prune(spark, sf_dir):
-    p = topics.prune_vocabulary(topics.term_counts(doc_topics(spark, sf_dir), "clean"))
-    return p.agg(F.count("*").alias("n_rows"), F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_occurrences"))
+    return _pruned(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_occurrences"))
 
 
 @query(f"WITH {CT} SELECT topic, rank, term, round(weight, 9) AS weight FROM tw")
@@ -624,34 +659,44 @@ sm AS (SELECT cs.topic, doc_id, round(x / nt, 9) AS similarity FROM cs JOIN (SEL
 SELECT topic, rank, doc_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, doc_id) AS rank FROM sm) WHERE rank <= 3""")
 def representative_docs(spark, sf_dir):
     d = doc_topics(spark, sf_dir)
-    weights = topics.ctfidf(topics.term_counts(d, "clean", bigrams=False))
+    weights = materialise(topics.ctfidf(materialise(topics.term_counts(d, "clean", bigrams=False))))
     return topics.representative_documents(d, weights, "doc_id", "clean").withColumn("rank", F.col("rank").cast("long")).withColumn("similarity", F.round("similarity", 6))
 
 
-COH = f"""{UNI}, top AS (SELECT topic, term FROM cw QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, term) <= 5), ti AS (SELECT DISTINCT term FROM top),
+def _windows(width: int) -> str:
+    """Windows that hold a topic's words, one by one (one) and two by two (two, of a topic's words a < b), and their number (nw)."""
+    return f"""{UNI}, top AS (SELECT topic, term FROM cw QUALIFY row_number() OVER (PARTITION BY topic ORDER BY round(weight, 12) DESC, term) <= 10), ti AS (SELECT DISTINCT term FROM top),
 ps AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos, len(t) AS n FROM toks WHERE len(t) > 0),
-oc AS (SELECT doc_id, term, pos, greatest(n - 10 + 1, 1) AS last FROM ps WHERE term IN (SELECT term FROM ti)),
-hw AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(pos - 9, 0), least(pos, last - 1) + 1)) AS w FROM oc),
-nw AS (SELECT sum(greatest(len(t) - 10 + 1, 1)) AS total FROM toks WHERE len(t) > 0), one AS (SELECT term, count(*) AS n FROM hw GROUP BY term),
-two AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM hw a JOIN hw b ON a.doc_id = b.doc_id AND a.w = b.w AND a.term < b.term GROUP BY ALL),
+oc AS (SELECT doc_id, term, pos, greatest(n - {width} + 1, 1) AS last FROM ps WHERE term IN (SELECT term FROM ti)),
+hw AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(pos - {width} + 1, 0), least(pos, last - 1) + 1)) AS w FROM oc),
+nw AS (SELECT sum(greatest(len(t) - {width} + 1, 1)) AS total FROM toks WHERE len(t) > 0), one AS (SELECT term, count(*) AS n FROM hw GROUP BY term),
+two AS (SELECT x.topic, a.term AS a, b.term AS b, count(*) AS n FROM hw a JOIN top x ON x.term = a.term JOIN top y ON y.topic = x.topic AND y.term > x.term JOIN hw b ON b.doc_id = a.doc_id AND b.w = a.w AND b.term = y.term GROUP BY ALL)"""
+
+
+COH = f"""{_windows(10)},
 pq AS (SELECT x.topic, least(x.term, y.term) AS a, greatest(x.term, y.term) AS b FROM top x JOIN top y ON x.topic = y.topic AND x.term <> y.term),
-np AS (SELECT topic, coalesce(two.n, 0) / total + 1e-12 AS p, oa.n / total AS pa, ob.n / total AS pb FROM pq CROSS JOIN nw JOIN one oa ON oa.term = pq.a JOIN one ob ON ob.term = pq.b LEFT JOIN two ON two.a = pq.a AND two.b = pq.b)"""
+np AS (SELECT pq.topic, coalesce(two.n, 0) / total + 1e-12 AS p, oa.n / total AS pa, ob.n / total AS pb FROM pq CROSS JOIN nw JOIN one oa ON oa.term = pq.a JOIN one ob ON ob.term = pq.b LEFT JOIN two ON two.topic = pq.topic AND two.a = pq.a AND two.b = pq.b)"""
+CV = f"""{_windows(110)},
+ce AS (SELECT x.topic, x.term AS w1, y.term AS w2, CASE WHEN x.term = y.term THEN oa.n ELSE coalesce(two.n, 0) END / total + 1e-12 AS p, oa.n / total AS pa, ob.n / total AS pb
+  FROM top x JOIN top y ON x.topic = y.topic CROSS JOIN nw JOIN one oa ON oa.term = x.term JOIN one ob ON ob.term = y.term LEFT JOIN two ON two.topic = x.topic AND two.a = least(x.term, y.term) AND two.b = greatest(x.term, y.term)),
+ve AS (SELECT topic, w1, w2, ln(p / (pa * pb)) / -ln(p) AS v FROM ce), al AS (SELECT topic, w2, sum(v) AS s FROM ve GROUP BY ALL),
+cs AS (SELECT topic, w1, sum(v * s) / sqrt(sum(v * v)) / sqrt(sum(s * s)) AS c FROM ve JOIN al USING (topic, w2) GROUP BY ALL)"""
 
 
 def _coherence_words(d, n):
-    return topics.top_words(topics.ctfidf(topics.term_counts(d, "clean", bigrams=False)), n)
+    return topics.top_words(topics.ctfidf(materialise(topics.term_counts(d, "clean", bigrams=False))), n)
 
 
 @query(f"WITH {COH} SELECT topic, round(avg(ln(p / (pa * pb)) / -ln(p)), 6) AS c_npmi FROM np GROUP BY topic")
 def coherence_npmi(spark, sf_dir):
     d = doc_topics(spark, sf_dir)
-    return coherence.c_npmi(d, _coherence_words(d, 5), "doc_id", "clean").withColumn("c_npmi", F.round("c_npmi", 6))
+    return coherence.c_npmi(d, _coherence_words(d, 10), "doc_id", "clean").withColumn("c_npmi", F.round("c_npmi", 6))
 
 
-@query()
+@query(f"WITH {CV} SELECT topic, round(avg(c), 9) AS c_v FROM cs GROUP BY topic")
 def coherence_cv(spark, sf_dir):
     d = doc_topics(spark, sf_dir)
-    return coherence.c_v(d, _coherence_words(d, 10), "doc_id", "clean")
+    return coherence.c_v(d, _coherence_words(d, 10), "doc_id", "clean").withColumn("c_v", F.round("c_v", 9))
 
 
 PREDICTED = ((0, "ok", (("id", 0.6),)), (1, "ok", (("id", 0.4), ("en", 0.3))), (2, "ok", (("ms", 0.5), ("id", 0.2))), (3, "ok", (("ms", 0.5), ("id", 0.19))), (4, " ", (("id", 0.9),)), (5, "ok", (("en", 0.4), ("ms", 0.3), ("id", 0.25))), (6, None, ()))
@@ -717,12 +762,12 @@ def plot_sen_lines(spark, sf_dir):
     return report.trend_lines(w, every, LABELS).withColumn("sen_line", F.round("sen_line", 6))
 
 
-@query()
+@query(f"WITH {MK} SELECT {TREND_COLUMNS}, {_LABEL} AS label FROM tr")
 def plot_forest(spark, sf_dir):
-    return report.forest(trend.fdr(trend.mann_kendall(_weekly(spark, sf_dir))), LABELS)
+    return _rounded_trend(report.forest(trend.fdr(trend.mann_kendall(_weekly(spark, sf_dir))), LABELS))
 
 
-@query()
+@query(f"WITH {ORDERS} SELECT order_key, day, topic, relative_month, relative_week FROM ord ORDER BY md5('42:' || order_key), order_key LIMIT 50")
 def simple_sample(spark, sf_dir):
     return sampling.simple_sample(orders(spark, sf_dir), "order_key", 50)
 
