@@ -100,3 +100,12 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.week, r.topic): r.freq for r in spark.table("weeks").collect()} == {(1, 0): 3, (2, 1): 1}
+
+
+def test_paging_stops_at_launch_in_any_time_zone(spark):
+    launch = dt.datetime(2024, 3, 31, 0, 0)
+    for zone, hours in (("America/New_York", -4), ("Asia/Jakarta", 7), ("UTC", 0)):
+        utc = launch - dt.timedelta(hours=hours)
+        pages = [[{"reviewId": str(i), "at": utc + dt.timedelta(minutes=30 - 20 * i)}] for i in range(6)]
+        raw, meta = reviews.scrape_app(spark, lambda t, n: (pages[t or 0], (t or 0) + 1), "a", "A", launch, launch + dt.timedelta(days=1), launch, zone, sleep=lambda s: None)  # noqa: B023
+        assert (meta.first().stop_reason, meta.first().batches_fetched) == ("reached_launch", 3) and {r.review_id for r in raw.collect()} == {"0", "1"}, zone

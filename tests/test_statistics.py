@@ -134,3 +134,47 @@ def test_coherence_cv_scores_ten_words(spark):
     words = topics.top_words(topics.ctfidf(topics.term_counts(d, "clean", bigrams=False)), 10)
     want = {r[0]: r[1] for r in coherence.c_v(d, words, "doc_id", "clean").collect()}
     assert {r[0]: r[1] for r in catalog.coherence_cv(spark, SMOKE_DIR).collect()} == pytest.approx(want)
+
+
+def plain_windows(texts, words, window):
+    """Windows that hold each two of a topic's words, and how many there are."""
+    total, both = 0, {}
+    for t in texts:
+        w = (t or "").split()
+        if not w:
+            continue
+        for i in range(max(len(w) - window + 1, 1)):
+            total += 1
+            here = set(w[i : i + window])
+            for topic, a in words:
+                for other, b in words:
+                    if topic == other and a in here and b in here:
+                        both[topic, a, b] = both.get((topic, a, b), 0) + 1
+    return both, total
+
+
+@pytest.mark.parametrize("window", [1, 4, 50])
+def test_window_counts(spark, window):
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.randrange(0, 40))) for _ in range(40)] + [None, "", "a", "a a a a a a a a"]
+    words = [(t, w) for t, ws in ((0, "abc"), (1, "cdx"), (7, "h")) for w in ws]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b c d")], "k int, t string").repartition(3)
+    both, total = coherence.window_counts(df, spark.createDataFrame(words, "topic int, term string"), "k", "t", window)
+    want, n = plain_windows([*texts, "a b c d"], words, window)
+    assert {(r.topic, r.w1, r.w2): r.n for r in both.collect()} == want and total.first().n_windows == n
+
+
+def test_centroids_need_one_length(spark):
+    df = spark.createDataFrame([(1, 1, [1.0, 2.0]), (1, 1, [3.0, 4.0]), (1, 2, None), (1, 2, [])], "topic int, relative_month int, embedding array<double>")
+    got = {r.month: (r.n, r.vec) for r in drift.centroids(df).collect()}
+    assert got == {1: (2, [2.0, 3.0]), 2: (2, [None, None])}
+    with pytest.raises(ValueError, match="2 to 3 elements"):
+        drift.centroids(df.unionByName(spark.createDataFrame([(1, 1, [1.0, 2.0, 3.0])], df.schema)))
+    assert drift.centroids(df.limit(0)).count() == 0
+
+
+def test_trend_orders(spark):
+    rows = [(0, 0.5, 0.3, "stable"), (1, -0.5, 0.01, "declining"), (2, 0.7, 0.02, "emerging"), (3, 0.1, None, "stable"), (4, 0.9, 0.02, "emerging")]
+    df = spark.createDataFrame(rows, "topic int, slope double, p_adj double, classification_fdr string")
+    order = {by: [r.topic for r in trend.ordered(df, by).collect()] for by in ("slope", "p", "class")}
+    assert order == {"slope": [1, 3, 0, 2, 4], "p": [1, 2, 4, 0, 3], "class": [4, 2, 1, 0, 3]}

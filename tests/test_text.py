@@ -106,3 +106,14 @@ def test_merge_and_relabel(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([7, 7, 7, 3, 5, 5, -1, 9, 9, 9, 9])], "k int, topic int")
     got = {r.k: r.topic for r in topics.merge_topics(df, [[3, 5]]).collect()}
     assert got == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 6: -1, 7: 0, 8: 0, 9: 0, 10: 0}
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_slang_is_the_same_for_all_sizes(spark, most, monkeypatch):
+    """By a literal or by a join: repeated keys, null keys and texts, repeated rows."""
+    monkeypatch.setattr(lexicon, "MOST_LITERAL", most)
+    words = spark.createDataFrame([("gk", "tidak"), ("tf", "transfer uang"), *((f"k{chr(97 + i)}", f"kata {i}") for i in range(26))], "slang string, formal string")
+    df = spark.createDataFrame([(1, "gk bisa"), (1, "gk bisa"), (1, "tf gk tf"), (None, "gk"), (2, None), (3, ""), (4, "ka kz zz")], "id int, t string")
+    got = sorted(((r.id, r.t, r.slang_changed, r.word_count_after) for r in lexicon.normalize_slang(df, words, "id", "t").collect()), key=str)
+    want = [(1, "tidak bisa", True, 2), (1, "tidak bisa", True, 2), (1, "transfer uang tidak transfer uang", True, 5), (None, "tidak", True, 1), (2, "", False, 0), (3, "", False, 0), (4, "kata 0 kata 25 zz", True, 5)]
+    assert got == sorted(want, key=str)

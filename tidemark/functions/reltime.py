@@ -41,3 +41,8 @@ def relative_week(day: Column, launch: dt.date | str, n_weeks: int = 52) -> Colu
 
 def month_period(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
+
+
+def iso_utc(c: Column) -> Column:
+    """A UTC time as ISO text with its offset."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

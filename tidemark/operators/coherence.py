@@ -68,6 +68,7 @@ def window_counts(df: DataFrame, words: DataFrame, key: str, text_col: str, wind
 
     t = df.select(text.tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
     sent = materialise(t.mapInArrow(work, "topic long, w1 string, w2 string, n long"))
+    sent = sent.withColumn("topic", F.col("topic").cast(words.schema["topic"].dataType))
     counts = sent.where(F.col("w1").isNotNull()).groupBy("topic", "w1", "w2").agg(F.sum("n").alias("n"))
     return counts, sent.where(F.col("w1").isNull()).agg(F.sum("n").alias("n_windows"))
 

@@ -6,11 +6,13 @@ the digit of the priority; labels are manual labels; embeddings have their label
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.functions import decide, reltime, text
 from tidemark.operators import assign, clean, coherence, drift, lexicon, report, sampling, series, topics, trend, validation
 from tidemark.plans import pipelines, sql
@@ -781,3 +783,217 @@ def language_tier_filter(spark, sf_dir):
 @query("SELECT c_custkey, c_mktsegment, replace(replace(c_name, ' ', '_'), '/', '-') AS file_name FROM customer")
 def file_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", text.file_name(F.col("c_name")).alias("file_name"))
+
+
+# ---- sources, sinks and injected models
+
+SCRAPE = dict(launch=dt.datetime(1999, 1, 1), end=dt.datetime(1999, 12, 31, 23, 59, 59))
+PAGE = 4000
+
+
+def _order_pages(spark, sf_dir):
+    """A store's API over orders: pages newest first, ties by falling key."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("at"), "o_custkey", "o_orderpriority")
+
+    def fetch(token, n):
+        left = rows if token is None else rows.where((F.col("at") < F.lit(token[0])) | ((F.col("at") == F.lit(token[0])) & (F.col("key") < token[1])))
+        page = left.orderBy(F.desc("at"), F.desc("key")).limit(n).collect()
+        made = [{"reviewId": str(r.key), "userName": f"user {r.o_custkey}", "score": int(r.o_orderpriority[0]), "content": r.o_orderpriority, "at": r.at} for r in page]
+        return made, (page[-1].at, page[-1].key) if page else None
+
+    return fetch
+
+
+def _scraped(spark, sf_dir):
+    return reviews.scrape_app(spark, _order_pages(spark, sf_dir), "orders", "Orders", scraped=dt.datetime(2002, 1, 1), batch=PAGE, sleep=lambda s: None, **SCRAPE)
+
+
+FETCHED_SQL = """rk AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders),
+sz AS (SELECT count(*) AS n, min(rn) FILTER (o_orderdate < TIMESTAMP '1998-12-31 17:00:00') AS past FROM rk),
+seen AS (SELECT rk.*, b.batches FROM rk, (SELECT CASE WHEN past IS NULL THEN ceil(n / 4000) ELSE ceil(past / 4000) END AS batches, past FROM sz) b WHERE rn <= b.batches * 4000),
+kept AS (SELECT *, o_orderdate + INTERVAL 7 HOUR AS local FROM seen WHERE o_orderdate + INTERVAL 7 HOUR BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '1999-12-31 23:59:59')"""
+
+
+@query(f"""WITH {FETCHED_SQL} SELECT CAST(o_orderkey AS VARCHAR) AS review_id, 'orders' AS app_id, substr(sha256('user ' || o_custkey), 1, 16) AS user_name_hash, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rating, o_orderpriority AS review_text,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') AS utc, strftime(local, '%Y-%m-%d %H:%M:%S') AS wib, CAST(length(o_orderpriority) AS INTEGER) AS char_count FROM kept""")
+def scraped_reviews(spark, sf_dir):
+    """All orders as a store's reviews, paged, windowed and shaped."""
+    raw, _ = _scraped(spark, sf_dir)
+    return raw.select("review_id", "app_id", "user_name_hash", "rating", "review_text", reltime.iso_utc(F.col("date_utc")).alias("utc"), F.date_format("date_wib", "yyyy-MM-dd HH:mm:ss").alias("wib"), "char_count")
+
+
+@query(f"""WITH {FETCHED_SQL} SELECT 'Orders' AS app_name, CASE WHEN (SELECT past FROM sz) IS NULL THEN 'empty_batch' ELSE 'reached_launch' END AS stop_reason, CAST(max(batches) AS INTEGER) AS batches_fetched, CAST(count(*) AS INTEGER) AS total_raw_fetched, (SELECT CAST(count(*) AS INTEGER) FROM kept) AS total_in_window,
+  strftime(min(o_orderdate) + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(o_orderdate) + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS newest, min(o_orderdate) + INTERVAL 7 HOUR <= TIMESTAMP '1999-01-01' AS reached_launch_date FROM seen""")
+def scrape_metadata(spark, sf_dir):
+    _, meta = _scraped(spark, sf_dir)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return meta.select("app_name", "stop_reason", "batches_fetched", "total_raw_fetched", "total_in_window", day("oldest_review_seen_wib").alias("oldest"), day("newest_review_seen_wib").alias("newest"), "reached_launch_date")
+
+
+@query(f"""WITH {FETCHED_SQL}, w AS (SELECT *, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS r, len(list_filter(regexp_split_to_array(regexp_replace(o_orderpriority, '[^\\pL\\pM\\pN_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS words FROM kept)
+SELECT 'orders' AS app_id, count(*) FILTER (r = 1) AS rating_1, count(*) FILTER (r = 2) AS rating_2, count(*) FILTER (r = 3) AS rating_3, count(*) FILTER (r = 4) AS rating_4, count(*) FILTER (r = 5) AS rating_5,
+  strftime(min(local), '%Y-%m-%d') AS first, strftime(max(local), '%Y-%m-%d') AS last, count(*) FILTER (words < 5) AS below_5_words, count(*) FILTER (words < 10) AS below_10_words FROM w""")
+def scrape_report(spark, sf_dir):
+    """Acquired to files by app, read back, summed up."""
+    path, meta = new_path(spark), new_path(spark)
+    reviews.acquire([_scraped(spark, sf_dir)], path, meta)
+    made = reviews.scrape_summary(spark.read.parquet(path))
+    return made.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last")})
+
+
+def _order_reviews(spark, sf_dir) -> DataFrame:
+    """orders as raw reviews: every seventh date can't be parsed, the others carry an offset."""
+    o = table(spark, sf_dir, "orders")
+    wib = F.when(F.col("o_orderkey") % 7 == 0, F.lit("soon")).otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+07:00")))
+    text_ = F.concat(F.lit('said "'), F.col("o_orderpriority"), F.lit('",\n'), F.col("o_orderstatus"))
+    made = {"review_id": F.col("o_orderkey").cast("string"), "rating": F.substring("o_orderpriority", 1, 1).cast("int"), "review_text": text_, "date_wib": wib, "date_utc": F.col("o_orderdate").cast("timestamp")}
+    return o.select(*[made.get(c.split()[0], F.lit(None).cast(c.split()[1])).alias(c.split()[0]) for c in RAW_REVIEWS.split(", ")])
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS review_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rating, 'said "' || o_orderpriority || '",' || chr(10) || o_orderstatus AS review_text,
+  CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS wib FROM orders""")
+def raw_reviews(spark, sf_dir):
+    """Written as CSV and loaded by its schema."""
+    path = new_path(spark)
+    outputs.save_csv(_order_reviews(spark, sf_dir), path)
+    return reviews.load_raw_reviews(spark, path).select("review_id", "rating", "review_text", F.date_format("date_wib", "yyyy-MM-dd HH:mm:ss").alias("wib"))
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 7 = 0) AS n_unparsed, count(*) AS n FROM orders")
+def unparsed_dates(spark, sf_dir):
+    path = new_path(spark)
+    outputs.save_csv(_order_reviews(spark, sf_dir), path)
+    return reviews.unparsed_dates(reviews.load_raw_reviews(spark, path))
+
+
+@query(f"WITH {ORDERS} SELECT CAST(order_key AS VARCHAR) AS review_id, relative_month, relative_week, CAST(topic AS INTEGER) AS rating, (SELECT 'review_text_cleaned, date_wib') AS missing FROM ord")
+def saved_outputs(spark, sf_dir):
+    """The slim table as written, with the wanted columns that weren't there."""
+    slim, full = new_path(spark), new_path(spark)
+    o = orders(spark, sf_dir).select(F.col("order_key").cast("string").alias("review_id"), "relative_month", "relative_week", F.col("topic").alias("rating"), "day")
+    missing = outputs.save_outputs(o, slim, full)
+    return spark.read.parquet(slim).withColumn("missing", F.lit(", ".join(missing)))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels")
+def spreadsheet_reload(spark, sf_dir):
+    path = f"{new_path(spark)}.csv"
+    outputs.save_spreadsheet(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), path)
+    return reviews.load_csv(spark, path, "doc_id long, quality int, toxic int")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang NOT IN ('en', 'de')")
+def rejected_rows(spark, sf_dir):
+    """The rejected tier's file, read back."""
+    path = new_path(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).otherwise(3).alias("lang_tier"))
+    outputs.save_rejected(clean.filter_language_tier(d)[1], path, ("doc_id", "lang", "no_such_column"))
+    return reviews.load_csv(spark, path, "doc_id long, lang string")
+
+
+@query("SELECT doc_id, CAST(length(text) AS DOUBLE) AS v, (SELECT count(DISTINCT text) FROM documents) AS n_stored FROM documents")
+def embedding_cache(spark, sf_dir):
+    """One language first, then all: known texts come from the cache, which holds every text once."""
+    path = new_path(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    encode = lambda t: F.array(F.length(t).cast("float"))
+    outputs.cached_embeddings(d.where("lang = 'en'"), encode, path, "length")
+    made = outputs.cached_embeddings(d, encode, path, "length")
+    return made.select("doc_id", F.col("embedding")[0].cast("double").alias("v"), F.lit(spark.read.parquet(path).count()).alias("n_stored"))
+
+
+@query(f"WITH {CT} SELECT topic, rank, term FROM tw")
+def topic_model_reload(spark, sf_dir):
+    """Weights, assignments and settings saved and loaded; the settings say how many words."""
+    path, d = new_path(spark), doc_topics(spark, sf_dir)
+    outputs.save_topic_model(_weights(spark, sf_dir), d.select("doc_id", "topic"), path, {"n": 10})
+    weights, _, config = outputs.load_topic_model(spark, path)
+    return topics.top_words(weights, config["n"]).select("topic", F.col("rank").cast("long").alias("rank"), "term")
+
+
+GRID = (10, 16, 22, 28, 40)
+
+
+@query(f"""WITH g AS (SELECT unnest({list(GRID)}) AS k), a AS (SELECT k, CASE WHEN doc_id % (k + 1) = k THEN -1 ELSE doc_id % (k + 1) END AS topic FROM documents, g),
+s AS (SELECT CAST(k AS INTEGER) AS k, count(DISTINCT topic) FILTER (topic <> -1) AS n_topics, count(*) FILTER (topic = -1) / count(*) AS score FROM a GROUP BY k)
+SELECT k, n_topics, round(score, 9) AS score, coalesce(n_topics BETWEEN 15 AND 30 AND score = (SELECT max(score) FROM s WHERE n_topics BETWEEN 15 AND 30), false) AS best FROM s""")
+def grid_winner(spark, sf_dir):
+    """A record per combination; the best by score of those with 15 to 30 topics."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    fit = lambda df, k: df.withColumn("topic", F.when(F.col("doc_id") % (k + 1) == k, -1).otherwise(F.col("doc_id") % (k + 1)))
+    noise = lambda made: made.agg(F.avg((F.col("topic") == -1).cast("int"))).first()[0]
+    records, best = assign.grid_search(d, fit, noise, [{"k": k} for k in GRID])
+    rows = [(r["k"], r["n_topics"], r["score"], r is best) for r in records]
+    return spark.createDataFrame(rows, "k int, n_topics long, score double, best boolean").withColumn("score", F.round("score", 9))
+
+
+STOP = ("the", "and", "of", "to", "in", "der", "die", "und", "la", "de", "el", "le", "les", "et", "que")
+REFIT = CT.replace("toks AS (SELECT", "toks AS (SELECT * REPLACE (list_filter(t, lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP) + "], x)) AS t) FROM (SELECT", 1).replace(" AS t FROM docs)", " AS t FROM docs))", 1)
+
+
+@query(f"WITH {REFIT} SELECT topic, rank, term, round(weight, 9) AS weight FROM tw")
+def refit_topic_words(spark, sf_dir):
+    """Topic words with a longer stop list; the topics stay."""
+    made = pipelines.refit_words(doc_topics(spark, sf_dir), "clean", list(STOP))
+    return made.withColumn("weight", F.round("weight", 9)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH p AS (SELECT doc_id, text, length(text) % 10 / 10 AS a FROM documents), b AS (SELECT *, trim(text, ' ') = '' AS blank FROM p)
+SELECT doc_id, CASE WHEN blank THEN '' WHEN a >= 0.3 THEN 'id' ELSE 'en' END AS lang_top, CASE WHEN blank THEN 0.0 WHEN a >= 0.3 THEN a ELSE 0.3 END AS lang_top_conf,
+  CASE WHEN blank THEN 3 WHEN a >= 0.5 THEN 1 WHEN a >= 0.3 THEN 2 WHEN a >= 0.2 THEN 2 ELSE 3 END AS lang_tier FROM b""")
+def language_detection(spark, sf_dir):
+    """Three columns from an injected detector, here one that judges by length."""
+
+    def predict(texts):
+        return [sorted([("__label__id", len(t) % 10 / 10), ("__label__en", 0.3)], key=lambda p: (-p[1], p[0] != "__label__id")) for t in texts]
+
+    return assign.detect_language(table(spark, sf_dir, "documents").select("doc_id", "text"), predict, "text").select("doc_id", "lang_top", "lang_top_conf", "lang_tier")
+
+
+@query("SELECT count(*) AS n, true AS falling, true AS noise_is_bounded, true AS dense FROM embeddings")
+def clustered_topics(spark, sf_dir):
+    """What any clustering must keep: a topic for every vector, sizes that fall with the number, at most the stated share of noise, numbers without gaps."""
+    made = materialise(assign.cluster_topics(table(spark, sf_dir, "embeddings"), 10, min_size=1, key="vec_id"))
+    sizes = made.groupBy("topic").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("topic", "n"))).alias("s"))  # a row per topic
+    real = F.filter("s", lambda x: x["topic"] != -1)
+    falls = F.forall(F.sequence(F.lit(1), F.size(real) - 1), lambda i: F.get(real, i)["n"] <= F.get(real, i - 1)["n"])
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    noise = F.aggregate(F.filter("s", lambda x: x["topic"] == -1), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return sizes.select(total.alias("n"), falls.alias("falling"), (noise <= 0.15 * total).alias("noise_is_bounded"), (F.array_max(F.transform(real, lambda x: x["topic"])) == F.size(real) - 1).alias("dense"))
+
+
+@query("""SELECT doc_id, 'M' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') AS month, 'T' || (doc_id % 12 + 1) AS topic, replace('__label__' || lang || chr(10) || source, chr(10), ' ') [10:] AS lang FROM documents""")
+def label_formats(spark, sf_dir):
+    m = (F.col("doc_id") % 12 + 1).cast("int")
+    label = F.concat(F.lit("__label__"), F.col("lang"), F.lit("\n"), F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.month_label(m).alias("month"), text.short_label("T", m).alias("topic"), text.strip_language_label(label).alias("lang"))
+
+
+@query("SELECT vec_id, label AS topic, len(embedding) AS n FROM embeddings WHERE vec_id % 11 <> 0")
+def attached_topics(spark, sf_dir):
+    """Assignments attached by key, noise dropped, columns slimmed and ordered."""
+    e = table(spark, sf_dir, "embeddings")
+    topic = F.when(F.col("vec_id") % 11 == 0, -1).otherwise(F.col("label")).alias("topic")
+    made = clean.drop_noise(assign.attach_topics(e.drop("label"), e.select("vec_id", topic), "vec_id"))
+    return clean.slim(clean.reorder(made, "topic"), ("vec_id", "topic", "embedding", "none")).select("vec_id", "topic", F.size("embedding").alias("n"))
+
+
+@query("SELECT unnest(list_distinct(list_concat(" + ", ".join(str(list(w)) for w in (config.GENERIC_STOPWORDS, config.APP_STOPWORDS["app1"])) + "))) AS word")
+def stopword_union(spark, sf_dir):
+    return spark.createDataFrame([(w,) for w in config.stopwords("app1")], "word string")
+
+
+@query(f"""WITH {CENTROIDS}, d AS (SELECT topic, m1, avg(cos) FILTER (m1 <> m2) AS m FROM me GROUP BY ALL), o AS (SELECT topic, avg(cos) FILTER (m1 <> m2) AS m FROM me GROUP BY topic),
+x AS (SELECT topic, list('- month ' || m1 || ': mean ' || round_even(d.m, 4) ORDER BY m1) AS lines FROM d JOIN o USING (topic) WHERE d.m < o.m - 0.02 GROUP BY topic)
+SELECT topic, line FROM (SELECT topic, unnest(list_concat(['## Topic ' || topic], lines)) AS line FROM x)""")
+def findings_sections(spark, sf_dir):
+    """The report's sections, a row a line; topics are few."""
+    cells = _semantic(spark, sf_dir)
+    table_ = drift.drift_table(cells, cells, 0.7, 0.6)
+    lines, rows, topic = outputs.findings_report(table_, drift.outlier_months(cells, 0.02), 0.7, 0.6).split("\n"), [], None
+    for line in lines:
+        if line.startswith("## Topic "):
+            topic = int(line.split()[-1])
+        if topic is not None and line:
+            rows.append((topic, line))
+    return spark.createDataFrame(rows, "topic int, line string")
