@@ -533,7 +533,7 @@ def test_tree_counts_are_hypergeometric(spark):
     """Over many seeds a source's units in a shard have the mean and the variance of draws without replacement."""
     df = frame(spark, [f"w{i} a b c d" for i in range(120)]).withColumn("source", F.when(F.col("doc_id") < 40, "x").otherwise("y"))
     counts = []
-    for seed in range(24):
+    for seed in range(12):
         plan = mixing.plan_mixture(df, shards=4, weights=(1,), seed=seed * 100, least_block=25)
         rows = [(r.source, tuple(r.copies)) for r in plan.select("source", "copies").collect()]
         counts += [sum(s in c for src, c in rows if src == "x") for s in range(4)]

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
 import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from tidemark.tables import materialise, release, shared_dir, spread, table
 
+__all__ = ["WORD", "hot_join", "lean", "materialise", "release", "shared_dir", "spread", "table", "tidy", "word_count"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: A word is a run of characters other than ASCII white space.
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def word_count(text: Column) -> Column:
@@ -51,42 +48,15 @@ def tidy(*forget):
 
 
 def lean(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of so many rows, where the session has Spark's default of 10,000: whole texts are long, and several copies of a batch are alive at once."""
+    """Arrow batches of so many rows, where the session has Spark's default of 10,000: whole texts are long, and several copies of a batch are alive at once.
+
+    The setting stays, as lazy results are computed later; any other value that the caller has set is left alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir. Where that is unset, a folder below the warehouse, which is shared too, or with a local master one of this machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        if own is None:
-            own = tempfile.mkdtemp(prefix="tidemark-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_tidemark"
-        sc.setCheckpointDir(own)
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back.
-
-    A lost executor then costs a reread, not a recomputation. The files go when the driver ends, or with release().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._tidemark_path = path
-    return made
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    _remove(df.sparkSession, df._tidemark_path)
-
-
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", most: int = 512, broadcast_keys: int = 50_000) -> DataFrame:
     """left joined ("inner" or "left") with right, which has one row a key and in ``rows`` (dropped) how many rows of left have that key. right is read up to four times and should be materialised.
 
@@ -100,14 +70,3 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str =
         return left.join(cold, key, how)
     hot = F.broadcast(right.where(F.col(rows) > most).drop(rows))
     return left.join(hot, key).unionByName(left.join(hot, key, "left_anti").join(cold, key, how))
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    try:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM may be gone before the driver's Python is
-        return

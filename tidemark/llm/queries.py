@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, chat, classifier, mixing, near, packing, quality, secrets, substring, urls
-from tidemark.llm.common import table
+from tidemark.llm.common import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 @query()
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_summary(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    return secrets.secret_summary(secrets.find_secrets(spread(table(spark, sf_dir, "documents"))))
 
 
 #: The conversation that the contract adds, as (turn, role, text).
@@ -90,12 +90,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classifier.score_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 @query()
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(spread(table(spark, sf_dir, "documents")))
 
 
 @query()
@@ -124,10 +124,10 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
 FROM w LEFT JOIN a USING (doc_id)
 """)
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    made = substring.remove_repeats(spread(table(spark, sf_dir, "documents")))
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query()
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near.near_duplicates(spread(table(spark, sf_dir, "documents"))).select("doc_id", "class_id", "n_links")
