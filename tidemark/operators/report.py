@@ -19,6 +19,12 @@ def proportions(freq: DataFrame, labels: dict[int, str], highlighted: tuple[int,
     return topics.with_labels(series.add_proportion(freq, period), labels).withColumn("is_highlight", F.col("topic").isin(*highlighted) if highlighted else F.lit(False))
 
 
+def annotations(shares: DataFrame, notes: list[tuple[int, int, str]], period: str = "relative_month", value: str = "prop") -> DataFrame:
+    """topic, period, note and the value at which an arrow ends and a vertical line crosses; null where the topic has no such period. notes: (topic, period, note)."""
+    marks = shares.sparkSession.createDataFrame(notes, f"topic int, {period} int, note string")
+    return marks.join(shares.select("topic", period, value), ["topic", period], "left").select("topic", period, "note", value)
+
+
 def heatmaps(matrix: DataFrame, labels: dict[int, str]) -> DataFrame:
     return topics.with_labels(drift.colour_range(matrix), labels, prefix="T")
 

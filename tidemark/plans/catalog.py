@@ -643,14 +643,17 @@ UNI = f"""{TOKENS}, cn AS (SELECT topic, term, count(*) AS tf FROM (SELECT topic
 idf AS (SELECT term, ln(1 + (SELECT a FROM av) / sum(tf)) AS idf FROM cn GROUP BY term), cw AS (SELECT cn.topic, cn.term, tf, tf / sum(tf) OVER (PARTITION BY cn.topic) * idf AS weight FROM cn JOIN idf USING (term))"""
 
 
-@query(f"""WITH RECURSIVE {UNI}, mc AS (SELECT topic, month, term, count(*) AS tf FROM (SELECT topic, month, unnest(t) AS term FROM toks) GROUP BY ALL),
+OVER_TIME = f"""WITH RECURSIVE {UNI}, mc AS (SELECT topic, month, term, count(*) AS tf FROM (SELECT topic, month, unnest(t) AS term FROM toks) GROUP BY ALL),
 cell AS (SELECT mc.topic, mc.month, mc.term, tf / sum(tf) OVER (PARTITION BY mc.topic, mc.month) * idf AS w FROM mc JOIN idf USING (term)),
 pres AS (SELECT topic, month, count(*) AS freq FROM toks GROUP BY ALL),
 full_ AS (SELECT p.topic, p.month, cw.term, coalesce(c.w, 0) AS w, cw.weight AS g FROM pres p JOIN cw ON cw.topic = p.topic LEFT JOIN cell c ON c.topic = p.topic AND c.month = p.month AND c.term = cw.term),
 tuned AS (SELECT f.topic, f.month, f.term, (f.g + f.w) / 2 AS w FROM full_ f WHERE NOT EXISTS (SELECT 1 FROM pres p WHERE p.topic = f.topic AND p.month = f.month - 1)
   UNION ALL SELECT f.topic, f.month, f.term, (f.g + (f.w + t.w) / 2) / 2 FROM full_ f JOIN tuned t ON t.topic = f.topic AND t.term = f.term AND t.month = f.month - 1),
 best AS (SELECT topic, month, term, row_number() OVER (PARTITION BY topic, month ORDER BY round(w, 12) DESC, term) AS r FROM tuned QUALIFY r <= 5)
-SELECT p.topic, p.month, p.freq, (SELECT string_agg(term, ', ' ORDER BY r) FROM best b WHERE b.topic = p.topic AND b.month = p.month) AS words FROM pres p""")
+SELECT p.topic, p.month, p.freq, (SELECT string_agg(term, ', ' ORDER BY r) FROM best b WHERE b.topic = p.topic AND b.month = p.month) AS words FROM pres p"""
+
+
+@query(OVER_TIME)
 def dtm_words_over_time(spark, sf_dir):
     return topics.topics_over_time(doc_topics(spark, sf_dir), "clean").withColumn("words", F.array_join("words", ", "))
 
@@ -997,3 +1000,20 @@ def findings_sections(spark, sf_dir):
         if topic is not None and line:
             rows.append((topic, line))
     return spark.createDataFrame(rows, "topic int, line string")
+
+
+@query(f"SELECT topic AS \"Topic\", words AS \"Words\", freq AS \"Frequency\", month AS \"Timestamp\" FROM ({OVER_TIME})")
+def over_time_reload(spark, sf_dir):
+    """The month table saved and loaded."""
+    path = new_path(spark)
+    outputs.save_over_time(topics.topics_over_time(doc_topics(spark, sf_dir), "clean"), path)
+    return outputs.load_over_time(spark, path)
+
+
+NOTES = ((1, 3, "release"), (3, 7, "outage"), (2, 13, "outside"))
+
+
+@query(f"WITH {FREQ}, a AS (SELECT * FROM (VALUES {_values(NOTES)}) v(topic, relative_month, note)) SELECT topic, relative_month, note, round(prop, 9) AS prop FROM a LEFT JOIN prop USING (topic, relative_month)")
+def plot_annotations(spark, sf_dir):
+    shares = series.add_proportion(series.topic_frequency(orders(spark, sf_dir)))
+    return report.annotations(shares, list(NOTES)).withColumn("prop", F.round("prop", 9))

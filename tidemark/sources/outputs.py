@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean
+from tidemark.operators import clean, topics
 from tidemark.schemas import SLIM_COLUMNS
 
 BOM = "﻿"
@@ -90,6 +90,15 @@ def cached_embeddings(df: DataFrame, encode, path: str, model: str, text: str =
     return keyed.join(stored, "_hash", "left").drop("_hash")
 
 
+def save_over_time(over_time: DataFrame, path: str) -> None:
+    """The published month table (topics.dtm_table()), for later analyses."""
+    topics.dtm_table(over_time).write.mode("overwrite").parquet(path)
+
+
+def load_over_time(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def save_topic_model(weights: DataFrame, assignments: DataFrame, path: str, config: dict) -> None:
     """A model is its weighted words, its assignments and its settings."""
     weights.write.mode("overwrite").parquet(f"{path}/weights")
