@@ -31,6 +31,8 @@ HOT_SHARE = 8000
 #: Bytes of text in a run, and windows of words that a bucket gets.
 RUN_BYTES = 8_000_000
 BUCKET_WORDS = 400_000
+#: Buckets a task gets, on average.
+TASK_BUCKETS = 4
 LAST_ID = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -262,6 +264,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hot, words = hot_pairs(keyed)
     n_buckets = max(64, -(-words // BUCKET_WORDS))
     sent = keyed.mapInArrow(super_kmers(hot, n_buckets), "bucket int, packed binary")
+    # partitions grow in number with the buckets, so a task gets some of them whatever the input
+    sent = sent.repartition(-(-n_buckets // TASK_BUCKETS), "bucket")
     spans = sent.groupBy("bucket").applyInArrow(repeated_spans(n_buckets), "id long, key long, lo long, hi long")
     per_doc = spans.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # at most a document's words
     both = rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("key", F.xxhash64("text")).join(per_doc, ["id", "key"], "left")
