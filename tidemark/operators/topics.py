@@ -20,10 +20,11 @@ def terms(df: DataFrame, text_col: str, keep: tuple[str, ...], stopwords: list[s
     if stopwords:
         stop = F.array(*[F.lit(w) for w in stopwords])
         t = F.filter(t, lambda x: ~F.array_contains(stop, x))
-    if bigrams:
-        pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-        t = F.concat(t, pairs)
-    return df.select(*keep, F.explode(t).alias("term"))
+    if not bigrams:
+        return df.select(*keep, F.explode(t).alias("term"))
+    t, df = F.col("_tokens"), df.select(*keep, t.alias("_tokens"))  # a column of its own, so that a text is split once
+    pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return df.select(*keep, F.explode(F.concat(t, pairs)).alias("term"))
 
 
 def term_counts(df: DataFrame, text_col: str, by: tuple[str, ...] = ("topic",), stopwords: list[str] | None = None, bigrams: bool = True) -> DataFrame:
@@ -38,12 +39,19 @@ def prune_vocabulary(counts: DataFrame, min_df: int = 2, max_df: float = 0.95, t
     return made.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_topics"))).drop("df", "n_topics")
 
 
+def _totals(counts: DataFrame, topic: str) -> DataFrame:
+    """topic, n: its total; a: mean total of a topic, as a whole number. One row per topic."""
+    sizes = counts.groupBy(topic).agg(F.sum("tf").alias("n"))
+    return sizes.join(F.broadcast(sizes.agg(F.floor(F.avg("n")).alias("a"))))  # one row
+
+
 def ctfidf(counts: DataFrame, topic: str = "topic") -> DataFrame:
-    """topic, term, tf, weight = tf / topic's total * ln(1 + A / term's total); A: mean total of a topic, as a whole number."""
-    per_topic = F.sum("tf").over(W.partitionBy(topic))
-    per_term = counts.groupBy("term").agg(F.sum("tf").alias("f"))
-    mean = counts.groupBy(topic).agg(F.sum("tf").alias("n")).agg(F.floor(F.avg("n")).alias("a"))
-    made = counts.withColumn("n", per_topic).join(per_term, "term").join(F.broadcast(mean))  # one row
+    """topic, term, tf, weight = tf / topic's total * ln(1 + A / term's total); A: mean total of a topic, as a whole number.
+
+    Shuffles counts once, by term, which has at most a row per topic; so a large topic is spread over all tasks.
+    """
+    sizes = _totals(counts, topic).withColumnRenamed(topic, "_topic")
+    made = counts.withColumn("f", F.sum("tf").over(W.partitionBy("term"))).join(F.broadcast(sizes), F.col(topic).eqNullSafe(F.col("_topic")))
     return made.select(topic, "term", "tf", (F.col("tf") / F.col("n") * F.log1p(F.col("a") / F.col("f"))).alias("weight"))
 
 
@@ -99,17 +107,20 @@ def representative_documents(df: DataFrame, weights: DataFrame, key: str, text_c
 def topics_over_time(df: DataFrame, text_col: str, month: str = "relative_month", n_words: int = 5, evolution: bool = True, overall: bool = True, stopwords: list[str] | None = None, bigrams: bool = False, digits: int = 12) -> DataFrame:
     """topic, month, freq, words (best first): class-based TF-IDF per month with the whole corpus's vocabulary and idf.
 
-    Runs a job: the counts, which all parts read, are written once. evolution averages a month's weights with the month before, if the topic had one; overall then averages them with the topic's own. Both
+    Runs a job: the counts, which all parts read, are written once; they are shuffled once, by term. evolution averages a month's weights with the month before, if the topic had one; overall then averages them with the topic's own. Both
     run over the array of a term's months, at most as many as there are months.
     """
     counts = materialise(term_counts(df.where(F.col("topic") != -1), text_col, ("topic", month), stopwords, bigrams).withColumnRenamed(month, "month"))
-    total = counts.groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
-    whole = ctfidf(total)
-    idf = total.groupBy("term").agg(F.sum("tf").alias("f")).join(F.broadcast(total.groupBy("topic").agg(F.sum("tf").alias("n")).agg(F.floor(F.avg("n")).alias("a")))).select("term", F.log1p(F.col("a") / F.col("f")).alias("idf"))
-    cells = counts.withColumn("n", F.sum("tf").over(W.partitionBy("topic", "month"))).join(idf, "term").select("topic", "month", "term", (F.col("tf") / F.col("n") * F.col("idf")).alias("w"))
+    sizes = counts.groupBy("topic", "month").agg(F.sum("tf").alias("n")).groupBy("topic").agg(F.map_from_entries(F.collect_list(F.struct(F.col("month").cast("int"), "n"))).alias("n_by_month"))
     present = df.where(F.col("topic") != -1).groupBy("topic").agg(F.array_sort(F.collect_set(F.col(month).cast("int"))).alias("months"))
-    own = cells.groupBy("topic", "term").agg(F.map_from_entries(F.collect_list(F.struct(F.col("month").cast("int"), "w"))).alias("by_month"))
-    own = own.join(whole.select("topic", "term", "weight"), ["topic", "term"]).join(F.broadcast(present), "topic")
+    # one shuffle, by term: at most a row per topic and month
+    own = counts.repartition("term").groupBy("term", "topic").agg(F.map_from_entries(F.collect_list(F.struct(F.col("month").cast("int"), "tf"))).alias("tf_by_month"), F.sum("tf").alias("tf"))
+    own = own.withColumn("f", F.sum("tf").over(W.partitionBy("term")))
+    for small in (_totals(counts, "topic"), sizes, present):  # a row per topic
+        own = own.join(F.broadcast(small), "topic")
+    idf = F.log1p(F.col("a") / F.col("f"))
+    by_month = F.transform_values("tf_by_month", lambda m, tf: tf / F.element_at("n_by_month", m) * F.col("idf"))
+    own = own.withColumn("idf", idf).select("topic", "term", "months", by_month.alias("by_month"), (F.col("tf") / F.col("n") * F.col("idf")).alias("weight"))
 
     def step(state, m):
         w = F.coalesce(F.try_element_at(F.col("by_month"), m), F.lit(0.0))
