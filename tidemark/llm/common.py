@@ -8,10 +8,11 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.tables import materialise, release, shared_dir, spread, table
 
-__all__ = ["WORD", "hot_join", "lean", "materialise", "release", "shared_dir", "spread", "table", "tidy", "word_count"]
+__all__ = ["WORD", "hot_join", "lean", "literal_rows", "materialise", "release", "shared_dir", "spread", "table", "tidy", "word_count"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -29,6 +30,13 @@ def word_count(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A few rows as literals of the plan, without Python data behind them."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def tidy(*forget):
     """For a task's function on batches: at its end calls the module-level functions that empty its module's memories and gives free memory back, as workers stay for other stages."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, chat, classifier, mixing, near, packing, quality, secrets, substring, urls
-from tidemark.llm.common import spread, table
+from tidemark.llm.common import literal_rows, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -51,7 +51,7 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGI
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, turns = EXTRA_CONVERSATION
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(key, *t) for t in turns], rows.schema)
+    more = literal_rows(spark, [(key, *t) for t in turns], rows.schema)
     return chat.chat_summary(chat.format_turns(chat.canonical_turns(rows.unionByName(more))))
 
 
@@ -74,7 +74,7 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """)
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    rules = literal_rows(spark, list(URL_RULES), "host string, path string, verdict string")
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
