@@ -121,6 +121,41 @@ def test_drift_thresholds_are_inclusive(spark):
     assert [r.p for r in df.select(decide.drift_pattern(F.col("a"), F.col("b")).alias("p")).collect()] == ["Stable", "Paraphrase", "Lexical-anchor drift", "Topic drift"]
 
 
+def test_ctfidf_of_all_topics(spark):
+    rows = [(0, "a", 5), (0, "b", 1), (1, "a", 2), (None, "b", 4), (None, "c", 3)]
+    got = {(r.topic, r.term): r.weight for r in topics.ctfidf(spark.createDataFrame(rows, "topic int, term string, tf long")).collect()}
+    n, f = {0: 6, 1: 2, None: 7}, {"a": 7, "b": 5, "c": 3}
+    assert got == pytest.approx({(t, w): tf / n[t] * math.log1p(5 / f[w]) for t, w, tf in rows})  # mean total: 15 / 3
+    assert topics.ctfidf(spark.createDataFrame([], "topic int, term string, tf long")).count() == 0
+
+
+def test_topics_over_time_by_hand(spark):
+    rows = [(0, 1, "a a b"), (0, 3, "b c"), (1, 1, "c"), (1, 2, "a c c"), (-1, 1, "noise"), (1, 2, None)]
+    df = spark.createDataFrame(rows, "topic int, relative_month int, t string")
+    tf = {}
+    for t, m, x in rows:
+        for w in (x or "").split() if t != -1 else ():
+            tf[t, m, w] = tf.get((t, m, w), 0) + 1
+    add = lambda keep: sum(v for k, v in tf.items() if keep(*k))
+    mean = add(lambda *_: True) // 2
+    idf = {w: math.log1p(mean / add(lambda t, m, v, w=w: v == w)) for w in "abc"}
+    want = {}
+    for t in (0, 1):
+        for w in {w for k, _, w in tf if k == t}:
+            whole = add(lambda k, m, v: (k, v) == (t, w)) / add(lambda k, m, v: k == t) * idf[w]
+            before = None
+            for m in sorted({m for k, m, _ in tf if k == t}):
+                x = tf.get((t, m, w), 0) / add(lambda k, n, v: (k, n) == (t, m)) * idf[w]
+                if before and before[0] == m - 1:
+                    x = (x + before[1]) / 2
+                x = (whole + x) / 2
+                before = m, x
+                want.setdefault((t, m), []).append((-round(x, 12), w))
+    got = {(r.topic, r.month): (r.freq, r.words) for r in topics.topics_over_time(df, "t").collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: [w for _, w in sorted(v)] for k, v in want.items()}
+    assert {k: v[0] for k, v in got.items()} == {(0, 1): 1, (0, 3): 1, (1, 1): 1, (1, 2): 2}
+
+
 def test_ctfidf_prunes_by_topic(spark):
     df = spark.createDataFrame([(1, 0, "a b c"), (2, 1, "a b d"), (3, 2, "a e f")], "k int, topic int, t string")
     pruned = topics.prune_vocabulary(topics.term_counts(df, "t"))
