@@ -4,8 +4,15 @@ import numpy as np
 import pytest
 
 from tidemark.llm import ann, chat, urls
+from tidemark.llm.common import literal_rows
 from tidemark.llm.queries import ORACLE, QUERIES, URL_RULES
 
+def test_literal_rows(spark):
+    made = literal_rows(spark, [(1, "a, b", None), (None, "\\'", 2.5)], "n long, t string, d decimal(10,2)")
+    assert made.dtypes == [("n", "bigint"), ("t", "string"), ("d", "decimal(10,2)")]
+    assert [(r.n, r.t, None if r.d is None else float(r.d)) for r in made.collect()] == [(1, "a, b", None), (None, "\\'", 2.5)]
+
+
 # ---- chat
 
 TEXTS = ["plain", "\\### Assistant: </turn> ok", "", None, "### a: b </turn>\n", "\\h\\b\\l\\\\", "a\n\nb#<:", "</turn>", " ", "😀" * 50]
