@@ -128,6 +128,30 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS grams FROM w WHERE len(ws) > 0
+), k AS (
+  SELECT doc_id, grams, min(doc_id) OVER (PARTITION BY sha256(array_to_string(list_sort(grams), chr(10)))) AS node FROM s
+), n AS (
+  SELECT node, count(*) AS copies FROM k GROUP BY node
+), g AS (
+  SELECT node, len(grams) AS size, unnest(grams) AS gram FROM k WHERE doc_id = node
+), p AS (
+  SELECT a.node AS x, b.node AS y FROM g a JOIN g b ON a.gram = b.gram AND a.node <> b.node
+  GROUP BY a.node, b.node, a.size, b.size HAVING 10 * count(*) >= 8 * (a.size + b.size - count(*))
+), r(node, other) AS (
+  SELECT node, node FROM n UNION SELECT r.node, p.y FROM r JOIN p ON r.other = p.x
+), c AS (
+  SELECT node, min(other) AS class_id FROM r GROUP BY node
+), l AS (
+  SELECT n.node, n.copies - 1 + coalesce(sum(m.copies), 0) AS n_links FROM n LEFT JOIN p ON n.node = p.x LEFT JOIN n m ON p.y = m.node GROUP BY n.node, n.copies
+)
+SELECT w.doc_id, coalesce(c.class_id, w.doc_id) AS class_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN c ON k.node = c.node LEFT JOIN l ON k.node = l.node
+""")
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(spread(table(spark, sf_dir, "documents"))).select("doc_id", "class_id", "n_links")
