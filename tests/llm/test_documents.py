@@ -622,3 +622,16 @@ def test_context_sums(spark):
                 if 0 < abs(i - j) <= classifier.WINDOW:
                     np.add.at(want[row(w[i])], places[row(w[j])], signs[row(w[j])])
     assert (sums[: classifier.WORDS] == want).all()
+
+
+def test_near_duplicates_agree_with_their_sql(spark):
+    import duckdb
+
+    from tidemark.llm.queries import ORACLE
+
+    documents = frame(spark, made() + EDGES)
+    con = duckdb.connect()
+    con.register("documents", documents.select("doc_id", "text").toArrow())
+    want = con.execute(ORACLE["op8_near_duplicates"]).fetchall()
+    got = near.near_duplicates(documents).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(w[2] for w in want)
