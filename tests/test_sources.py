@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -109,3 +110,14 @@ def test_paging_stops_at_launch_in_any_time_zone(spark):
         pages = [[{"reviewId": str(i), "at": utc + dt.timedelta(minutes=30 - 20 * i)}] for i in range(6)]
         raw, meta = reviews.scrape_app(spark, lambda t, n: (pages[t or 0], (t or 0) + 1), "a", "A", launch, launch + dt.timedelta(days=1), launch, zone, sleep=lambda s: None)  # noqa: B023
         assert (meta.first().stop_reason, meta.first().batches_fetched) == ("reached_launch", 3) and {r.review_id for r in raw.collect()} == {"0", "1"}, zone
+
+
+def test_spreadsheet_of_any_size(spark, tmp_path):
+    path = str(tmp_path / "big.csv")
+    assert outputs.save_spreadsheet(spark.range(100_002).withColumn("b", F.col("id") % 3), path) == 100_002
+    assert reviews.load_csv(spark, path, "id long, b long").agg(F.count("*"), F.sum("id"), F.sum("b")).first() == (100_002, 100_002 * 100_001 // 2, 100_002)
+    rows = [(i, None if i % 5 == 0 else 'a "b",\nc' if i % 2 else " é", i / 3 if i % 4 else 1e-7, i % 3 == 0, dt.datetime(2024, 1, 1, 0, 0, i % 60)) for i in range(2500)]
+    assert outputs.save_spreadsheet(spark.createDataFrame(rows, "i int, t string, d double, b boolean, at timestamp_ntz").repartitionByRange(3, "i").sortWithinPartitions("i"), path) == 2500
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        assert list(csv.reader(f)) == [["i", "t", "d", "b", "at"], *[["" if v is None else str(v) for v in r] for r in rows]]
+    assert outputs.save_spreadsheet(spark.range(0), path) == 0 and (tmp_path / "big.csv").read_text(encoding="utf-8-sig") == "id\n"

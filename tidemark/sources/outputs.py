@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clean, topics
 from tidemark.schemas import SLIM_COLUMNS
+from tidemark.tables import new_path, remove
 
 BOM = "﻿"
 
@@ -33,20 +34,50 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def save_spreadsheet(df: DataFrame, path: str, most_rows: int = 100_000) -> int:
-    """One CSV file with a byte-order mark, for spreadsheets. Small tables only: ValueError beyond most_rows."""
+def save_spreadsheet(df: DataFrame, path: str) -> int:
+    """One CSV file with a byte-order mark, for spreadsheets; returns its rows.
+
+    Tasks write the lines; the driver copies their files, in the order of df's partitions, into the one file through a small buffer, so the table may have any size.
+    """
     import csv
     import io
 
-    rows = df.limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
-        raise ValueError(f"more than {most_rows} rows are no spreadsheet")
-    out = io.StringIO()
-    writer = csv.writer(out, lineterminator="\n")
-    writer.writerow(df.columns)
-    writer.writerows([["" if v is None else v for v in r] for r in rows])
-    save_text(df.sparkSession, BOM + out.getvalue(), path)
-    return len(rows)
+    spark, parts = df.sparkSession, new_path(df.sparkSession)
+    n = spark.sparkContext.accumulator(0)
+
+    def lines(rows):
+        out, held = io.StringIO(), 0
+        writer = csv.writer(out, lineterminator="\n")
+        for r in rows:
+            writer.writerow(["" if v is None else v for v in r])
+            held += 1
+            if held == 1000:
+                yield (out.getvalue()[:-1],)  # the text writer ends the line
+                n.add(held)
+                out.seek(out.truncate(0))
+                held = 0
+        if held:
+            yield (out.getvalue()[:-1],)
+            n.add(held)
+
+    spark.createDataFrame(df.rdd.mapPartitions(lines), "value string").write.text(parts)
+    head = io.StringIO()
+    csv.writer(head, lineterminator="\n").writerow(df.columns)
+    (fs, at), (shared, folder) = _fs(spark, path), _fs(spark, parts)
+    files = [f.getPath() for f in shared.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray((BOM + head.getvalue()).encode()))
+        for file in sorted(files, key=lambda f: int(f.getName().split("-")[1])):
+            part = shared.open(file)
+            try:
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, stream, 1 << 16, False)
+            finally:
+                part.close()
+    finally:
+        stream.close()
+    remove(spark, parts)
+    return n.value
 
 
 def save_text(spark: SparkSession, content: str, path: str) -> None:
