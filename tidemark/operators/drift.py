@@ -10,6 +10,11 @@ from tidemark.config import DRIFT_LABELS
 from tidemark.functions import decide, text
 
 
+def rounded(c: Column, digits: int = 4) -> Column:
+    """Half to even; what rounds to zero from below stays -0.0, which reports show."""
+    return F.when(c < 0, -F.bround(-c, digits)).otherwise(F.bround(c, digits))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays; 0 if one of them is all zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -77,14 +82,14 @@ def month_means(matrix: DataFrame) -> DataFrame:
 def outlier_months(matrix: DataFrame, drop: float = 0.05) -> DataFrame:
     """topic, outliers ARRAY<STRUCT<month, mean>>: months whose mean is more than drop below the topic's."""
     odd = month_means(matrix).join(mean_similarity(matrix), "topic").where(F.col("month_mean") < F.col("mean_cos") - drop)
-    found = odd.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("month", F.bround("month_mean", 4).alias("mean")))).alias("outliers"))
+    found = odd.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("month", rounded(F.col("month_mean")).alias("mean")))).alias("outliers"))
     return matrix.select("topic").distinct().join(found, "topic", "left").select("topic", F.coalesce("outliers", F.array()).alias("outliers"))
 
 
 def drift_table(semantic: DataFrame, lexical: DataFrame, t1: float = 0.95, t2: float = 0.60, labels: tuple[str, str, str, str] = DRIFT_LABELS) -> DataFrame:
     """topic, d1_mean, d2_mean (4 digits), pattern by the rounded means."""
-    d1 = mean_similarity(semantic).select("topic", F.bround("mean_cos", 4).alias("d1_mean"))
-    d2 = mean_similarity(lexical).select("topic", F.bround("mean_cos", 4).alias("d2_mean"))
+    d1 = mean_similarity(semantic).select("topic", rounded(F.col("mean_cos")).alias("d1_mean"))
+    d2 = mean_similarity(lexical).select("topic", rounded(F.col("mean_cos")).alias("d2_mean"))
     return d1.join(d2, "topic").withColumn("pattern", decide.drift_pattern(F.col("d1_mean"), F.col("d2_mean"), t1, t2, labels))
 
 
