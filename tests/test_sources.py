@@ -1,11 +1,12 @@
 import csv
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.config import APPS
 from tidemark.operators import assign
-from tidemark.plans import pipelines
+from tidemark.plans import catalog, pipelines
 from tidemark.sources import outputs, reviews
 from tidemark.streaming import reviews as stream
 
@@ -121,3 +122,37 @@ def test_spreadsheet_of_any_size(spark, tmp_path):
     with open(path, encoding="utf-8-sig", newline="") as f:
         assert list(csv.reader(f)) == [["i", "t", "d", "b", "at"], *[["" if v is None else str(v) for v in r] for r in rows]]
     assert outputs.save_spreadsheet(spark.range(0), path) == 0 and (tmp_path / "big.csv").read_text(encoding="utf-8-sig") == "id\n"
+
+
+def _order_rows(spark, path, days):
+    at = dt.datetime(1999, 1, 5)
+    rows = [(i, i % 4, at + dt.timedelta(days=d), f"{i % 5 + 1}-P", "O") for i, d in enumerate(days)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string").write.parquet(f"{path}/orders.parquet")
+
+
+def test_scrape_queries_page_without_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "PAGE", 3)
+    for case, days in {"past": [5, 1, 1, 1, 0, -5, -5, -5, -6, 400, 30], "whole pages": [3, 2, 1, -5, -6, -7], "none past": [4, 3, 2, 1], "all past": [-5, -9]}.items():
+        _order_rows(spark, tmp_path / case, days)
+        for name in ("scraped_reviews", "scrape_metadata", "scrape_report"):
+            if case == "all past" and name == "scrape_report":
+                continue  # nothing is written, so nothing can be read
+            got = [tuple(r) for r in getattr(catalog, name)(spark, str(tmp_path / case)).collect()]
+            want = duckdb.connect().execute(catalog.ORACLE[name].replace("4000", "3").replace("FROM orders", f"FROM '{tmp_path}/{case}/orders.parquet/*.parquet'")).fetchall()
+            assert sorted(got) == sorted(want), (case, name)
+    _order_rows(spark, tmp_path / "many", range(300))
+    spark.sparkContext.setJobGroup("many", "")
+    assert catalog.scraped_reviews(spark, str(tmp_path / "many")).count() == 300
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("many")) < 20  # 100 pages
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_table_is_paged_as_an_api_is(spark):
+    launch = dt.datetime(2024, 7, 5)
+    for n, zone in ((0, "UTC"), (5, "Asia/Jakarta"), (23, "America/New_York"), (23, "UTC")):
+        rows = [{"reviewId": f"{i:02}", "userName": "u", "score": i % 5, "content": "a b", "at": launch + dt.timedelta(hours=6 * (12 - i // 2))} for i in range(n)]
+        order = sorted(rows, key=lambda r: (r["at"], r["reviewId"]), reverse=True)
+        raw, meta = reviews.scrape_app(spark, lambda t, k: (order[t or 0 : (t or 0) + k], (t or 0) + k), "a", "A", launch, launch + dt.timedelta(days=2), launch, zone, batch=4, sleep=lambda s: None)  # noqa: B023
+        store = spark.createDataFrame([tuple(r.values()) for r in rows], "reviewId string, userName string, score int, content string, at timestamp")
+        raw2, meta2 = reviews.scrape_table(store, "a", "A", launch, launch + dt.timedelta(days=2), launch, zone, batch=4)
+        assert sorted(map(str, raw2.collect())) == sorted(map(str, raw.collect())) and meta2.collect() == meta.collect() and meta2.schema == meta.schema

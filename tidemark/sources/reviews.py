@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import reltime, text
 from tidemark.schemas import FETCHED, RAW_REVIEWS, SLANG_BASE, SLANG_EXT
-from tidemark.tables import new_path
+from tidemark.tables import materialise, new_path
 
 #: Fetched rows that the driver holds before it writes them.
 HELD_ROWS = 50_000
@@ -111,9 +111,24 @@ def shape_fetched(fetched: DataFrame, app_id: str, app_name: str, launch: dt.dat
     )
 
 
+def _utc_launch(launch: dt.datetime, timezone: str) -> dt.datetime:
+    return launch.replace(tzinfo=ZoneInfo(timezone)).astimezone(dt.UTC).replace(tzinfo=None)
+
+
+def _shaped(rows: DataFrame, pages: Paging, app_id: str, app_name: str, launch: dt.datetime, end: dt.datetime, scraped: dt.datetime, timezone: str) -> tuple[DataFrame, DataFrame]:
+    shaped = shape_fetched(rows, app_id, app_name, launch, end, scraped, timezone)
+    seen = rows.agg(F.min(reltime.to_local(F.col("at"), timezone)).alias("oldest_review_seen_wib"), F.max(reltime.to_local(F.col("at"), timezone)).alias("newest_review_seen_wib"))
+    kept = shaped.agg(F.count("*").cast("int").alias("total_in_window"))
+    meta = seen.join(F.broadcast(kept)).select(  # one row each
+        F.lit(app_name).alias("app_name"), F.lit(app_id).alias("app_id"), F.lit(pages.stop_reason).alias("stop_reason"), F.lit(pages.batches).alias("batches_fetched"), F.lit(pages.total).alias("total_raw_fetched"),
+        "total_in_window", "oldest_review_seen_wib", "newest_review_seen_wib", F.lit(launch).alias("launch_date_wib"), F.lit(end).alias("window_end_wib"),
+        F.coalesce(F.col("oldest_review_seen_wib") <= F.lit(launch), F.lit(False)).alias("reached_launch_date"),
+    )
+    return shaped, meta
+
+
 def scrape_app(spark: SparkSession, fetch, app_id: str, app_name: str, launch: dt.datetime, end: dt.datetime, scraped: dt.datetime, timezone: str = "Asia/Jakarta", **paging) -> tuple[DataFrame, DataFrame]:
     """(raw reviews in the window, one row of metadata). Fetched rows go to the shared folder, HELD_ROWS at a time."""
-    utc_launch = launch.replace(tzinfo=ZoneInfo(timezone)).astimezone(dt.UTC).replace(tzinfo=None)
     names, path, held = [c.split()[0] for c in FETCHED.split(", ")], new_path(spark), []
 
     def write() -> None:
@@ -125,18 +140,36 @@ def scrape_app(spark: SparkSession, fetch, app_id: str, app_name: str, launch: d
         if len(held) >= HELD_ROWS:
             write()
 
-    pages = fetch_pages(fetch, utc_launch, keep=keep, **paging)
+    pages = fetch_pages(fetch, _utc_launch(launch, timezone), keep=keep, **paging)
     write()
-    rows = spark.read.schema(FETCHED).parquet(path)
-    shaped = shape_fetched(rows, app_id, app_name, launch, end, scraped, timezone)
-    seen = rows.agg(F.min(reltime.to_local(F.col("at"), timezone)).alias("oldest_review_seen_wib"), F.max(reltime.to_local(F.col("at"), timezone)).alias("newest_review_seen_wib"))
-    kept = shaped.agg(F.count("*").cast("int").alias("total_in_window"))
-    meta = seen.join(F.broadcast(kept)).select(  # one row each
-        F.lit(app_name).alias("app_name"), F.lit(app_id).alias("app_id"), F.lit(pages.stop_reason).alias("stop_reason"), F.lit(pages.batches).alias("batches_fetched"), F.lit(pages.total).alias("total_raw_fetched"),
-        "total_in_window", "oldest_review_seen_wib", "newest_review_seen_wib", F.lit(launch).alias("launch_date_wib"), F.lit(end).alias("window_end_wib"),
-        F.coalesce(F.col("oldest_review_seen_wib") <= F.lit(launch), F.lit(False)).alias("reached_launch_date"),
-    )
-    return shaped, meta
+    return _shaped(spark.read.schema(FETCHED).parquet(path), pages, app_id, app_name, launch, end, scraped, timezone)
+
+
+def fetch_table(store: DataFrame, launch: dt.datetime, batch: int, tie: str) -> tuple[Paging, DataFrame]:
+    """What fetch_pages() sees of a store that is a table with "at", and the rows of its pages; no row passes through the driver.
+
+    Pages are newest first, ties by falling tie; rows without a time come last. The pages up to launch hold every row from launch on, and the last is filled
+    with the newest of the others: only these, at most batch, are put in order. There is no API to spare, so no limit of pages. Runs a job.
+    """
+    at = F.col("at").cast("timestamp_ntz")
+    from_launch = at >= F.lit(launch.isoformat(" ")).cast("timestamp_ntz")
+    seen = store.agg(F.count("*").alias("n"), F.count_if(from_launch).alias("newer"), F.count_if(~from_launch).alias("older"), F.min(at).alias("oldest"), F.max(at).alias("newest")).first()
+    if not seen.older:
+        return Paging("empty_batch", -(-seen.n // batch), seen.n, seen.oldest, seen.newest), store
+    batches = seen.newer // batch + 1  # the first row past launch ends its page
+    rest = min(batches * batch, seen.n) - seen.newer
+    last = store.where(~F.coalesce(from_launch, F.lit(False))).orderBy(F.desc_nulls_last("at"), F.desc(tie)).limit(rest)
+    rows = materialise(store.where(from_launch).unionByName(last))
+    oldest = rows.agg(F.min(at)).first()[0]
+    return Paging("reached_launch", batches, seen.newer + rest, oldest, seen.newest), rows
+
+
+def scrape_table(store: DataFrame, app_id: str, app_name: str, launch: dt.datetime, end: dt.datetime, scraped: dt.datetime, timezone: str = "Asia/Jakarta", batch: int = 200, tie: str = "reviewId") -> tuple[DataFrame, DataFrame]:
+    """scrape_app() of a store that is a table: columns of FETCHED (those it lacks are null) and tie. The same pages, stop and results; the work is shared by all tasks."""
+    pages, rows = fetch_table(store, _utc_launch(launch, timezone), batch, tie)
+    names = [c.split() for c in FETCHED.split(", ")]
+    rows = rows.select(*[(F.col(c) if c in store.columns else F.lit(None)).cast(kind).alias(c) for c, kind in names])
+    return _shaped(rows, pages, app_id, app_name, launch, end, scraped, timezone)
 
 
 def acquire(results: Iterable[tuple[DataFrame, DataFrame]], path: str, metadata_path: str) -> DataFrame | None:
