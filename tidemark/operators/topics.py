@@ -32,10 +32,10 @@ def term_counts(df: DataFrame, text_col: str, by: tuple[str, ...] = ("topic",),
 
 
 def prune_vocabulary(counts: DataFrame, min_df: int = 2, max_df: float = 0.95, topic: str = "topic") -> DataFrame:
-    """Terms of at least min_df topics and at most a share of max_df of all topics."""
+    """Terms of at least min_df topics and at most a share of max_df of all topics, with f: the term's total, which needs no second shuffle later (a term keeps all its topics or none)."""
     per = W.partitionBy("term")
     total = counts.agg(F.countDistinct(topic).alias("n_topics"))
-    made = counts.withColumn("df", F.count("*").over(per)).join(F.broadcast(total))  # one row
+    made = counts.withColumn("df", F.count("*").over(per)).withColumn("f", F.sum("tf").over(per)).join(F.broadcast(total))  # one row
     return made.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_topics"))).drop("df", "n_topics")
 
 
@@ -48,10 +48,11 @@ def _totals(counts: DataFrame, topic: str) -> DataFrame:
 def ctfidf(counts: DataFrame, topic: str = "topic") -> DataFrame:
     """topic, term, tf, weight = tf / topic's total * ln(1 + A / term's total); A: mean total of a topic, as a whole number.
 
-    Shuffles counts once, by term, which has at most a row per topic; so a large topic is spread over all tasks.
+    Shuffles counts once, by term, which has at most a row per topic; so a large topic is spread over all tasks. Not even once, if they have f, a term's total (prune_vocabulary()).
     """
     sizes = _totals(counts, topic).withColumnRenamed(topic, "_topic")
-    made = counts.withColumn("f", F.sum("tf").over(W.partitionBy("term"))).join(F.broadcast(sizes), F.col(topic).eqNullSafe(F.col("_topic")))
+    totals = counts if "f" in counts.columns else counts.withColumn("f", F.sum("tf").over(W.partitionBy("term")))
+    made = totals.join(F.broadcast(sizes), F.col(topic).eqNullSafe(F.col("_topic")))
     return made.select(topic, "term", "tf", (F.col("tf") / F.col("n") * F.log1p(F.col("a") / F.col("f"))).alias("weight"))
 
 
