@@ -5,15 +5,17 @@ import random
 from statistics import NormalDist, median
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from __spark_entry__ import SMOKE_DIR
 from tidemark.config import TECHNICAL
-from tidemark.functions import decide
-from tidemark.operators import coherence, drift, sampling, series, topics, trend, validation
+from tidemark.functions import decide, words
+from tidemark.operators import coherence, counting, drift, sampling, series, topics, trend, validation
 from tidemark.plans import catalog
 
 
@@ -231,3 +233,35 @@ def test_weights_shuffle_no_pruned_counts_again(spark):
     made = topics.ctfidf(kept)
     assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(made.collect()) == sorted(topics.ctfidf(kept.drop("f")).collect())
+
+
+def term_rows(rng, n):
+    gaps = [" ", "  ", "\n", "\t", " ", " ", "\u0085"]
+    rows = [(i, rng.choice([0, 1, 2, None]), rng.choice(["x", "y", None]), "".join(rng.choice(["a", "b", "the", "é", "\x1c", "d"]) + rng.choice(gaps) for _ in range(rng.randrange(9)))) for i in range(n)]
+    return [*rows, (n, 1, "x", None), (n + 1, 3, "x", ""), (n + 2, 2, "y", "the the"), (None, 2, "y", "only once")]
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 1 << 24])
+def test_terms_are_counted_in_batches(spark, slice_bytes, monkeypatch):
+    rows = term_rows(random.Random(3), 200)
+    df = spark.createDataFrame(rows, "k int, topic int, s string, t string").repartition(3)
+    for by, stop, bigrams in ((("topic",), None, True), (("topic", "s"), ["the", "é"], True), (("s",), ["a"], False), ((), None, True)):
+        want = {tuple(r) for r in topics.terms(df, "t", by, stop, bigrams).groupBy(*by, "term").agg(F.count("*").alias("tf")).collect()}
+        assert {tuple(r) for r in topics.term_counts(df, "t", by, stop, bigrams).collect()} == want
+    batch = pa.record_batch({"t": pa.array([r[3] for r in rows])})
+    monkeypatch.setattr(words, "SLICE_BYTES", slice_bytes)
+    assert [r for a, b in words.slices(batch.column(0)) for r in range(a, b)] == list(range(len(rows)))
+
+
+@pytest.mark.parametrize("stop", [None, ["the"]])
+def test_pruned_counts_in_one_shuffle(spark, stop, monkeypatch):
+    df = spark.createDataFrame(term_rows(random.Random(4), 200), "k int, topic int, s string, t string").repartition(3)
+    monkeypatch.setattr(counting, "TASK_BYTES", 100)
+    for least, share in ((2, 0.95), (1, 0.4), (3, 1.0)):
+        want = topics.prune_vocabulary(topics.term_counts(df, "t", stopwords=stop), least, share)
+        got = topics.pruned_counts(df, "t", least, share, stopwords=stop)
+        assert {tuple(r) for r in got.select(*want.columns).collect()} == {tuple(r) for r in want.collect()}
+        assert all(r.df == n for r, n in ((r, r.n) for r in got.withColumn("n", F.count("*").over(Window.partitionBy("term"))).collect()))
+    plan = counting.pruned_counts(df, "t", "topic", stop, True, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan
+    assert topics.pruned_counts(df.limit(0), "t").count() == 0

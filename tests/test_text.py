@@ -1,12 +1,13 @@
 """Normalisation, lexicon, relative time: the traps of the parity ledger."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import APPS, stopwords
-from tidemark.functions import decide, reltime, text
+from tidemark.functions import decide, reltime, text, words
 from tidemark.operators import clean, lexicon, topics
 
 CASES = [
@@ -117,3 +118,15 @@ def test_slang_is_the_same_for_all_sizes(spark, most, monkeypatch):
     got = sorted(((r.id, r.t, r.slang_changed, r.word_count_after) for r in lexicon.normalize_slang(df, words, "id", "t").collect()), key=str)
     want = [(1, "tidak bisa", True, 2), (1, "tidak bisa", True, 2), (1, "transfer uang tidak transfer uang", True, 5), (None, "tidak", True, 1), (2, "", False, 0), (3, "", False, 0), (4, "kata 0 kata 25 zz", True, 5)]
     assert got == sorted(want, key=str)
+
+
+def test_normalisation_in_batches_is_the_expression(spark):
+    rng = random.Random(7)
+    plain = [*"aabbcxdvpoilnetorg  \n\t\r..//::;=8-^<3()[]{}@|\\'*_!?,#012389éÉßÄÿÑ¿«–’…€", "www.", "http://x", ".com", ".co.id", "xD", "XD", "aaa", "111", "..."]
+    odd = ["ſ", "ı", "İ", "K", "²", "ª", " ", "\x1c", "\x85", "̇", "😀", "Σ", " ", "\x0b"]
+    rows = [(i, "".join(rng.choice(plain if i % 4 else plain + odd) for _ in range(rng.randrange(50)))) for i in range(3000)] + [(-1, None), (-2, ""), (-3, " \n"), (-4, "a" * 100_000)]
+    df = spark.createDataFrame(rows, "i long, t string")
+    made = df.select("t", text.normalize_text(F.col("t")).alias("a"), words.normalize_text(F.col("t")).alias("b"))
+    assert made.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == [] and made.count() == len(rows)
+    empty = clean.apply_normalization(df.limit(0), "t", "c")
+    assert empty.count() == 0 and "ArrowEvalPython" in clean.apply_normalization(df, "t", "c")._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.tables import materialise, release, shared_dir, spread, table
+from tidemark.tables import lean, materialise, release, shared_dir, spread, table
 
 __all__ = ["WORD", "hot_join", "lean", "literal_rows", "materialise", "release", "shared_dir", "spread", "table", "tidy", "word_count"]
 
@@ -55,16 +55,6 @@ def tidy(*forget):
     return wrap
 
 
-def lean(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of so many rows, where the session has Spark's default of 10,000: whole texts are long, and several copies of a batch are alive at once.
-
-    The setting stays, as lazy results are computed later; any other value that the caller has set is left alone.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-
-
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", most: int = 512, broadcast_keys: int = 50_000) -> DataFrame:
     """left joined ("inner" or "left") with right, which has one row a key and in ``rows`` (dropped) how many rows of left have that key. right is read up to four times and should be materialised.
 

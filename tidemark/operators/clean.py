@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import reltime, text
+from tidemark.functions import reltime, text, words
 from tidemark.schemas import require
 
 
@@ -46,7 +46,7 @@ def duplicate_texts(df: DataFrame, text: str = "review_text", n: int = 5) -> Dat
 
 def apply_normalization(df: DataFrame, text_col: str = "review_text", output: str = "review_text_cleaned") -> DataFrame:
     require(df, text_col)
-    return df.withColumn(output, text.normalize_text(F.col(text_col))).withColumn("word_count_after", text.token_count(F.col(output)))
+    return df.withColumn(output, words.normalize_text(F.col(text_col))).withColumn("word_count_after", text.token_count(F.col(output)))
 
 
 def filter_short(df: DataFrame, text_col: str = "review_text_cleaned", min_words: int = 5) -> DataFrame:

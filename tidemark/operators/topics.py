@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators import counting
 from tidemark.tables import materialise
 
 
@@ -28,7 +29,14 @@ def terms(df: DataFrame, text_col: str, keep: tuple[str, ...], stopwords: list[s
 
 
 def term_counts(df: DataFrame, text_col: str, by: tuple[str, ...] = ("topic",), stopwords: list[str] | None = None, bigrams: bool = True) -> DataFrame:
-    return terms(df, text_col, by, stopwords, bigrams).groupBy(*by, "term").agg(F.count("*").alias("tf"))
+    return counting.part_counts(df, text_col, by, stopwords, bigrams).groupBy(*by, "term").agg(F.sum("tf").alias("tf"))
+
+
+def pruned_counts(df: DataFrame, text_col: str, min_df: int = 2, max_df: float = 0.95, topic: str = "topic", stopwords: list[str] | None = None, bigrams: bool = True) -> DataFrame:
+    """prune_vocabulary() of term_counts(), with df as well, in one shuffle of the counts. Runs jobs: the terms of min_df topics are written once, as the number of topics is known after."""
+    made = materialise(counting.pruned_counts(df, text_col, topic, stopwords, bigrams, min_df))
+    total = made.where(F.col("term").isNull()).agg(F.countDistinct(topic).alias("n_topics"))
+    return made.where(F.col("term").isNotNull()).join(F.broadcast(total)).where(F.col("df") <= max_df * F.col("n_topics")).drop("n_topics")  # one row
 
 
 def prune_vocabulary(counts: DataFrame, min_df: int = 2, max_df: float = 0.95, topic: str = "topic") -> DataFrame:
