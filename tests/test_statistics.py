@@ -265,3 +265,15 @@ def test_pruned_counts_in_one_shuffle(spark, stop, monkeypatch):
     plan = counting.pruned_counts(df, "t", "topic", stop, True, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan
     assert topics.pruned_counts(df.limit(0), "t").count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 2_000])
+def test_window_counts_of_many_and_few_words(spark, dense, monkeypatch):
+    monkeypatch.setattr(coherence, "MOST_DENSE", dense)
+    rng = random.Random(dense)
+    texts = [" ".join(rng.choice("a b c d e".split()) for _ in range(rng.randrange(30))) for _ in range(30)] + [None, "", "a b\n\tc"]
+    chosen = [(0, "a"), (0, "b"), (3, "b"), (3, "c"), (3, "zz")]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(2)
+    both, total = coherence.window_counts(df, spark.createDataFrame(chosen, "topic int, term string"), "k", "t", 5)
+    want, n = plain_windows(texts, chosen, 5)
+    assert {(r.topic, r.w1, r.w2): r.n for r in both.collect()} == want and total.first().n_windows == n

@@ -10,20 +10,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions.words import slices
+from tidemark.operators.counting import coded_tokens
 from tidemark.tables import materialise
 
 EPSILON = 1e-12
 #: Top words of all topics up to which tasks hold them and their pair counts.
 MOST_WORDS = 200_000
+#: Top words of all topics up to which a task counts all pairs at once, of any topics.
+MOST_DENSE = 2_000
 
 
-def covered(places: np.ndarray, window: int, n_windows: int) -> np.ndarray:
-    """Which windows, numbered by their first place, hold one of a word's places."""
-    edge = np.zeros(n_windows + 1, np.int64)
-    np.add.at(edge, np.maximum(places - window + 1, 0), 1)
-    np.add.at(edge, np.minimum(places, n_windows - 1) + 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+def covered(word: np.ndarray, places: np.ndarray, window: int, n_windows: int, n_words: int) -> np.ndarray:
+    """A row per word: which windows, numbered by their first place, hold one of its places."""
+    row = word * (n_windows + 1)
+    edge = np.bincount(row + np.maximum(places - window + 1, 0), minlength=n_words * (n_windows + 1)) - np.bincount(row + np.minimum(places, n_windows - 1) + 1, minlength=n_words * (n_windows + 1))
+    return np.cumsum(edge.reshape(n_words, -1)[:, :-1], axis=1) > 0
 
 
 def window_counts(df: DataFrame, words: DataFrame, key: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
@@ -40,34 +42,39 @@ def window_counts(df: DataFrame, words: DataFrame, key: str, text_col: str, wind
     for topic, term in rows:
         own.setdefault(topic, []).append(code[term])
 
+    dense = len(terms) <= MOST_DENSE
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, both = 0, {topic: np.zeros((len(c), len(c)), np.int64) for topic, c in own.items()}
-        known = pa.array(terms, pa.string())
-        for b in batches:
-            size = pc.list_value_length(b.column(0)).to_numpy(zero_copy_only=False)
-            found = pc.index_in(b.column(0).flatten(), value_set=known).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(size)
-            for n, end in zip(size.tolist(), ends.tolist()):
-                last = max(n - window + 1, 1)
-                total += last
-                mine = found[end - n : end]
-                at = np.flatnonzero(~np.isnan(mine)) if mine.dtype.kind == "f" else np.arange(n)
-                if not len(at):
+        total, known = 0, pa.array(terms, pa.string())
+        every = np.zeros((len(terms), len(terms)) if dense else (0, 0), np.int64)
+        both = {} if dense else {topic: np.zeros((len(c), len(c)), np.int64) for topic, c in own.items()}
+        for texts in (b.column(0).slice(i, j - i) for b in batches for i, j in slices(b.column(0))):
+            spelled, codes, begins = coded_tokens(texts)
+            size = np.diff(begins)
+            lasts = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+            total += int(lasts.sum())
+            mine = pc.fill_null(pc.index_in(spelled, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            hit = np.flatnonzero(mine >= 0)
+            doc, first = np.unique(np.searchsorted(begins, hit, "right") - 1, return_index=True)
+            for d, at in zip(doc.tolist(), np.split(hit, first[1:])):
+                present, word = np.unique(mine[at], return_inverse=True)
+                held = covered(word, at - begins[d], window, int(lasts[d]), len(present))
+                x = held.astype(np.float32 if lasts[d] < 1 << 24 else np.float64)
+                if dense:
+                    every[np.ix_(present, present)] += np.rint(x @ x.T).astype(np.int64)
                     continue
-                order = np.argsort(mine[at], kind="stable")
-                codes, first = np.unique(mine[at][order].astype(np.int64), return_index=True)
-                held = np.array([covered(p, window, last) for p in np.split(at[order], first[1:])], np.float32)
                 for topic, wanted in own.items():
-                    _, mine_, theirs = np.intersect1d(codes, wanted, assume_unique=True, return_indices=True)
+                    _, mine_, theirs = np.intersect1d(present, wanted, assume_unique=True, return_indices=True)
                     if len(mine_):
-                        x = held[mine_]
-                        both[topic][np.ix_(theirs, theirs)] += np.rint(x @ x.T).astype(np.int64)
+                        y = x[mine_]
+                        both[topic][np.ix_(theirs, theirs)] += np.rint(y @ y.T).astype(np.int64)
+        if dense:
+            both = {topic: every[np.ix_(c, c)] for topic, c in own.items()}
         out = [(topic, terms[c[i]], terms[c[j]], int(m[i, j])) for topic, c in own.items() for m in [both[topic]] for i, j in zip(*np.nonzero(m))]
         out.append((None, None, None, total))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["topic", "w1", "w2", "n"])
 
-    t = df.select(text.tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    sent = materialise(t.mapInArrow(work, "topic long, w1 string, w2 string, n long"))
+    sent = materialise(df.select(text_col).mapInArrow(work, "topic long, w1 string, w2 string, n long"))
     sent = sent.withColumn("topic", F.col("topic").cast(words.schema["topic"].dataType))
     counts = sent.where(F.col("w1").isNotNull()).groupBy("topic", "w1", "w2").agg(F.sum("n").alias("n"))
     return counts, sent.where(F.col("w1").isNull()).agg(F.sum("n").alias("n_windows"))
