@@ -130,3 +130,15 @@ def test_normalisation_in_batches_is_the_expression(spark):
     assert made.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == [] and made.count() == len(rows)
     empty = clean.apply_normalization(df.limit(0), "t", "c")
     assert empty.count() == 0 and "ArrowEvalPython" in clean.apply_normalization(df, "t", "c")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_send_their_text_once(spark):
+    df = spark.createDataFrame([(2, "a", "x"), (1, "a", "y"), (None, "a", "z"), (5, None, "u"), (4, None, None), (6, "", "v")], "k int, t string, o string")
+    made = clean.drop_exact_duplicates(df, "t", ("k",))
+    assert made.columns == df.columns and {tuple(r) for r in made.collect()} == {(1, "a", "y"), (4, None, None), (6, "", "v")}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "k, k#" in plan and ", t, t#" not in plan
+    assert clean.drop_exact_duplicates(df.select("t"), "t", ("t",)).count() == 3
+    top = clean.token_frequencies(df.withColumn("t", F.concat_ws(" ", "t", "t", "o")), "t", 1, ("o",))
+    assert "Generate" not in top._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.o, r.token, r["count"]) for r in top.collect()} == {("x", "a", 2), ("y", "a", 2), ("z", "a", 2), ("u", "u", 1), ("v", "v", 1)}

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import reltime, text, words
+from tidemark.operators import counting
 from tidemark.schemas import require
 
 
@@ -35,8 +36,8 @@ def add_relative_time(df: DataFrame, launch: dt.date | str, date: str = "date_wi
 def drop_exact_duplicates(df: DataFrame, text: str = "review_text", order: tuple[str, ...] = ("date_wib", "review_id")) -> DataFrame:
     """The first row, by order, of each text; null texts are equal. One aggregation, which combines before the shuffle, so hot texts are not gathered."""
     require(df, text, *order)
-    first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order]))
-    return df.groupBy(F.col(text).alias("_text")).agg(first.alias("_row")).select("_row.*")
+    first = F.min_by(F.struct(*[F.col(c) for c in df.columns if c != text], F.lit(0)), F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order]))
+    return df.groupBy(text).agg(first.alias("_row")).select(*[text if c == text else F.col("_row")[c].alias(c) for c in df.columns])  # the text travels once
 
 
 def duplicate_texts(df: DataFrame, text: str = "review_text", n: int = 5) -> DataFrame:
@@ -102,7 +103,7 @@ def null_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 def token_frequencies(df: DataFrame, text_col: str, n: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
     """The n most frequent tokens, of each group if by is given; ties by token."""
-    counted = df.select(*by, F.explode(text.tokens(F.col(text_col))).alias("token")).groupBy(*by, "token").count()
+    counted = counting.part_counts(df, text_col, by, bigrams=False).groupBy(*by, F.col("term").alias("token")).agg(F.sum("tf").alias("count"))
     if not by:
         return counted.orderBy(F.desc("count"), "token").limit(n)
     return counted.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("count"), "token"))).where(F.col("rank") <= n)
