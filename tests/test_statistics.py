@@ -277,3 +277,21 @@ def test_window_counts_of_many_and_few_words(spark, dense, monkeypatch):
     both, total = coherence.window_counts(df, spark.createDataFrame(chosen, "topic int, term string"), "k", "t", 5)
     want, n = plain_windows(texts, chosen, 5)
     assert {(r.topic, r.w1, r.w2): r.n for r in both.collect()} == want and total.first().n_windows == n
+
+
+def test_representative_documents_by_hand(spark):
+    rows = [(1, 0, "a a b"), (2, 0, "b c"), (2, 0, "c c"), (3, 0, None), (4, 0, "zz"), (5, 1, "a"), (6, 1, "c b"), (None, 0, "a b c"), (7, None, "a")]
+    df = spark.createDataFrame(rows, "k int, topic int, t string").repartition(3)
+    weights = [(0, "a", 2, 0.6), (0, "b", 2, 0.3), (0, "c", 3, 0.9), (1, "a", 1, 0.2), (1, "b", 1, 0.5)]
+    made = topics.representative_documents(df, spark.createDataFrame(weights, "topic int, term string, tf long, weight double"), "k", "t", 9)
+    docs, want = {}, {}
+    for k, topic, t in rows:
+        docs.setdefault((topic, k), []).extend((t or "").split())
+    w = {(topic, term): (tf, x) for topic, term, tf, x in weights}
+    for (topic, k), words_ in docs.items():
+        own = {t: words_.count(t) * w[topic, t][1] / w[topic, t][0] for t in set(words_) if (topic, t) in w}
+        if own:
+            size = math.sqrt(sum(x * x for (a, _), (_, x) in w.items() if a == topic))
+            want[topic, k] = sum(v * w[topic, t][1] for t, v in own.items()) / math.sqrt(sum(v * v for v in own.values())) / size
+    assert {(r.topic, r.k): r.similarity for r in made.collect()} == pytest.approx(want)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()

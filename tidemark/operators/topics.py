@@ -103,7 +103,8 @@ def with_labels(df: DataFrame, labels: dict[int, str], topic: str = "topic", pre
 
 def representative_documents(df: DataFrame, weights: DataFrame, key: str, text_col: str, n: int = 3, bigrams: bool = False, digits: int = 9) -> DataFrame:
     """topic, rank, key, similarity: a topic's documents whose weighted terms are nearest to the topic's by cosine."""
-    each = terms(df, text_col, (key, "topic"), bigrams=bigrams).groupBy(key, "topic", "term").agg(F.count("*").alias("c"))
+    # one shuffle, by which the counts are added and joined: a row per document that holds a topic's term
+    each = counting.part_counts(df, text_col, (key, "topic"), bigrams=bigrams).repartition("topic", "term").groupBy(key, "topic", "term").agg(F.sum("tf").alias("c"))
     idf = weights.select("topic", "term", "weight", (F.col("weight") / F.col("tf")).alias("unit"))
     met = each.join(idf, ["topic", "term"])
     size = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("topic_norm"))
