@@ -5,6 +5,7 @@ import random
 from statistics import NormalDist, median
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -16,7 +17,7 @@ from __spark_entry__ import SMOKE_DIR
 from tidemark.config import TECHNICAL
 from tidemark.functions import decide, words
 from tidemark.operators import coherence, counting, drift, sampling, series, topics, trend, validation
-from tidemark.plans import catalog
+from tidemark.plans import catalog, pipelines
 
 
 def plain_hamed_rao(x, alpha=0.05):
@@ -295,3 +296,58 @@ def test_representative_documents_by_hand(spark):
             want[topic, k] = sum(v * w[topic, t][1] for t, v in own.items()) / math.sqrt(sum(v * v for v in own.values())) / size
     assert {(r.topic, r.k): r.similarity for r in made.collect()} == pytest.approx(want)
     assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def few_bytes(monkeypatch):
+    """Many tasks and blocks on little text."""
+    monkeypatch.setattr(counting, "TASK_BYTES", 100)
+    monkeypatch.setattr(counting, "BLOCK_ROWS", 5)
+
+
+@pytest.mark.parametrize("stop", [None, ["the"]])
+def test_top_words_of_pruned_counts_by_blocks(spark, stop, monkeypatch):
+    few_bytes(monkeypatch)
+    rows = [*term_rows(random.Random(8), 200), (0, -1, "x", "a a b the"), (0, 4, "y", "zz zz d"), (0, 5, "y", "zz b")]
+    df = spark.createDataFrame(rows, "k int, topic int, s string, t string").repartition(3)
+    for least, share, n in ((2, 0.95, 3), (1, 0.5, 4), (3, 1.0, 100), (9, 1.0, 2)):
+        want = topics.top_words(topics.ctfidf(topics.prune_vocabulary(topics.term_counts(df, "t", stopwords=stop), least, share)), n)
+        got = topics.pruned_top_words(df, "t", n, least, share, stopwords=stop)
+        assert got.columns == want.columns
+        assert {tuple(r)[:3]: r.weight for r in got.collect()} == pytest.approx({tuple(r)[:3]: r.weight for r in want.collect()})
+    assert topics.pruned_top_words(df.limit(0), "t").count() == 0
+    made = pipelines.refit_words(df, "t", stop or [], 5)
+    assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.topic for r in made.collect()} <= {0, 1, 2, 3, 4, 5}
+
+
+def test_counts_meet_in_blocks(spark, monkeypatch):
+    """A row per batch and task, not per term; a term's counts in one partition; other than by one key's sort where numbers are too large for it."""
+    df = spark.createDataFrame([(i % 3, " ".join(f"w{(i * 7 + j * j) % 400}" for j in range(60))) for i in range(300)], "topic int, t string").repartition(2)
+    monkeypatch.setattr(counting, "TASK_BYTES", 20_000)
+    parts, _ = counting.met_counts(df, "t", ("topic",))
+    n = parts.rdd.getNumPartitions()
+    assert parts.count() <= 2 * n < topics.term_counts(df, "t").count() / 50
+    assert sorted(r.p for r in spark.createDataFrame([(k,) for k in counting.even_keys(spark, 50)], "k long").repartition(50, "k").select(F.spark_partition_id().alias("p")).collect()) == list(range(50))
+    rng = np.random.default_rng(5)
+    codes, tf = [rng.integers(0, 3, 500) for _ in range(3)], rng.integers(1, 9, 500)
+    for n_ in (None, tf):
+        made, total = counting._summed(codes, n_)
+        far, same = counting._summed([c * (1 << 30) for c in codes], n_)
+        assert total.tolist() == same.tolist() and [(c * (1 << 30)).tolist() for c in made] == [c.tolist() for c in far]
+    assert dict(zip(zip(*(c.tolist() for c in made), strict=True), total.tolist(), strict=True)) == {k: int(sum(t for *x, t in zip(*codes, tf, strict=True) if tuple(x) == k)) for k in zip(*(c.tolist() for c in codes), strict=True)}
+
+
+def test_batches_are_gathered(monkeypatch):
+    monkeypatch.setattr(words, "SLICE_BYTES", 10)
+    texts = ["aaaa", None, "bbbb", "cc", "", "d" * 30, "e", "f"]
+    batches = [pa.record_batch({"t": pa.array(texts[a : a + 3], pa.string()), "i": pa.array(range(a, min(a + 3, 8)))}) for a in (0, 3, 6)]
+    made = list(counting._gathered(iter(batches), 0))
+    assert [b.column(0).to_pylist() for b in made] == [texts[:5], texts[5:6], texts[6:]] and [i for b in made for i in b.column(1).to_pylist()] == list(range(8))
+    assert list(counting._gathered(iter([]), 0)) == []
+
+
+def test_best_keeps_ties_of_rounded_values():
+    best = counting.Best(2, 2, 3)
+    assert best.may_be(np.array([0, 0, 0, 1]), np.array([0.5, 0.4, 0.1, 0.1])).tolist() in ([0, 1, 3], [1, 0, 3])
+    assert best.may_be(np.array([0, 0, 0]), np.array([0.3996, 0.39, 0.4004])).tolist() == [0, 2]
+    assert best.may_be(np.array([], int), np.array([])).tolist() == []

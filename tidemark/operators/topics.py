@@ -6,9 +6,16 @@ Tables of a row per topic are broadcast: topics are at most some thousands, what
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidemark.functions import text
 from tidemark.operators import counting
@@ -71,6 +78,33 @@ def top_words(weights: DataFrame, n: int = 10, by: tuple[str, ...] = ("topic",),
     return rows.withColumn("rank", order).where(F.col("rank") <= n).select(*by, "rank", "term", "weight")
 
 
+def pruned_top_words(df: DataFrame, text_col: str, n: int = 10, min_df: int = 2, max_df: float = 0.95, topic: str = "topic", stopwords: list[str] | None = None, bigrams: bool = True, digits: int = 12) -> DataFrame:
+    """top_words() of ctfidf() of pruned_counts(), without a row per term: weights are computed block by block, and a task sends on what may be among a topic's n. Runs jobs: the blocks are written once, the totals, a row per topic, come to the driver."""
+    made = materialise(counting.met_blocks(df, text_col, (topic,), stopwords, bigrams, min_df))
+    own = f"own_{topic}"
+    totals = made.where(F.col("numbers").isNull()).groupBy(own, "df").agg(F.sum("n").alias("n"))
+    most = totals.agg(F.countDistinct(own)).first()[0] * max_df
+    sizes = totals.where((F.col("df") > 0) & (F.col("df") <= most)).groupBy(own).agg(F.sum("n").alias("n")).collect()  # a row per topic
+    of, size = [r[0] for r in sizes], np.array([r[1] for r in sizes], np.float64)
+    mean = math.floor(sum(r[1] for r in sizes) / len(sizes)) if sizes else 0
+    wanted = np.array([t is not None and t != -1 for t in of], bool)
+    schema = StructType([df.schema[topic], StructField("term", StringType()), StructField("weight", DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = counting.Best(len(of), n, digits)
+        for words, (values,), group, first, second, tf, df_, f in counting.read_blocks(batches, 1):
+            known = pc.fill_null(pc.index_in(values, value_set=pa.array(of, values.type)), -1).to_numpy()
+            cell = known[group]
+            at = np.flatnonzero((df_ <= most) & (cell >= 0))
+            at = at[wanted[cell[at]]]
+            weight = tf[at] / size[cell[at]] * np.log1p(mean / f[at])
+            kept = best.may_be(cell[at], weight)
+            at = at[kept]
+            yield pa.RecordBatch.from_arrays([values.take(pa.array(group[at])), counting.Blocks.spelled(words, first[at], second[at]), pa.array(weight[kept])], schema.names)
+
+    return top_words(made.where(F.col("numbers").isNotNull()).select(*made.columns[:3]).mapInArrow(work, schema), n, (topic,), digits)
+
+
 def topic_info(df: DataFrame, words: DataFrame, n: int = 4, topic: str = "topic") -> DataFrame:
     """topic, count, name: the id and the first words."""
     names = words.where(F.col("rank") <= n).groupBy(topic).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), "_").alias("w"))

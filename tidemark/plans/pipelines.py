@@ -65,5 +65,4 @@ def analyse(docs: DataFrame, app: AppConfig, text_col: str = "review_text_cleane
 
 def refit_words(docs: DataFrame, text_col: str, stopwords: list[str], n: int = 10) -> DataFrame:
     """Topic words with a longer stop list; assignments don't change."""
-    counts = topics.pruned_counts(docs.where("topic <> -1"), text_col, stopwords=stopwords)
-    return topics.top_words(topics.ctfidf(counts), n)
+    return topics.pruned_top_words(docs.where("topic <> -1"), text_col, n, stopwords=stopwords)
