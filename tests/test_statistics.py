@@ -351,3 +351,36 @@ def test_best_keeps_ties_of_rounded_values():
     assert best.may_be(np.array([0, 0, 0, 1]), np.array([0.5, 0.4, 0.1, 0.1])).tolist() in ([0, 1, 3], [1, 0, 3])
     assert best.may_be(np.array([0, 0, 0]), np.array([0.3996, 0.39, 0.4004])).tolist() == [0, 2]
     assert best.may_be(np.array([], int), np.array([])).tolist() == []
+
+
+@pytest.mark.parametrize(("evolution", "overall"), [(True, True), (True, False), (False, True), (False, False)])
+def test_topics_over_time_by_blocks(spark, evolution, overall, monkeypatch):
+    few_bytes(monkeypatch)
+    rng = random.Random(12)
+    rows = [(rng.choice([0, 1, 2, 2, -1, None]), rng.choice([1, 2, 3, 5, 6, 9, None]), " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(7)))) for _ in range(60)]
+    rows += [(4, 2, ""), (5, 7, "a h"), (5, 8, None), (5, 9, "h h h"), (6, None, "b"), (1, 30, "the")]
+    df = spark.createDataFrame(rows, "topic int, relative_month int, t string").repartition(3)
+    tf, texts = {}, {}
+    for t, m, x in rows:
+        if t is not None and t != -1:
+            texts[t, m] = texts.get((t, m), 0) + 1
+            for w in (x or "").split():
+                if w != "the":
+                    tf[t, m, w] = tf.get((t, m, w), 0) + 1
+    size, cell, whole, f = {}, {}, {}, {}
+    for (t, m, w), n in tf.items():
+        for where, k in ((size, t), (cell, (t, m)), (whole, (t, w)), (f, w)):
+            where[k] = where.get(k, 0) + n
+    mean, want = sum(size.values()) // len(size), {}
+    for (t, w), n in whole.items():
+        idf, last = math.log1p(mean / f[w]), None
+        for m in sorted(m for k, m in texts if k == t and m is not None):
+            x = tf.get((t, m, w), 0) / cell.get((t, m), 1) * idf
+            x = (x + last[1]) / 2 if evolution and last and last[0] == m - 1 else x
+            x = (n / size[t] * idf + x) / 2 if overall else x
+            last = m, x
+            want.setdefault((t, m), []).append((-round(x, 12), w))
+    made = topics.topics_over_time(df, "t", n_words=3, evolution=evolution, overall=overall, stopwords=["the"])
+    assert {(r.topic, r.month): (r.freq, r.words) for r in made.collect()} == {k: (n, [w for _, w in sorted(want[k])[:3]] if k in want else None) for k, n in texts.items()}
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert topics.topics_over_time(df.limit(0), "t").count() == 0

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from tidemark.functions import text
 from tidemark.operators import counting
@@ -151,32 +151,68 @@ def representative_documents(df: DataFrame, weights: DataFrame, key: str, text_c
 def topics_over_time(df: DataFrame, text_col: str, month: str = "relative_month", n_words: int = 5, evolution: bool = True, overall: bool = True, stopwords: list[str] | None = None, bigrams: bool = False, digits: int = 12) -> DataFrame:
     """topic, month, freq, words (best first): class-based TF-IDF per month with the whole corpus's vocabulary and idf.
 
-    Runs a job: the counts, which all parts read, are written once; they are shuffled once, by term. evolution averages a month's weights with the month before, if the topic had one; overall then averages them with the topic's own. Both
-    run over the array of a term's months, at most as many as there are months.
+    Runs jobs: the counts, which all parts read, are written once, in blocks of whole terms; totals and months of the topics come to the driver. evolution averages a month's weights with the month before, if the topic had one; overall then
+    averages them with the topic's own. Both run over a block's terms at once, month by month, and a task sends on what may be among a month's n_words.
     """
-    counts = materialise(term_counts(df.where(F.col("topic") != -1), text_col, ("topic", month), stopwords, bigrams).withColumnRenamed(month, "month"))
-    sizes = counts.groupBy("topic", "month").agg(F.sum("tf").alias("n")).groupBy("topic").agg(F.map_from_entries(F.collect_list(F.struct(F.col("month").cast("int"), "n"))).alias("n_by_month"))
-    present = df.where(F.col("topic") != -1).groupBy("topic").agg(F.array_sort(F.collect_set(F.col(month).cast("int"))).alias("months"))
-    # one shuffle, by term: at most a row per topic and month
-    own = counts.repartition("term").groupBy("term", "topic").agg(F.map_from_entries(F.collect_list(F.struct(F.col("month").cast("int"), "tf"))).alias("tf_by_month"), F.sum("tf").alias("tf"))
-    own = own.withColumn("f", F.sum("tf").over(W.partitionBy("term")))
-    for small in (_totals(counts, "topic"), sizes, present):  # a row per topic
-        own = own.join(F.broadcast(small), "topic")
-    idf = F.log1p(F.col("a") / F.col("f"))
-    by_month = F.transform_values("tf_by_month", lambda m, tf: tf / F.element_at("n_by_month", m) * F.col("idf"))
-    own = own.withColumn("idf", idf).select("topic", "term", "months", by_month.alias("by_month"), (F.col("tf") / F.col("n") * F.col("idf")).alias("weight"))
-
-    def step(state, m):
-        w = F.coalesce(F.try_element_at(F.col("by_month"), m), F.lit(0.0))
-        if evolution:
-            w = F.when(state["at"] == m - 1, (w + state["w"]) / 2).otherwise(w)
-        if overall:
-            w = (F.col("weight") + w) / 2
-        return F.struct(m.alias("at"), w.alias("w"), F.concat(state["out"], F.array(F.struct(m.alias("month"), w.alias("w")))).alias("out"))
-
-    start = F.struct(F.lit(-9).alias("at"), F.lit(0.0).alias("w"), F.array().cast("array<struct<month: int, w: double>>").alias("out"))
-    tuned = own.select("topic", "term", F.inline(F.aggregate("months", start, step, lambda s: s["out"])))
-    best = tuned.withColumn("rank", F.row_number().over(W.partitionBy("topic", "month").orderBy(F.desc(F.round("w", digits)), "term"))).where(F.col("rank") <= n_words)
+    rows = df.where(F.col("topic") != -1).withColumn("_month", F.col(month).cast("int"))
+    made = materialise(counting.met_blocks(rows, text_col, ("topic", "_month"), stopwords, bigrams))
+    totals = made.where(F.col("numbers").isNull()).groupBy("own_topic", "own__month").agg(F.sum("n")).collect()  # a row per topic and month
+    present = rows.where(F.col("_month").isNotNull()).select("topic", "_month").distinct().collect()  # likewise
+    of, months = list(dict.fromkeys(r[0] for r in totals)), sorted({r[1] for r in present})
+    place, when = {t: i for i, t in enumerate(of)}, {m: j for j, m in enumerate(months)}
+    sizes, cells, there = np.zeros(len(of)), np.zeros((len(of), len(months))), np.zeros((len(of), len(months)), bool)
+    for t, m, n in totals:
+        sizes[place[t]] += n
+        if m is not None:
+            cells[place[t], when[m]] = n
+    for t, m in present:
+        if t in place:
+            there[place[t], when[m]] = True
+    mean = math.floor(sizes.sum() / len(of)) if of else 0
+    schema = StructType([df.schema["topic"], StructField("month", IntegerType()), StructField("term", StringType()), StructField("w", DoubleType())])
+
+    def tuned(topic: np.ndarray, idf: np.ndarray, whole: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """The weights of terms of topics by month; minus infinity where the topic has no text."""
+        out, last, state = np.full(tf.shape, -np.inf), np.full(len(topic), -1), np.zeros(len(topic))
+        for j, m in enumerate(months):
+            at = np.flatnonzero(there[topic, j])
+            n = cells[topic[at], j]
+            w = np.where(tf[at, j] > 0, tf[at, j] / np.where(n > 0, n, 1) * idf[at], 0.0)
+            if evolution and j and months[j - 1] == m - 1:
+                w = np.where(last[at] == j - 1, (w + state[at]) / 2, w)
+            if overall:
+                w = (whole[at] + w) / 2
+            out[at, j], last[at], state[at] = w, j, w
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = counting.Best(len(of) * len(months), n_words, digits)
+        for words, (topics, at_month), group, first, second, tf, _, f in counting.read_blocks(batches, 2):
+            topic = pc.index_in(topics, value_set=pa.array(of, topics.type)).to_numpy()[group]
+            j = pc.fill_null(pc.index_in(at_month, value_set=pa.array(months, pa.int32())), -1).to_numpy()[group]
+            # a row for each term of a topic
+            term = np.cumsum((np.diff(first, prepend=-1) != 0) | (np.diff(second, prepend=-1) != 0)) - 1
+            key, row_of, pair = np.unique(term * len(of) + topic, return_index=True, return_inverse=True)
+            whole_tf = np.bincount(pair, tf, len(key))
+            idf, whose = np.log1p(mean / f[row_of]), topic[row_of]
+            whole = whole_tf / sizes[whose] * idf
+            order = np.argsort(pair, kind="stable")
+            step = max(1, (1 << 21) // max(1, len(months)))
+            for a in range(0, len(key), step):
+                b = min(a + step, len(key))
+                mine = order[np.searchsorted(pair[order], a) : np.searchsorted(pair[order], b)]
+                mine = mine[j[mine] >= 0]
+                by_month = np.zeros((b - a, len(months)))
+                np.add.at(by_month, (pair[mine] - a, j[mine]), tf[mine])
+                w = tuned(whose[a:b], idf[a:b], whole[a:b], by_month)
+                r, m = np.nonzero(np.isfinite(w))
+                kept = best.may_be(whose[a:b][r] * len(months) + m, w[r, m])
+                r, m = r[kept], m[kept]
+                at = row_of[a + r]
+                yield pa.RecordBatch.from_arrays([pa.array(of, topics.type).take(pa.array(whose[a + r])), pa.array(np.array(months, np.int32)[m]), counting.Blocks.spelled(words, first[at], second[at]), pa.array(w[r, m])], schema.names)
+
+    found = made.where(F.col("numbers").isNotNull()).select(*made.columns[:4]).mapInArrow(work, schema)
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("topic", "month").orderBy(F.desc(F.round("w", digits)), "term"))).where(F.col("rank") <= n_words)
     words = best.groupBy("topic", "month").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("words"))
     freq = df.where(F.col("topic") != -1).groupBy("topic", F.col(month).cast("int").alias("month")).agg(F.count("*").alias("freq"))
     return freq.join(words, ["topic", "month"], "left")
