@@ -384,3 +384,15 @@ def test_topics_over_time_by_blocks(spark, evolution, overall, monkeypatch):
     assert {(r.topic, r.month): (r.freq, r.words) for r in made.collect()} == {k: (n, [w for _, w in sorted(want[k])[:3]] if k in want else None) for k, n in texts.items()}
     assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert topics.topics_over_time(df.limit(0), "t").count() == 0
+
+
+def test_blocks_are_narrow():
+    blocks = counting.Blocks([])
+    spelled, first, second = pa.array(["a", "b", "c", "d"]), np.array([0, 1, 1, 3, 0, 3]), np.array([-1, 3, 2, -1, 3, 3])
+    group, tf = np.array([0, 2, 0, 1, 1, 1]), np.array([1, 300, 1 << 33, 4, 5, 6])
+    columns = blocks.pack(spelled, [pa.array([7, None, 9])], np.array([0, 4, 6]), group, first, second, tf)
+    words_, (values,), g, a, b, (n,) = counting.Blocks.unpack(columns)
+    assert columns[0].to_pylist() == ["a b c d", "a d"] and columns[1].to_pylist() == [[7, None, 9], [None]]
+    assert [len(x.as_py()) for x in columns[2]] == [8 + 4 + 3 * 4 + 8 * 4, 8 + 4 + 4 * 2]
+    assert values.take(pa.array(g)).to_pylist() == [7, 9, 7, None, None, None] and n.tolist() == tf.tolist()
+    assert counting.Blocks.spelled(words_, a, b).to_pylist() == ["a", "b d", "b c", "d", "a d", "d d"]

@@ -131,15 +131,24 @@ def _own(values: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray,
     return np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64), np.array(offsets, np.int32), place
 
 
+KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
+
+def _narrow(c: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the narrowest kind that holds them, behind a byte that names it."""
+    kind = next(i for i, k in enumerate(KINDS) if int(c.max(initial=0)) <= np.iinfo(k).max)
+    return bytes([kind]) + c.astype(KINDS[kind]).tobytes()
+
+
 class Blocks:
-    """Counts as rows of a table: by (lists of the groups' values), words (joined by spaces) and numbers, those of a block one column after another."""
+    """Counts as rows of a table: by (lists of the groups' values), words (joined by spaces) and numbers: how many rows there are (8 bytes), then one column after another, each as narrow as it can be."""
 
     def __init__(self, by: list[StructField]) -> None:
         self.fields = [StructField("words", StringType()), *[StructField(f.name, ArrayType(f.dataType)) for f in by], StructField("numbers", BinaryType())]
 
     @staticmethod
     def pack(spelled: pa.Array, groups: list[pa.Array], begins: np.ndarray, group: np.ndarray, first: np.ndarray, second: np.ndarray, *numbers: np.ndarray) -> list[pa.Array]:
-        """Columns of blocks, each of the rows from one begin to the next; second is -1 for a single word."""
+        """Columns of blocks, each of the rows from one begin to the next, which are in order of first; second is -1 for a single word."""
         m = len(begins) - 1
         pairs = second >= 0
         both, spans = np.concatenate([first, second[pairs]]), []
@@ -158,36 +167,31 @@ class Blocks:
         lists = [pa.ListArray.from_arrays(pa.array(goffsets), g.take(pa.array(mine))) for g in groups]
         other = np.full(len(first), -1, np.int32)
         other[pairs] = place[len(first) :]
-        columns = [group.astype(np.int32), place[: len(first)], other, *numbers]
-        packed = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        firsts, columns = place[: len(first)], (other + 1, *numbers)
+        packed = [b"".join([int(b - a).to_bytes(8, "little"), _narrow(group[a:b]), _narrow(np.diff(firsts[a:b], prepend=0)), *[_narrow(c[a:b]) for c in columns]]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
         return [words, *lists, pa.array(packed, pa.binary())]
 
     @staticmethod
-    def unpack(columns: list[pa.Array], types: tuple[type, ...]) -> tuple[pa.Array, list[pa.Array], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(distinct words, groups' values, group, first, second, numbers of the given types) of all rows of some blocks, in order."""
+    def unpack(columns: list[pa.Array]) -> tuple[pa.Array, list[pa.Array], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(distinct words, groups' values, group, first, second, numbers) of all rows of some blocks, in order."""
         words, codes, begins = coded_parts(columns[0])
-        lists = columns[1:-1]
-        flat = [c.flatten() for c in lists]
-        counts = [pc.list_value_length(c).to_numpy() for c in lists[:1]] or [np.ones(len(columns[0]), np.int64)]
-        total = int(counts[0].sum())
-        group_of, rows = _groups(flat, total)
-        gbegins = np.concatenate([[0], np.cumsum(counts[0])])
-        kinds = (np.int32, np.int32, np.int32, *types)
-        width = sum(np.dtype(k).itemsize for k in kinds)
-        parts: list[list[np.ndarray]] = [[] for _ in kinds]
+        flat = [c.flatten() for c in columns[1:-1]]
+        counts = pc.list_value_length(columns[1]).to_numpy() if flat else np.ones(len(columns[0]), np.int64)
+        group_of, rows = _groups(flat, int(counts.sum()))
+        gbegins = np.concatenate([[0], np.cumsum(counts)])
+        parts: list[list[np.ndarray]] = []
         for i, packed in enumerate(columns[-1]):
             buffer = packed.as_buffer()
-            m, at = buffer.size // width, 0
-            for j, kind in enumerate(kinds):
-                c = np.frombuffer(buffer, kind, m, at)
-                at += m * np.dtype(kind).itemsize
-                if j == 0:
-                    c = group_of[c + gbegins[i]]
-                elif j < 3:
-                    c = np.where(c < 0, -1, codes[c + begins[i]])
-                parts[j].append(c)
-        made = [np.concatenate([np.zeros(0, k), *p]) for k, p in zip((np.int64, np.int64, np.int64, *types), parts, strict=True)]
-        return words, [c.take(pa.array(rows)) for c in flat], made[0], made[1], made[2], made[3:]
+            m, at, made = int(np.frombuffer(buffer, np.int64, 1)[0]), 8, []
+            while at < buffer.size:
+                kind = KINDS[np.frombuffer(buffer, np.uint8, 1, at)[0]]
+                made.append(np.frombuffer(buffer, kind, m, at + 1))
+                at += 1 + m * np.dtype(kind).itemsize
+            second = made[2].astype(np.int64) - 1
+            made[:3] = group_of[made[0] + gbegins[i]], codes[np.cumsum(made[1], dtype=np.int64) + begins[i]], np.where(second < 0, -1, codes[second + begins[i]])
+            parts.append(made)
+        group, first, second, *numbers = [np.concatenate(p).astype(np.int64) for p in zip(*parts, strict=True)]
+        return words, [c.take(pa.array(rows)) for c in flat], group, first, second, numbers
 
     @staticmethod
     def spelled(words: pa.Array, first: np.ndarray, second: np.ndarray) -> pa.Array:
@@ -204,7 +208,7 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
 
 
 def met_counts(df: DataFrame, text_col: str, by: tuple[str, ...], stopwords: list[str] | None = None, bigrams: bool = True) -> tuple[DataFrame, Blocks]:
-    """Parts of counts, as blocks with one number (an int32), of which all with a term are in one partition: that of about TASK_BYTES of text. One shuffle; runs a job for the text's size, as the number of tasks follows it."""
+    """Parts of counts, as blocks with one number, of which all with a term are in one partition: that of about TASK_BYTES of text. One shuffle; runs a job for the text's size, as the number of tasks follows it."""
     spark, stop = df.sparkSession, frozenset(stopwords or ())
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     rows = df.select(*by, text_col)
@@ -220,7 +224,7 @@ def met_counts(df: DataFrame, text_col: str, by: tuple[str, ...], stopwords: lis
                 continue
             group, of = _groups([batch.column(i) for i in range(len(by))], len(batch))
             row = np.repeat(np.arange(len(batch)), np.diff(begins))
-            mine, second = group[row], np.zeros(len(codes), np.int64)
+            codes, mine, second = codes.astype(np.int32), group.astype(np.int32)[row], np.zeros(len(codes), np.int32)
             if bigrams:
                 at = np.flatnonzero(row[1:] == row[:-1])
                 mine, codes, second = np.concatenate([mine, mine[at]]), np.concatenate([codes, codes[at]]), np.concatenate([second, codes[at + 1] + 1])
@@ -233,7 +237,7 @@ def met_counts(df: DataFrame, text_col: str, by: tuple[str, ...], stopwords: lis
             bounds = np.searchsorted(part[order], np.arange(len(keys) + 1))
             present = np.flatnonzero(np.diff(bounds))
             groups = [batch.column(i).take(pa.array(of)) for i in range(len(by))]
-            columns = blocks.pack(words, groups, np.concatenate([bounds[present], [len(order)]]), mine[order], first[order], second[order] - 1, tf[order].astype(np.int32))
+            columns = blocks.pack(words, groups, np.concatenate([bounds[present], [len(order)]]), mine[order], first[order], second[order] - 1, tf[order])
             yield pa.RecordBatch.from_arrays([pa.array(keys[present]), *columns], names)
 
     parts = rows.mapInArrow(work, StructType([StructField("part", LongType()), *blocks.fields]))
@@ -245,8 +249,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, list[pa.Array], n
     held = [b for b in batches if len(b)]
     if not held:
         return None
-    words, groups, group, first, second, (tf,) = Blocks.unpack([pa.concat_arrays([b.column(i) for b in held]) for i in range(held[0].num_columns)], (np.int32,))
-    (first, second, group), tf = _summed([first, second + 1, group], tf.astype(np.int64))
+    words, groups, group, first, second, (tf,) = Blocks.unpack([pa.concat_arrays([b.column(i) for b in held]) for i in range(held[0].num_columns)])
+    (first, second, group), tf = _summed([first, second + 1, group], tf)
     begins = np.flatnonzero((np.diff(first, prepend=-1) != 0) | (np.diff(second, prepend=-1) != 0))
     return words, groups, group, first, second - 1, tf, begins
 
@@ -299,7 +303,7 @@ def met_blocks(df: DataFrame, text_col: str, by: tuple[str, ...], stopwords: lis
         while a < len(row):
             b = int(ends[min(int(np.searchsorted(ends, a + BLOCK_ROWS)), len(ends) - 1)])
             j = row[a:b]
-            columns = blocks.pack(words, groups, np.array([0, len(j)]), group[j], first[j], second[j], tf[j], df_[j].astype(np.int64), f[j])
+            columns = blocks.pack(words, groups, np.array([0, len(j)]), group[j], first[j], second[j], tf[j], df_[j], f[j])
             yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(1, g.type) for g in groups], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
             a = b
 
@@ -310,7 +314,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.
     """(words, groups' values, group, first, second, tf, df, f) of each block of met_blocks(); k: how many columns a group has."""
     for batch in batches:
         for i in range(len(batch)):
-            words, groups, group, first, second, (tf, df_, f) = Blocks.unpack([batch.column(j).slice(i, 1) for j in range(k + 2)], (np.int64, np.int64, np.int64))
+            words, groups, group, first, second, (tf, df_, f) = Blocks.unpack([batch.column(j).slice(i, 1) for j in range(k + 2)])
             yield words, groups, group, first, second, tf, df_, f
 
 
